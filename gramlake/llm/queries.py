@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, extract, langid, mixing, quality, secrets, tokens
+from . import chat, decontam, extract, jaccard, langid, mixing, quality, secrets, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op6_quality_rules, op8_language_id, op9_chat_format, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_chat_format, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
