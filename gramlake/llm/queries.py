@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, extract, jaccard, langid, mixing, quality, secrets, tokens
+from . import chat, decontam, extract, jaccard, langid, lm, mixing, quality, secrets, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_chat_format, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op5_lm_scores, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_chat_format, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
