@@ -15,7 +15,8 @@ def date_ordinal(d: Column) -> Column:
 
 
 def timestamp_seconds(t: Column) -> Column:
-    return F.unix_micros(t.cast("timestamp")).cast("double") / 1e6
+    """Seconds since 1970-01-01 of the clock time, whatever the session's zone."""
+    return F.unix_date(t.cast("date")) * 86400.0 + F.hour(t) * 3600 + F.minute(t) * 60 + F.extract(F.lit("SECOND"), t).cast("double")
 
 
 def interval_days(seconds: Column) -> Column:

@@ -58,9 +58,9 @@ class FittedMap:
     def column(self, x: Column) -> Column | None:
         """The map on an array column; None if Spark has no such function."""
         if self.name == "log":
-            return F.transform(x, F.log)
+            return F.transform(x, lambda v: F.log(v))
         if self.name == "exp":
-            return F.transform(x, F.exp)
+            return F.transform(x, lambda v: F.exp(v))
         if self.name in ("scale_to_erf", "scale_to_erfinv"):
             return None
         shift = self.shift or (0.0,) * len(self.scale)

@@ -775,7 +775,7 @@ def transport_conditional(spark, sf_dir):
     return conditional.TransportConditional.fit(base, ["f"]).expectation(pts).select("id", F.round(F.get("e", F.lit(0)), 3).alias("e"))
 
 
-@query(f"with q as (select unnest([0.1, 0.5, 0.9]) as p) select p, {r6s('(select quantile_disc(s_acctbal, p) from supplier)')} as q from q")
+@query(" union all ".join(f"select {p}::double as p, {r6s(f'quantile_disc(s_acctbal, {p})')} as q from supplier" for p in (0.1, 0.5, 0.9)))
 def quantile_values(spark, sf_dir):
     s = tables.table(spark, sf_dir, "supplier")
     return conditional.quantile_regression(s, "s_acctbal", [0.1, 0.5, 0.9]).select("p", r6("q").alias("q"))
@@ -803,7 +803,7 @@ def _log(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = events(spark, sf_dir).withColumns({"v": F.col("value") / 100, "h": F.hour("ts") / 24.0, "action": F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(3)).cast("int")})
     e = e.withColumns({"nv": F.lead("v").over(w), "nh": F.lead("h").over(w)})
-    return e.select(F.col("user_id").alias("game"), F.unix_micros("ts").alias("t"), "event_id", F.array("v", "h").alias("state"), "action", F.array(F.coalesce("nv", F.lit(0.0)), F.coalesce("nh", F.lit(0.0))).alias("next_state"), F.col("value").alias("reward"), F.col("nv").isNull().alias("done"))
+    return e.select(F.col("user_id").alias("game"), casts.timestamp_seconds(F.col("ts")).alias("t"), "event_id", F.array("v", "h").alias("state"), "action", F.array(F.coalesce("nv", F.lit(0.0)), F.coalesce("nh", F.lit(0.0))).alias("next_state"), F.col("value").alias("reward"), F.col("nv").isNull().alias("done"))
 
 
 _Q = "select event_id, value, q, list_prepend(v, [h, v*h]) as nq, done from (select event_id, value, value/100 as v, hour(ts)/24.0 as h, value/50 as q, lead(event_id) over (partition by user_id order by ts, event_id) is null as done from events)"
@@ -825,10 +825,10 @@ def bellman_optimal_action(spark, sf_dir):
     return _with_q(spark, sf_dir).select("event_id", agents.optimal_action(F.col("q"), F.col("value"), F.col("nq")).alias("action"))
 
 
-@query(f"with a as (select event_id, done, list_transform(nq, lambda t: {GAMMA}*t + value - q) as s from ({_Q})) select event_id, {r6s('case when done then 0 else list_max(s) - list_sum(s)/3 end')} as top from a")
+@query(f"with a as (select event_id, done, list_transform(nq, lambda t: {GAMMA}*t + value - q) as s from ({_Q})) select event_id, round((case when done then 0 else list_max(s) - list_sum(s)/3 end)::double, 9) + 0.0 as top from a")
 def advantages(spark, sf_dir):
     a = _with_q(spark, sf_dir).select("event_id", agents.advantages(F.col("nq"), F.col("value"), F.col("q"), F.col("done")).alias("a"))
-    return a.select("event_id", r6(F.array_max("a")).alias("top"))
+    return a.select("event_id", (F.round(F.array_max("a"), 9) + 0.0).alias("top"))
 
 
 @query("select c_custkey, a::bigint as action from customer, range(3) t(a)")
