@@ -203,9 +203,11 @@ class Agent:
         return p * (q - (p * q).sum(1, keepdims=True))
 
     def train_actor_critic(self, log: DataFrame) -> "Agent":
+        """Evaluate the policy, then improve it at the visited states: the advantage of an
+        action there is its Q against the mean of all."""
         g = Games.collect(log)
         critic = self.evaluate(g)
-        return critic.improve(g, critic.advantages(g))
+        return critic.improve(g, critic.q_values(g.state))
 
     def train_policy_gradient(self, log: DataFrame) -> "Agent":
         g = Games.collect(log)
@@ -221,7 +223,7 @@ class Agent:
         g = Games.collect(log)
         g = replace(g, next_state=expected_next_states(g, self.n_actions, self.spec))
         critic = self.evaluate(g)
-        return critic.improve(g, critic.advantages(g))
+        return critic.improve(g, critic.q_values(g.state))
 
 
 def expected_next_states(g: Games, n_actions: int, spec: KernelSpec) -> np.ndarray:
