@@ -107,7 +107,7 @@ class Chunk:
         return np.bincount(self.ids[self.token_train], minlength=len(self.words))
 
 
-def chunks(docs: DataFrame, id_column: str, text: str, held) -> DataFrame:
+def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(chunk, n, blob): texts encoded, some millions of tokens a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def chunks(docs: DataFrame, id_column: str, text: str, held) -> DataFrame:
                 lengths.append(len(tokens))
                 train.append(not is_held)
                 n += len(tokens)
-                if n >= CHUNK_TOKENS:
+                if n >= chunk_tokens:
                     rows.append(batch.column(0).slice(at, k + 1 - at))
                     at = k + 1
                     yield row()
@@ -335,12 +335,12 @@ def scored(parts: DataFrame, word_shards: int, pair_shards: int, n: int, v: int,
     return parts.groupBy("chunk").applyInArrow(run, f"`{id_column}` {kind}, {_OUT}")
 
 
-def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
+def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row a text: learned from the folds other than held, all texts scored."""
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     is_held = F.coalesce(crc_fold(id_column, modulus) == held, F.lit(False))
-    table = staged(chunks(docs, id_column, text, is_held), "chunks")
+    table = staged(chunks(docs, id_column, text, is_held, chunk_tokens), "chunks")
     tokens = table.agg(F.sum("n")).head()[0] or 0
     if not tokens:
         return spark.createDataFrame([], f"`{id_column}` {kind}, {_OUT}")
