@@ -29,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and return the written table: lineage ends here,
-    and a lost executor costs no more than a reread."""
+    and a lost executor costs no more than a reread.
+
+    narrow: rows of a few numbers, written by two tasks a core at most, so that small
+    tables do not become as many files as a shuffle has partitions.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
