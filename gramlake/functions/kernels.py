@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.spec import KernelSpec, kernel_name
+from ..plans.spec import USER, KernelSpec, kernel_name
 
 PERIODS = range(-3, 4)
 
@@ -101,6 +101,8 @@ def block(spec: KernelSpec | str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         a, b = spec.factors
         return block(a, x[:, : spec.split], y[:, : spec.split]) * block(b, x[:, spec.split :], y[:, spec.split :])
     name = spec.name
+    if name == USER:
+        return np.asarray(spec.params["k"](x, y), float)
     if name in ("dotproduct", "scalar_product"):
         return x @ y.T
     if name == "linear_regressor":
@@ -151,6 +153,8 @@ def gradient_block(spec: KernelSpec | str, x: np.ndarray, y: np.ndarray) -> np.n
         s = spec.split
         ka, kb = block(a, x[:, :s], y[:, :s]), block(b, x[:, s:], y[:, s:])
         return np.concatenate([gradient_block(a, x[:, :s], y[:, :s]) * kb[..., None], gradient_block(b, x[:, s:], y[:, s:]) * ka[..., None]], 2)
+    if name == USER and "grad" in spec.params:
+        return np.asarray(spec.params["grad"](x, y), float)
     if name in ("dotproduct", "scalar_product"):
         return np.broadcast_to(y[None], d.shape).copy()
     if name == "linear_regressor":

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport
+from ..operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -324,6 +324,40 @@ def errors(spark, sf_dir):
     )
 
 
+@query("select l_returnflag as truth, l_linestatus as predicted, count(*) as n from lineitem group by 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return udfs.confusion(tables.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("select count(*) * 5 as cells from nation")
+def frame_cells(spark, sf_dir):
+    """Length of a frame in cells."""
+    n = tables.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", F.lit(1).alias("a"), F.lit(2).alias("b"))
+    return n.agg((F.count("*") * len(n.columns)).alias("cells"))
+
+
+@query(f"with {CLOUD_SQL} select p.id as x_id, c.id as y_id, {r6s(f'0.5*{_R22}')} as k from pts p, cen c")
+def gram_user_kernel(spark, sf_dir):
+    """A kernel given as functions of blocks."""
+    spec = KernelSpec("user", params={"k": lambda a, b: kernels.sq_dist(a, b) / 2, "grad": lambda a, b: a[:, None] - b[None]})
+    y = gram.centres(label_means(spark, sf_dir))
+    out = gram.knm(cloud(spark, sf_dir), y, spec).select("id", F.explode(F.arrays_zip(F.lit([int(i) for i in y.ids]).alias("c"), F.col("k").alias("k"))).alias("z"))
+    return out.select(F.col("id").alias("x_id"), F.col("z.c").cast("long").alias("y_id"), r6("z.k").alias("k"))
+
+
+@query(f"with {CLOUD_SQL} select id, {r6s('list_sum(list_transform(x, lambda v: v*v*v))')} as y from pts")
+def row_function(spark, sf_dir):
+    """A user's vector -> number function on every row."""
+    return udfs.scalar(cloud(spark, sf_dir), lambda r: float((r**3).sum())).select("id", r6("y").alias("y"))
+
+
+@query("select event_id, a.a::bigint as place, (a.a = event_id % 3)::int::double as v from events, range(3) a(a)")
+def rl_hot_encoder(spark, sf_dir):
+    """One-hot actions in numeric order, absent actions as zero columns."""
+    hot = arrays.one_hot((F.col("event_id") % 3).cast("int"), 3)
+    return events(spark, sf_dir).select("event_id", F.posexplode(hot).alias("place", "v")).select("event_id", F.col("place").cast("long").alias("place"), "v")
+
+
 # casts
 
 

@@ -38,9 +38,13 @@ DEFAULT_MAPS = {
 }
 
 
+#: A kernel given as functions: params k(x, y) on blocks, and grad(x, y) if known.
+USER = "user"
+
+
 def kernel_name(name: str) -> str:
     found = KERNEL_ALIASES.get(name, name)
-    if found not in KERNELS:
+    if found not in (*KERNELS, USER):
         raise NameError(f"unknown kernel {name!r}; known: {', '.join(KERNELS)}")
     return found
 

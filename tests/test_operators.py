@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gramlake.functions import kernels, maps
-from gramlake.operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport
+from gramlake.operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport, udfs
 from gramlake.plans.spec import KERNELS, KernelSpec, kernel_name, map_names
 
 RNG = np.random.default_rng(5)
@@ -276,3 +276,25 @@ def test_streams(spark, tmp_path):
     q = windowed(s, "ts", ["k"], "v", "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").count() == 2
+
+
+def test_user_functions(spark):
+    assert udfs.parallel_task(spark, [{"a": 1}, {"a": 5}], lambda p: p["a"] * 2) == [2, 10]
+    assert udfs.elapsed_time(lambda: 3)[0] == 3
+    got = udfs.vectorized(frame(spark, [[1, 2], [3, 4]]), lambda r: r[::-1]).orderBy("id").collect()
+    assert [r["y"] for r in got] == [[2, 1], [4, 3]]
+    spec = KernelSpec("user", params={"k": lambda a, b: a @ b.T, "grad": lambda a, b: np.broadcast_to(b[None], (len(a), len(b), a.shape[1]))})
+    x = RNG.normal(size=(3, 2))
+    assert np.allclose(kernels.block(spec, x, x), x @ x.T) and np.allclose(kernels.gradient_block(spec, x, x), kernels.gradient_block("dotproduct", x, x))
+    assert np.allclose(kernels.gradient_block(KernelSpec("user", params={"k": lambda a, b: a @ b.T}), x, x), kernels.gradient_block("dotproduct", x, x), atol=1e-6)
+
+
+def test_files(spark, tmp_path):
+    from gramlake.sources import tables
+
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    tables.save_to_file([df, df], [str(tmp_path / "one"), str(tmp_path / "two")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "two")).collect()[0]["v"] == "a"
+    assert tables.files_indir(spark, str(tmp_path), ".csv").count() >= 2
+    with pytest.raises(FileNotFoundError):
+        tables.find_file("no such file")
