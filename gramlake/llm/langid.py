@@ -122,7 +122,7 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         seen = Counter(words)
         if self.n_scores + len(seen) > len(self.scores):

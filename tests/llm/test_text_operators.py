@@ -189,7 +189,7 @@ def test_language_accuracy_and_edges(make_docs, odd_docs, no_docs):
     assert held and all(a == b for a, b in held) and all(0 <= x.score <= 1 for x in got)
     model = langid.fit(docs)
     assert model.predict("Häuser schönes")[0] == "de"  # unseen words, by n-grams
-    for t in ("", "123 !?", "\n"):
+    for t in ("", "123 !?", "\n", "² ½"):
         assert model.predict(t) == ("und", 0.0)
     assert {x.lang_pred for x in langid.identify(odd_docs).collect()} == {"und"}  # nothing to learn from
     assert langid.identify(no_docs).count() == 0
