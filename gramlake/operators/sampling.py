@@ -87,12 +87,19 @@ def random_normals(spark: SparkSession, n: int, d: int, seed: int = 42) -> DataF
     return spark.range(n).select("id", F.array(*(pair(k) for k in range(d))).alias("x"))
 
 
-def weighted_resample(df: DataFrame, id_column: str, weight: str, n: int, seed: int = 42, buckets: int = 256) -> DataFrame:
+#: Rows that a bucket of weighted_resample holds, and the most buckets (their totals go to the driver).
+BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 16
+
+
+def weighted_resample(df: DataFrame, id_column: str, weight: str, n: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """(draw, id): n draws with replacement, probability by weight.
 
     Cumulative weights are two-level: totals of hash buckets (a small table), and a
     running sum within a bucket; each draw is sent to its bucket, then met there.
+    The number of buckets follows the rows, so that a bucket stays small.
     """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(256, -(-df.count() // BUCKET_ROWS)))
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.select(F.col(id_column).alias("id"), w.alias("w")).where("w > 0").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     sums = rows.groupBy("b").agg(F.sum("w").alias("t")).orderBy("b").collect()
