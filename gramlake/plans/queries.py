@@ -822,7 +822,7 @@ def proportional_fitting(spark, sf_dir):
     return spark.createDataFrame([(r[0], j, round(float(v), 5)) for r, row in zip(c, p) for j, v in enumerate(row)], "c_nationkey int, j long, p double")
 
 
-@query()
+@query(f"with {CLOUD_SQL}, f as (select id, x, -list_sum(list_transform(x, lambda v: (v - 0.1) * (v - 0.1))) as v from pts) select {r6s('x[1]')} as x0, {r6s('v')} as v from f order by f.v desc, id limit 1")
 def screened_optimum(spark, sf_dir):
     """Best point of a concave function over the embedding cloud."""
     x, v = optimize.screen(lambda m: -((m - 0.1) ** 2).sum(1), cloud(spark, sf_dir))
