@@ -145,6 +145,22 @@ def test_components_by_brute_force(make_docs, seed):
     assert got == components_by_hand(texts)
 
 
+def test_partners_in_several_groups(make_docs, monkeypatch):
+    """One text with more partners than a task's group holds: near copies and texts just too far."""
+    monkeypatch.setattr(jaccard, "GROUP_TEXTS", 8)
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        w = base.copy()
+        for at in r.sample(range(120), 1 + k % 4):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    texts = dict(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(make_docs([*texts.values()])).collect()}
+    assert got == components_by_hand(texts)
+
+
 def test_prefix_and_list_bounds_lose_nothing():
     """Every pair that links shares as many indexed shingles as a pair needs."""
     texts = near_texts(7, 150)
