@@ -14,8 +14,8 @@ for every text; no table of all pairs is ever made.
    (same component, or too far by the triangle inequality) is never computed for
    the members. Members are compared only where the inequality leaves room.
 4. Inverted lists are sorted by size and cut into blocks that carry their size
-   range and least position; blocks that the size or position bound rules out are
-   skipped whole. Lists whose entries are all of one component are dropped, so a
+   range and least position; blocks that the size bound, or the position bound with
+   the l - 1 shared shingles that may stand before, rules out are skipped whole. Lists whose entries are all of one component are dropped, so a
    group of copies that holds a third of all rows costs one entry per chunk.
 5. Candidates are compared exactly on their sets; components join the links.
 
@@ -271,7 +271,9 @@ def list_pairs(ball: np.ndarray, comp: np.ndarray, low: np.ndarray, high: np.nda
 
     Entries (ball, component, least and largest set size, position of the shingle,
     -1 if the ball has several sets) are sorted by size; block by block, those are
-    skipped whose sizes cannot meet, or whose positions leave too few shingles.
+    skipped whose sizes cannot meet, or whose positions leave too few shingles. The
+    count asks for 1 + n // SHARE shared shingles, n the smaller size, so n // SHARE
+    of them may stand before a position that has to be kept.
     """
     order = np.lexsort((pos, low))
     ball, comp, low, high, pos = (x[order] for x in (ball, comp, low, high, pos))
@@ -288,10 +290,11 @@ def list_pairs(ball: np.ndarray, comp: np.ndarray, low: np.ndarray, high: np.nda
             if DEN * tops[i] < NUM * int(low[t]):
                 break  # all later blocks hold larger sets only
             need = NUM * (int(low[s]) + int(low[t])) / (NUM + DEN)
-            if min(rests[i], rests[j]) < need - 1e-9:
+            if min(rests[i], rests[j]) + min(tops[i], tops[j]) // SHARE < need - 1e-9:
                 continue
             ok = (comp[a][:, None] != comp[b][None]) & (DEN * high[a][:, None] >= NUM * low[b][None]) & (DEN * high[b][None] >= NUM * low[a][:, None])
-            ok &= np.minimum(rest[a][:, None], rest[b][None]) * (NUM + DEN) >= NUM * (low[a][:, None].astype(np.int64) + low[b][None])
+            left = np.minimum(rest[a][:, None], rest[b][None]) + np.minimum(high[a][:, None], high[b][None]) // SHARE
+            ok &= left * (NUM + DEN) >= NUM * (low[a][:, None].astype(np.int64) + low[b][None])
             if i == j:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
             x, y = np.nonzero(ok)

@@ -178,6 +178,36 @@ def test_prefix_and_list_bounds_lose_nothing():
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * min(low[i], low[j]) >= 80 * max(low[i], low[j])}
 
 
+def test_counts_with_true_positions_lose_no_link():
+    """Near copies whose own shingles are rare and stand first, and whose shared ones are common."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(504)]
+    texts = [" ".join(base)]
+    for k in range(200):
+        w = base.copy()
+        for at in r.sample(range(len(w)), 8):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    sets = [jaccard.shingle_set(t.encode()) for t in texts]
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    common = tokens[counts >= jaccard.COMMON_TEXTS]
+    lists = {}
+    for k, x in enumerate(sets):
+        for pos, token in enumerate(jaccard.ordered_prefix(x, common).tolist()):
+            lists.setdefault(token, []).append((k, len(x), pos))
+    shared = Counter()
+    for entries in lists.values():
+        k, n, pos = np.array(entries).T
+        for x, y, _ in jaccard.list_pairs(k, k, n, n, pos):
+            shared.update((int(min(p)), int(max(p))) for p in zip(x, y))
+    links = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+            links += 1
+            assert shared[a, b] >= 1 + min(len(sets[a]), len(sets[b])) // jaccard.SHARE
+    assert links >= 200
+
+
 def test_components_of_links(spark):
     r = random.Random(9)
     links = [(k, k + 1) for k in range(30)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(50)]
