@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.spec import KernelSpec
-from . import gram, model, sampling
+from . import gram, linalg, model, points, sampling
 from .gram import Centres
 from .transport import match_to, transition
 
@@ -150,6 +150,30 @@ class TransportConditional:
         r = c.f - kernels.block(spec, c.x, c.x) @ mean
         return cls(c.x, c.f, spec, joint, mean, model.knm_inv(c.x, c.x, ridge, np.einsum("np,nq->npq", r, r).reshape(len(r), -1)))
 
+    @classmethod
+    def fit_all(cls, df: DataFrame, values: list[str], spec: KernelSpec | None = None, n: int = 500) -> "TransportConditional":
+        """Fit on a table of any size. The joint map takes n points by id hash; the
+        regressions for mean and variance have these as centres and sum over all rows."""
+        rows, base = df.count(), cls.fit(points.random_points(df, n), values, spec)
+        if rows <= n:
+            return base
+        x, spec = base.x, base.spec
+        inner = max(spec.reg, 1e-3 * rows) * kernels.block(spec, x, x)
+
+        def mean_part(batch):
+            return kernels.block(spec, gram.rows_of(batch.column(0)), x), np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1).astype(float), None
+
+        a, b, _ = linalg.normal_equations(df, mean_part, ["x", *values], len(x), len(values))
+        mean = linalg.solve_spd(a + inner, b, 1e-9)
+
+        def square_part(batch):
+            k, f, _ = mean_part(batch)
+            r = f - k @ mean
+            return k, np.einsum("np,nq->npq", r, r).reshape(len(r), -1), None
+
+        a, b, _ = linalg.normal_equations(df, square_part, ["x", *values], len(x), len(values) ** 2)
+        return cls(x, base.y, spec, base.joint, mean, linalg.solve_spd(a + inner, b, 1e-9))
+
     def _blocks(self, z: DataFrame, theta: np.ndarray, out: str) -> DataFrame:
         return gram.knm(z, Centres(np.arange(len(self.x)), self.x), self.spec, theta).withColumnRenamed("k", out)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.spec import KernelSpec
-from . import gram, linalg
+from . import gram, linalg, order
 from .gram import Centres
 from .transport import assign
 
@@ -210,6 +211,29 @@ class BalancedClusters:
         return gram.labelled(df, self.points, "norm22", labels=self.of)
 
 
+#: Points that are assigned at once; one block is exact, several are approximate.
+BALANCED_BLOCK = 512
+
+
+def balanced_blocks(df: DataFrame, clusters: Clusters, size: int = BALANCED_BLOCK) -> DataFrame:
+    """(id, label) of every row: sizes over the whole table differ by one at most.
+
+    Rows are ranked by id hash and cut into blocks of a multiple of the clusters, each
+    assigned exactly in a task of its own; only the last block can be uneven.
+    """
+    k = max(1, len(clusters.centres))
+    size = -(-size // k) * k
+    kind = df.schema["id"].dataType.simpleString()
+
+    def assigned(table: pa.Table) -> pa.Table:
+        t = table.sort_by("rank")
+        d = kernels.distance_block(np.array(t.column("x").to_pylist(), float), clusters.centres, clusters.distance, clusters.spec)
+        return pa.table({"id": t.column("id"), "label": pa.array(balanced_labels(d), pa.int64())})
+
+    ranked = order.global_rank(df.select("id", "x", F.xxhash64(F.lit(42), "id").alias("h")), ["h", "id"])
+    return ranked.select("id", "x", "rank", F.floor((F.col("rank") - 1) / size).alias("block")).groupBy("block").applyInArrow(assigned, f"id {kind}, label long")
+
+
 
 def summed_gram(df: DataFrame, y: Centres, spec: KernelSpec) -> np.ndarray:
     """K(X, Y)' K(X, Y) over all rows."""

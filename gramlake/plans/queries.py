@@ -732,8 +732,7 @@ def random_cluster_labels(spark, sf_dir):
 @query()
 def balanced_cluster_labels(spark, sf_dir):
     pts = cloud(spark, sf_dir)
-    base = points.first_points(pts, 200)
-    return points.BalancedClusters.fit(base, points.random_clusters(pts, 8, KernelSpec("gaussian"))).labels(pts).select("id", "label")
+    return points.balanced_blocks(pts, points.random_clusters(pts, 8, KernelSpec("gaussian")))
 
 
 @query("select c.* from (select (row_number() over (order by n_nationkey)) - 1 as job, n_nationkey from nation) c")
@@ -805,8 +804,7 @@ def conditional_sample(spark, sf_dir):
 def transport_conditional(spark, sf_dir):
     """Conditional mean by the transport model on the first two coordinates."""
     pts = _valued(spark, sf_dir).select("id", F.slice("x", 1, 2).alias("x"), "f")
-    base = points.first_points(pts, 200)
-    return conditional.TransportConditional.fit(base, ["f"]).expectation(pts).select("id", F.round(F.get("e", F.lit(0)), 3).alias("e"))
+    return conditional.TransportConditional.fit_all(pts, ["f"]).expectation(pts).select("id", F.round(F.get("e", F.lit(0)), 3).alias("e"))
 
 
 @query(" union all ".join(f"select {p}::double as p, {r6s(f'quantile_disc(s_acctbal, {p})')} as q from supplier" for p in (0.1, 0.5, 0.9)))

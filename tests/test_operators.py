@@ -298,3 +298,26 @@ def test_files(spark, tmp_path):
     assert tables.files_indir(spark, str(tmp_path), ".csv").count() >= 2
     with pytest.raises(FileNotFoundError):
         tables.find_file("no such file")
+
+
+def test_balanced_blocks_are_balanced_together(spark):
+    x = RNG.normal(size=(150, 2))
+    c = points.Clusters(x[:4], None, KernelSpec("gaussian"))
+    rows = points.balanced_blocks(frame(spark, x), c, 30).collect()
+    sizes = np.bincount([r.label for r in rows], minlength=4)
+    assert sorted(r.id for r in rows) == list(range(150)) and sizes.max() - sizes.min() <= 1
+    d = kernels.distance_block(x, c.centres, c.distance, c.spec)
+    one = {r.id: r.label for r in points.balanced_blocks(frame(spark, x), c).collect()}
+    cost = lambda labels: d[np.arange(150), labels].sum()
+    assert np.isclose(cost([one[i] for i in range(150)]), cost(points.balanced_labels(d)))
+
+
+def test_transport_conditional_sums_over_all_rows(spark):
+    x = RNG.normal(size=(90, 2))
+    f = np.sin(x[:, 0]) + x[:, 1]
+    m = conditional.TransportConditional.fit_all(frame(spark, x, f=f), ["f"], n=20)
+    k, inner = kernels.block(m.spec, x, m.x), kernels.block(m.spec, m.x, m.x)
+    solve = lambda b: np.linalg.solve(k.T @ k + 0.09 * inner + 1e-9 * np.eye(20), k.T @ b)
+    mean = solve(f)
+    assert m.x.shape == (20, 2) and np.allclose(k @ m.mean[:, 0], k @ mean, atol=1e-6)
+    assert np.allclose(k @ m.second[:, 0], k @ solve((f - k @ mean) ** 2), atol=1e-6)

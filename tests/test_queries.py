@@ -3,9 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gramlake.functions import kernels
+from gramlake.operators import gram
 from gramlake.plans import queries
+from gramlake.plans.spec import KernelSpec
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -42,3 +47,18 @@ def test_against_sql(spark, db, name):
 def test_runs(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.count() > 0
+
+
+def test_balanced_clusters_over_the_whole_table(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    rows = queries.QUERIES["balanced_cluster_labels"](spark, SF).collect()
+    sizes = [sum(r.label == k for r in rows) for k in range(8)]
+    assert len(rows) == n > 200 and max(sizes) - min(sizes) <= 1
+
+
+def test_transport_conditional_fits_all_rows(spark):
+    c = gram.centres(queries._valued(spark, SF).select("id", F.slice("x", 1, 2).alias("x"), "f"), ["f"])
+    k = kernels.block(KernelSpec("maternnorm"), c.x, c.x)
+    want = dict(zip(c.ids.tolist(), (k @ np.linalg.solve(k + 1e-3 * len(k) * np.eye(len(k)), c.f))[:, 0]))
+    got = {r.id: r.e for r in queries.QUERIES["transport_conditional"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 for i in want)
