@@ -48,6 +48,8 @@ def test_weak_parts_need_their_complement():
     assert kinds(f"user = bobby\n\n{key}") == set()  # another paragraph
     assert kinds(f"user = bobby {'x ' * 200}{key}") == set()  # out of reach
     assert kinds("AKIAABCDEFGH1234567 " + key) == {"access", "secret"}
+    for n in (128, 129, 5000):  # a key of any length
+        assert kinds(f"user = bobby\nkey {(key * 200)[:n]}") == {"ident", "secret"}
 
 
 def test_scan_and_redact(spark, odd_docs, no_docs, make_docs):
