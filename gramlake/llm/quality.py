@@ -89,12 +89,13 @@ class Rule:
 
 
 #: Thresholds follow published web-corpus filters, loosened so that ordinary prose stays.
+#: The bound on distinct words is a share of the words up to 2000, then grows with their square root.
 DEFAULT_RULES = (
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 14 * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines > 4 * len(t.lines)),
     Rule("shouting", lambda t: 2 * sum(map(bytes.isupper, t.words)) > t.n_words),
-    Rule("distinct_words", lambda t: 20 * len(set(t.words)) < t.n_words and t.n_words < 2000),
+    Rule("distinct_words", lambda t: 20 * len(set(t.words)) < t.n_words and len(set(t.words)) ** 2 < 5 * t.n_words),
     Rule("no_letters", lambda t: 2 * sum(not x.isdigit() for x in t.words) < t.n_words),
 )
 

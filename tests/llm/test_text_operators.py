@@ -195,3 +195,13 @@ def test_language_accuracy_and_edges(make_docs, odd_docs, no_docs):
         assert model.predict(t) == ("und", 0.0)
     assert {x.lang_pred for x in langid.identify(odd_docs).collect()} == {"und"}  # nothing to learn from
     assert langid.identify(no_docs).count() == 0
+
+
+def test_few_distinct_words_at_any_length():
+    r = random.Random(4)
+    rule = next(x for x in quality.DEFAULT_RULES if x.name == "distinct_words")
+    junk = [f"word{k}" for k in range(60)]
+    prose = [f"word{k}" for k in range(500)]
+    for n in (1999, 2000, 20000):
+        assert rule.rejects(quality.TextStats(" ".join(r.choices(junk, k=n)).encode()))
+        assert not rule.rejects(quality.TextStats(" ".join(r.choices(prose, k=n)).encode()))
