@@ -59,7 +59,7 @@ def counts(train: DataFrame, text: str, label: str) -> DataFrame:
                 sums: Counter = Counter()
                 if n:
                     for w, c in words.items():
-                        for g in grams_of(w[:100], n):
+                        for g in grams_of(w, n):
                             sums[g] += c
                 else:
                     sums = words

@@ -205,3 +205,10 @@ def test_few_distinct_words_at_any_length():
     for n in (1999, 2000, 20000):
         assert rule.rejects(quality.TextStats(" ".join(r.choices(junk, k=n)).encode()))
         assert not rule.rejects(quality.TextStats(" ".join(r.choices(prose, k=n)).encode()))
+
+
+def test_grams_of_whole_runs(spark):
+    docs = spark.createDataFrame([("a" * 100 + "b" * 100, "xx")], "text string, lang string")
+    n = max(langid.LENGTHS)
+    got = {r.gram: r["count"] for r in langid.counts(docs, "text", "lang").collect() if r.n == n}
+    assert got["b" * n] == 101 - n and sum(got.values()) == 202 - n + 1
