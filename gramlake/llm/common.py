@@ -13,17 +13,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that a broadcast may hold; every broadcast is measured against it first.
-BROADCAST_LIMIT = 64 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only a session that has none (tests, local mode) gets one of its own.
+    Only a session that has none, on one machine (tests, local mode), gets one of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gramlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

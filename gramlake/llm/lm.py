@@ -1,18 +1,26 @@
-"""Language-model scores from an Elias-Fano bigram trie, learned from the corpus.
-
-Model: P(b | a) = (1 - beta(a)) c(a b) / c(a) + beta(a) P1(b), where
-P1(b) = (c(b) + 1) / (N + V + 1), and beta(a) depends on c(a) alone: per power of
-two of c(a), the share of training tokens after such contexts whose pair occurs
-once (the leave-one-out chance of an unseen successor). It sums to one.
-c(a b) / c(a) is kept, quantised, in tries; a text's score is the sum of log10 P
-over its words and one end, a begin mark being the first context.
-
-Nothing is broadcast and no row stands for a token. Texts are encoded once into
-chunks (a word list and a stream of local ids). A chunk asks the shard of each of
-its distinct words for id and count, and the shard of each of its distinct pairs
-for the probability; shards add up what chunks bring, so frequent words and pairs
-cost an entry per chunk. Each shard builds its part of the trie and answers from
-it by context-relative successor search. Scores are computed inside chunks.
+"""Language-model scores from an Elias-Fano n-gram trie of order 3, learned from the corpus.
+
+Model, every level summing to one:
+    P1(w)       = (c(w) + 1) / (N + V + 1)
+    P2(w | v)   = (c(v w) + MU P1(w)) / (c(v) + MU)                        Dirichlet prior
+    P3(w | u v) = max(c(u v w) - DISCOUNT, 0) / c(u v) + left(u v) P2(w | v)
+    left(u v)   = DISCOUNT * (distinct words after u v) / c(u v), 1 if c(u v) = 0
+The tries hold the parts that n-grams bring, smoothed and quantised: c(v w) / (c(v) + MU),
+the discounted share of a triple, and left. A text's score is the sum of log10 P over
+its words and one end; the first word has the begin mark as its only context.
+
+fit() and score() are apart; both send no row for a token and broadcast nothing.
+Texts are encoded once into chunks (a word list and a stream of local ids), and the
+shard of each distinct word gives its id and count. fit: a chunk sends its distinct
+training pairs and triples, counted, to the shard of the pair (x, y) that begins
+them; a shard adds up what chunks bring, builds its trie and writes it to the
+shared folder. score: a chunk asks the shards for all its distinct n-grams; a shard
+maps its trie into memory and answers by context-relative successor search; scores
+are summed inside chunks. A frequent word or n-gram so costs one entry a chunk.
+
+Rows that travel are chunks x shards; both grow with the square root of the corpus
+(part_tokens), so the rows grow with the corpus and keep their size. The successors
+of one pair stand in one shard, an entry a chunk and distinct successor.
 
 Defined cases: a null text counts as empty (one token, the end); a null id is in
 no held-out fold; repeated rows count as often as they occur; unknown words have
@@ -25,6 +33,8 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, crc_fold, mix64, staged, total_parallelism
+from .common import binary, crc_fold, dropped, mix64, shared_dir, staged, total_parallelism
 from .eliasfano import NgramTrie, dequantised
 
-CHUNK_TOKENS = 2_000_000
-WORD_SHARD_TOKENS, PAIR_SHARD_TOKENS = 4_000_000, 2_000_000
-#: The end token as a word (no word is empty) and the id of the begin mark.
-END, BEGIN = b"", 0
-BUCKETS = 64
-#: Bounds of beta.
-LEAST, MOST = 0.02, 1.0
+#: Tokens of a chunk and of a shard, at least, and entries that a blob keeps as both grow.
+PART_TOKENS, BLOB_ENTRIES = 1_000_000, 512
+#: The end token as a word (no word is empty); ids of the begin mark, of what follows
+#: an end, and of unknown words. Known words have higher ids.
+END, BEGIN, NOTHING, UNKNOWN = b"", 0, 0, 1
+#: Weight of the lower order after a word, and what is taken off each triple's count.
+MU, DISCOUNT = 16.0, 0.75
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -107,7 +117,7 @@ class Chunk:
         return np.bincount(self.ids[self.token_train], minlength=len(self.words))
 
 
-def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int = PART_TOKENS) -> DataFrame:
     """(chunk, n, blob): texts encoded, some millions of tokens a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,185 +186,282 @@ def word_answers(requests: DataFrame, shards: int) -> DataFrame:
             for w, c in zip(unsqueezed(words).split(b"\n"), unplaned(counts).tolist()):
                 total[w] += c
         known = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))
-        ids = {w: 1 + k * shards + shard for k, w in enumerate(known)}
+        ids = {w: 2 + k * shards + shard for k, w in enumerate(known)}
         out = []
         for key, words, _ in asked:
             ws = unsqueezed(words).split(b"\n")
-            out.append((key, shard, packed(planes(np.fromiter((ids.get(w, 0) for w in ws), np.int64, len(ws))), planes(np.fromiter((total[w] for w in ws), np.int64, len(ws)))), 0, 0))
+            out.append((key, shard, packed(planes(np.fromiter((ids.get(w, UNKNOWN) for w in ws), np.int64, len(ws))), planes(np.fromiter((total[w] for w in ws), np.int64, len(ws)))), 0, 0))
         out.append((None, shard, None, sum(total.values()), len(known)))
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("chunk", "shard", "blob", "n", "v"), zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))})
 
     return requests.groupBy("shard").applyInArrow(run, "chunk string, shard long, blob binary, n long, v long")
 
 
-def _with_words(chunk: Chunk, answers: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Global ids (0: unknown) and counts of a chunk's words."""
-    shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in chunk.words), np.int64, len(chunk.words))
-    gid, count = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
-    for k, blob in answers.items():
-        at = np.flatnonzero(shard == k)
-        gid[at], count[at] = map(unplaned, unpacked(blob))
-    return gid, count
-
-
-def _pairs(chunk: Chunk, gid: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts, words and context counts of all tokens; BEGIN before a text."""
-    word = gid[chunk.ids]
-    first = np.r_[0, np.cumsum(chunk.lengths)[:-1]]
-    context, c_context = np.empty_like(word), count[chunk.ids]
-    context[1:], c_context[1:] = word[:-1], c_context[:-1].copy()
-    end = chunk.words.index(END)
-    context[first], c_context[first] = BEGIN, count[end]
-    unknown = np.zeros(len(word), bool)
-    unknown[1:] = word[:-1] == 0
-    unknown[first] = False
-    return context, word, c_context, unknown
-
-
-def _distinct_pairs(context, word, unknown, shards):
-    """Distinct pairs of known words, dealt by a hash of both: order, cuts, and for
-    every token the place of its pair (-1 if it has none)."""
-    ok = np.flatnonzero(~unknown & (word > 0))
-    key = (context[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)
-    if len(ok) and (int(context[ok].max()) >> 31 or int(word[ok].max()) >> 31):
-        raise OverflowError("more than 2^31 distinct words")
-    pairs, inverse = np.unique(key, return_inverse=True)
-    shard = (mix64(pairs) >> np.uint64(16)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return ok, pairs, inverse, order, cuts
-
-
-def _grouped(table: pa.Table) -> tuple[Chunk, dict[int, dict[int, bytes]]]:
-    """A chunk and its answers by kind and shard, from the rows of its group."""
-    blob, answers = None, {1: {}, 2: {}}
-    for kind, shard, b in zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "blob"))):
-        if kind:
-            answers[kind][shard] = b
+class Numbered:
+    """A chunk whose words have their global ids and counts; the words themselves are gone."""
+
+    def __init__(self, gid, count, end, ids, lengths, train, doc_ids):
+        self.gid, self.count, self.end, self.ids, self.lengths, self.train, self.doc_ids = gid, count, end, ids, lengths, train, doc_ids
+        self.first = np.r_[0, np.cumsum(lengths)[:-1]]
+
+    @classmethod
+    def of(cls, own: bytes, answers: dict[int, bytes], shards: int) -> bytes:
+        chunk = Chunk.from_bytes(own)
+        shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in chunk.words), np.int64, len(chunk.words))
+        gid, count = np.full(len(shard), UNKNOWN, np.int64), np.zeros(len(shard), np.int64)
+        for k, blob in answers.items():
+            at = np.flatnonzero(shard == k)
+            gid[at], count[at] = map(unplaned, unpacked(blob))
+        if int(gid.max()) >> 31:
+            raise OverflowError("more than 2^31 distinct words")
+        end = np.array([chunk.words.index(END)])
+        _, ids, lengths, train, docs = unpacked(own)
+        return packed(planes(gid), planes(count), planes(end), ids, lengths, train, docs)
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> "Numbered":
+        *parts, docs = unpacked(blob)
+        gid, count, end, ids, lengths, train = map(unplaned, parts)
+        rows = pa.ipc.open_stream(unsqueezed(docs)).read_all().column("id").combine_chunks()
+        return cls(gid, count, int(end[0]), ids, lengths, train.astype(bool), rows)
+
+    def context_counts(self) -> np.ndarray:
+        """c(v) of the word before each token."""
+        c = np.roll(self.count[self.ids], 1)
+        c[self.first] = self.count[self.end]
+        return c
+
+
+class Grams:
+    """The distinct known pairs (x, y) and triples of a chunk, in the order in which
+    shards hold them, and for every token the places of its own: token y has the pair
+    (x, y) with x the word before, and the triple (x, y, z) with z the word after."""
+
+    def __init__(self, chunk: Numbered, shards: int, training: bool):
+        y = chunk.gid[chunk.ids]
+        x, z = np.roll(y, 1), np.roll(y, -1)
+        x[chunk.first] = BEGIN
+        z[chunk.first + chunk.lengths - 1] = NOTHING
+        some = (x != UNKNOWN) & (y != UNKNOWN)
+        if training:
+            some &= np.repeat(chunk.train, chunk.lengths)
+        self.tokens = np.flatnonzero(some)
+        key = (x[some].astype(np.uint64) << np.uint64(32)) | y[some].astype(np.uint64)
+        pairs, first, of = np.unique(key, return_index=True, return_inverse=True)
+        shard = ((mix64(pairs) >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pairs, self.of_token = pairs[order], place[of]
+        self.first_token = self.tokens[first[order]]
+        #: pairs [cuts[k], cuts[k + 1]) are those of shard k
+        self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        # triples, sorted by pair; what follows an end counts in training only
+        next_known = z[some] != UNKNOWN if training else z[some] > UNKNOWN
+        self.with_triple = np.flatnonzero(next_known)
+        key = (self.of_token[next_known].astype(np.uint64) << np.uint64(32)) | z[some][next_known].astype(np.uint64)
+        triples, self.triple_of = np.unique(key, return_inverse=True)
+        self.pair_of_triple, self.z = (triples >> np.uint64(32)).astype(np.int64), (triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.triple_cuts = np.searchsorted(self.pair_of_triple, self.cuts)
+
+    def blob(self, k: int, *more: bytes) -> bytes:
+        """Pairs and triples of shard k, and more."""
+        p, t = slice(self.cuts[k], self.cuts[k + 1]), slice(self.triple_cuts[k], self.triple_cuts[k + 1])
+        x, y = (self.pairs[p] >> np.uint64(32)).astype(np.int64), (self.pairs[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sizes = np.bincount(self.pair_of_triple[t] - self.cuts[k], minlength=len(x))
+        return packed(planes(np.diff(x, prepend=0)), planes(y), planes(sizes), planes(self.z[t]), *more)
+
+
+def _grams_of(blob: bytes) -> tuple:
+    """x, y, the pair of each triple, z, and what else Grams.blob packed."""
+    dx, y, sizes, z, *more = map(unplaned, unpacked(blob))
+    return np.cumsum(dx), y, np.repeat(np.arange(len(y)), sizes), z, *more
+
+
+def _grouped(table: pa.Table) -> tuple[bytes, dict[int, bytes]]:
+    """The chunk of a group, and its answers by shard."""
+    own, answers = None, {}
+    for shard, blob in zip(table.column("shard").to_pylist(), table.column("blob").to_pylist()):
+        if shard < 0:
+            own = blob
         else:
-            blob = b
-    return Chunk.from_bytes(blob), answers
+            answers[shard] = blob
+    return own, answers
 
 
-def pair_requests(parts: DataFrame, word_shards: int, shards: int) -> DataFrame:
-    """(shard, chunk, blob): a chunk's distinct pairs of a shard, their contexts' counts
-    and their training counts."""
+def _with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
+    return table.select("chunk", F.lit(-1).cast("long").alias("shard"), "blob").unionByName(answers.select("chunk", "shard", "blob")).groupBy("chunk")
 
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("chunk")[0].as_py()
-        chunk, answers = _grouped(table)
-        gid, count = _with_words(chunk, answers[1], word_shards)
-        context, word, c_context, unknown = _pairs(chunk, gid, count)
-        ok, pairs, inverse, order, cuts = _distinct_pairs(context, word, unknown, shards)
-        trained = np.bincount(inverse, chunk.token_train[ok], minlength=len(pairs)).astype(np.int64)
-        c_of = np.zeros(len(pairs), np.int64)
-        c_of[inverse] = c_context[ok]
-        out = []
-        for k in range(shards):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                a = (pairs[at] >> np.uint64(32)).astype(np.int64)
-                out.append((k, key, packed(planes(np.diff(a, prepend=0)), planes((pairs[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)), planes(c_of[at]), planes(trained[at]))))
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("shard", "chunk", "blob"), list(zip(*out)) or [()] * 3, (pa.int64(), pa.string(), pa.binary()))})
 
-    return parts.groupBy("chunk").applyInArrow(run, "shard long, chunk string, blob binary")
+def numbered(table: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """(chunk, blob): chunks with the ids and counts of their words."""
 
+    def run(group: pa.Table) -> pa.Table:
+        own, found = _grouped(group)
+        return pa.table({"chunk": group.column("chunk")[:1], "blob": pa.array([Numbered.of(own, found, shards)], pa.binary())})
 
-def shard_trie(a, b, c_context, c) -> tuple[NgramTrie, np.ndarray]:
-    """The trie of a shard's pairs (sorted, distinct), and per bucket of c(a) how many
-    tokens and how many pairs that occur once it has."""
-    has = c > 0
-    stats = np.zeros((BUCKETS, 2), np.int64)
-    bucket = np.frexp(c_context[has].astype(float))[1]
-    np.add.at(stats, (bucket, 0), c[has])
-    np.add.at(stats, (bucket, 1), (c[has] == 1).astype(np.int64))
-    return NgramTrie.build(a[has], b[has], np.log10(c[has] / c_context[has])), stats
+    return _with_answers(table, answers).applyInArrow(run, "chunk string, blob binary")
 
 
-def pair_answers(requests: DataFrame) -> DataFrame:
-    """(chunk, shard, blob, bucket, tokens, singles): quantised probabilities in the
-    order asked; with chunk null, the shard's counts for beta."""
+def gram_requests(table: DataFrame, shards: int, training: bool) -> DataFrame:
+    """(shard, chunk, blob): a chunk's distinct n-grams of a shard; for training with the
+    count of each triple and of each pair's first word."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, parts = table.column("chunk").to_pylist(), []
-        for blob in table.column("blob").to_pylist():
-            da, b, ca, c = map(unplaned, unpacked(blob))
-            parts.append(((np.cumsum(da).astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), ca, c))
-        sizes = [len(p[0]) for p in parts]
-        pair, ca, c = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        del parts
-        pairs, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        sums = np.bincount(inverse, c, minlength=len(pairs)).astype(np.int64)
-        a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        built, stats = shard_trie(a, b, ca[first], sums)
-        trie = NgramTrie.from_buffer(built.to_bytes())
-        codes = trie.lookup(a, b)[inverse]
-        out, at = [], 0
-        for key, n in zip(keys, sizes):
-            out.append((key, shard, planes(codes[at : at + n]), None, None, None))
-            at += n
-        out += [(None, shard, None, k, int(t), int(s)) for k, (t, s) in enumerate(stats) if t]
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("chunk", "shard", "blob", "bucket", "tokens", "singles"), zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))})
-
-    return requests.groupBy("shard").applyInArrow(run, "chunk string, shard long, blob binary, bucket long, tokens long, singles long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chunk = Numbered.from_bytes(blob)
+                g = Grams(chunk, shards, training)
+                if training:
+                    c = np.bincount(g.triple_of, minlength=len(g.z))
+                    of_x = chunk.context_counts()[g.first_token]
+                out = []
+                for k in np.flatnonzero(np.diff(g.cuts)).tolist():
+                    more = (planes(c[g.triple_cuts[k] : g.triple_cuts[k + 1]]), planes(of_x[g.cuts[k] : g.cuts[k + 1]])) if training else ()
+                    out.append((k, key, g.blob(k, *more)))
+                cols = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], names=["shard", "chunk", "blob"])
 
+    return table.select("chunk", "blob").mapInArrow(run, "shard long, chunk string, blob binary")
 
-_OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def trie_of(blobs: list[bytes]) -> NgramTrie:
+    """The trie of a shard from what chunks sent, the same triple from several added up."""
+    parts = []
+    for blob in blobs:
+        x, y, of, z, c, of_x = _grams_of(blob)
+        key = (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
+        parts.append((key, of_x, key[of], z, c))
+    key, of_x, of_triple, z, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    del parts
+    pairs, first = np.unique(key, return_index=True)
+    of_x = of_x[first]
+    triples, inverse = np.unique((np.searchsorted(pairs, of_triple).astype(np.uint64) << np.uint64(32)) | z.astype(np.uint64), return_inverse=True)
+    c = np.bincount(inverse, c, minlength=len(triples))
+    of, z = (triples >> np.uint64(32)).astype(np.int64), (triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    of_pair = np.bincount(of, c, minlength=len(pairs))
+    left = DISCOUNT * np.bincount(of, minlength=len(pairs)) / of_pair
+    x, y = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return NgramTrie.build(x, y, of_pair / (of_x + MU), left, of, z, np.maximum(c - DISCOUNT, 0) / of_pair[of])
+
+
+@dataclass(frozen=True)
+class NgramModel:
+    """Tries of all shards in a folder, and what they share."""
+
+    folder: str
+    shards: int
+    n: int
+    v: int
+
+
+def fit(table: DataFrame, n: int, v: int, shards: int) -> NgramModel:
+    """Build and write the tries of numbered chunks, one file a shard."""
+    folder = f"{shared_dir(table.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+
+    def build(group: pa.Table) -> pa.Table:
+        shard = group.column("shard")[0].as_py()
+        trie = trie_of(group.column("blob").to_pylist())
+        trie.save(f"{folder}/{shard}")
+        return pa.table({"shard": pa.array([shard], pa.int64()), "triples": pa.array([trie.successors[1].n], pa.int64())})
+
+    gram_requests(table, shards, True).groupBy("shard").applyInArrow(build, "shard long, triples long").agg(F.sum("triples")).head()
+    return NgramModel(folder, shards, n, v)
+
+
+@lru_cache(maxsize=4)
+def _opened(url: str) -> NgramTrie | None:
+    try:
+        return NgramTrie.open(url)
+    except FileNotFoundError:  # a shard without training n-grams
+        return None
+
+
+def gram_answers(requests: DataFrame, model: NgramModel) -> DataFrame:
+    """(chunk, shard, blob): the codes of the asked pairs and triples, in their order."""
+    folder = model.folder
+
+    def run(group: pa.Table) -> pa.Table:
+        shard = group.column("shard")[0].as_py()
+        trie, out = _opened(f"{folder}/{shard}"), []
+        for blob in group.column("blob").to_pylist():
+            x, y, of, z = _grams_of(blob)
+            if trie is None:
+                pair, triple = np.full(len(y), -1), np.full(len(z), -1)
+                codes = [np.zeros(len(y), np.int64)] * 2 + [np.zeros(len(z), np.int64)]
+            else:
+                pair = trie.pair(x, y)
+                triple = trie.triple(pair[of], z)
+                codes = [trie.codes_at(0, pair), trie.codes_at(1, pair), trie.codes_at(2, triple)]
+            out.append(packed(*map(planes, codes)))
+        return pa.table({"chunk": group.column("chunk"), "shard": group.column("shard"), "blob": pa.array(out, pa.binary())})
+
+    return requests.groupBy("shard").applyInArrow(run, "chunk string, shard long, blob binary")
 
-def scored(parts: DataFrame, word_shards: int, pair_shards: int, n: int, v: int, betas: np.ndarray, id_column: str, kind: str) -> DataFrame:
-    """Scores of all texts, chunk by chunk."""
 
-    def run(table: pa.Table) -> pa.Table:
-        chunk, answers = _grouped(table)
-        gid, count = _with_words(chunk, answers[1], word_shards)
-        context, word, c_context, unknown = _pairs(chunk, gid, count)
-        ok, pairs, inverse, order, cuts = _distinct_pairs(context, word, unknown, pair_shards)
-        codes = np.zeros(len(pairs), np.int64)
-        for k, blob in answers[2].items():
-            codes[order[cuts[k] : cuts[k + 1]]] = unplaned(blob)
-        seen = np.zeros(len(word))
-        seen[ok] = dequantised(codes)[inverse]
-        beta = np.where(unknown | (c_context == 0), 1.0, betas[np.frexp(c_context.astype(float))[1]])
-        base = ((count + 1) / (n + 1 * (v + 1)))[chunk.ids]
-        first = np.r_[0, np.cumsum(chunk.lengths)[:-1]]
-        total = lambda x: np.add.reduceat(x, first)
-        size = len(first)
+_OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(table: DataFrame, model: NgramModel, id_column: str, kind: str) -> DataFrame:
+    """Scores of all texts of numbered chunks, chunk by chunk."""
+    shards, n, v = model.shards, model.n, model.v
+
+    def run(group: pa.Table) -> pa.Table:
+        own, answers = _grouped(group)
+        chunk = Numbered.from_bytes(own)
+        g = Grams(chunk, shards, False)
+        p2, left, p3 = np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.z), np.uint16)
+        for k, blob in answers.items():
+            pairs, triples = slice(g.cuts[k], g.cuts[k + 1]), slice(g.triple_cuts[k], g.triple_cuts[k + 1])
+            p2[pairs], left[pairs], p3[triples] = map(unplaned, unpacked(blob))
+        size = len(chunk.ids)
+        base = ((chunk.count + 1) / (n + 1 * (v + 1)))[chunk.ids]
+        of_x = chunk.context_counts()
+        second = np.zeros(size)
+        second[g.tokens] = dequantised(p2)[g.of_token]
+        p = second + MU / (of_x + MU) * base
+        # what the pair before a token leaves, and the triple that the token ends
+        mass, third = np.ones(size + 1), np.zeros(size + 1)
+        found = left[g.of_token] > 0
+        mass[g.tokens[found] + 1] = dequantised(left)[g.of_token[found]]
+        third[g.tokens[g.with_triple] + 1] = dequantised(p3)[g.triple_of]
+        mass[chunk.first], third[chunk.first] = 1.0, 0.0
+        p = third[:-1] + mass[:-1] * p
+        total = lambda x: np.add.reduceat(x, chunk.first)
         cols = {
             id_column: chunk.doc_ids,
             "held_out": pa.array(~chunk.train),
             "n_tokens": pa.array(chunk.lengths, pa.int64()),
-            "n_known": pa.array(total((count > 0)[chunk.ids].astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(size, n), pa.int64()),
+            "n_known": pa.array(total((chunk.count > 0)[chunk.ids].astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(len(chunk.first), n), pa.int64()),
             "base_score": pa.array(total(np.log10(base))),
-            "score": pa.array(total(np.log10((1 - beta) * seen + beta * base))),
+            "score": pa.array(total(np.log10(p))),
         }
         return pa.table(cols)
 
-    return parts.groupBy("chunk").applyInArrow(run, f"`{id_column}` {kind}, {_OUT}")
+    answers = gram_answers(gram_requests(table, shards, False), model)
+    return _with_answers(table, answers).applyInArrow(run, f"`{id_column}` {kind}, {_OUT}")
+
 
+def part_tokens(n_bytes: int) -> int:
+    """Tokens of a chunk and of a shard for a corpus of n_bytes: chunks x shards blobs of
+    BLOB_ENTRIES entries or more."""
+    return max(PART_TOKENS, int((BLOB_ENTRIES * n_bytes / 6) ** 0.5))
 
-def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+
+def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, chunk_tokens: int | None = None) -> DataFrame:
     """One row a text: learned from the folds other than held, all texts scored."""
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     is_held = F.coalesce(crc_fold(id_column, modulus) == held, F.lit(False))
-    table = staged(chunks(docs, id_column, text, is_held, chunk_tokens), "chunks")
+    part = chunk_tokens or part_tokens(docs.agg(F.sum(F.octet_length(text))).head()[0] or 0)
+    table = staged(chunks(docs, id_column, text, is_held, part), "chunks")
     tokens = table.agg(F.sum("n")).head()[0] or 0
     if not tokens:
         return spark.createDataFrame([], f"`{id_column}` {kind}, {_OUT}")
-    least = total_parallelism(spark)
-    word_shards, pair_shards = max(least, -(-tokens // WORD_SHARD_TOKENS)), max(least, -(-tokens // PAIR_SHARD_TOKENS))
-
-    words = staged(word_answers(word_requests(table, word_shards), word_shards), "words")
+    shards = max(total_parallelism(spark), -(-tokens // max(part, PART_TOKENS)))
+    words = staged(word_answers(word_requests(table, shards), shards), "words")
     n, v = words.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
-    own = table.select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("shard"), "blob")
-    answered = own.unionByName(words.where("chunk is not null").select("chunk", F.lit(1).alias("kind"), "shard", "blob"))
-
-    pairs = staged(pair_answers(pair_requests(answered, word_shards, pair_shards)), "pairs")
-    betas = np.ones(BUCKETS)
-    for bucket, t, s in pairs.where("chunk is null").groupBy("bucket").agg(F.sum("tokens"), F.sum("singles")).collect():
-        betas[bucket] = min(MOST, max(LEAST, s / t))
-    every = answered.unionByName(pairs.where("chunk is not null").select("chunk", F.lit(2).alias("kind"), "shard", "blob"))
-    return scored(every, word_shards, pair_shards, n, v, betas, id_column, kind)
+    ready = staged(numbered(table, words.where("chunk is not null"), shards), "numbered")
+    dropped(table, words)
+    return score(ready, fit(ready, n, v, shards), id_column, kind)

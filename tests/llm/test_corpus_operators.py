@@ -26,48 +26,73 @@ def test_elias_fano_round_trip(tmp_path):
         assert (ef.get(np.arange(n)) == v).all()
         q = np.concatenate([v, v + np.uint64(1), r.integers(0, top + 2, 200).astype(np.uint64)])
         assert (ef.next_geq(q) == np.searchsorted(v, q, "left")).all()
-    pairs = sorted({(int(a), int(b)) for a, b in r.integers(0, 50, (400, 2))})
-    a, b = np.array(pairs).T
-    p = -r.random(len(a)) * 5
-    trie = NgramTrie.build(a, b, p)
-    (tmp_path / "t").write_bytes(trie.to_bytes())
-    opened = NgramTrie.open(str(tmp_path / "t"))
-    grid = np.array(list(itertools.product(range(52), range(52))))
-    codes = opened.lookup(grid[:, 0], grid[:, 1])
-    want = dict(zip(pairs, quantised(p)))
-    assert all(int(c) == int(want.get((int(x), int(y)), 0)) for (x, y), c in zip(grid, codes))
-    assert opened.successors_of(pairs[0][0])[0].tolist() == [y for x, y in pairs if x == pairs[0][0]]
-    assert np.abs(np.log10(dequantised(quantised(p))) - p).max() <= STEP and quantised(np.array([-99.0]))[0] == CODES
-
-
-def lm_by_hand(docs):
+    assert (EliasFano.build(np.zeros(0)).next_geq(np.arange(3)) == 0).all()
+
+
+def test_trie_by_brute_force(tmp_path):
+    r = np.random.default_rng(0)
+    triples = sorted({tuple(map(int, t)) for t in r.integers(0, 30, (3000, 3)) ** 2})
+    pairs = sorted({t[:2] for t in triples})
+    at = {p: k for k, p in enumerate(pairs)}
+    p2, left, p3 = r.random(len(pairs)), r.random(len(pairs)), r.random(len(triples))
+    x, y = np.array(pairs).T
+    trie = NgramTrie.build(x, y, p2, left, np.array([at[t[:2]] for t in triples]), np.array([t[2] for t in triples]), p3)
+    url = f"file://{tmp_path}/tries/0"
+    trie.save(url)
+    opened = NgramTrie.open(url)
+    grid = np.array(list(itertools.product(sorted({*r.integers(0, 950, 30).tolist(), *x.tolist()}), repeat=2)))
+    found = opened.pair(grid[:, 0], grid[:, 1])
+    want2, want_left = dict(zip(pairs, quantised(p2))), dict(zip(pairs, quantised(left)))
+    for a, b, c, d in zip(*grid.T, opened.codes_at(0, found), opened.codes_at(1, found)):
+        assert (int(c), int(d)) == (int(want2.get((a, b), 0)), int(want_left.get((a, b), 0)))
+    want3 = dict(zip(triples, quantised(p3)))
+    for z in range(0, 900, 29):
+        codes = opened.codes_at(2, opened.triple(found, np.full(len(found), z)))
+        assert [int(c) for c in codes] == [int(want3.get((a, b, z), 0)) for a, b in grid]
+    words = sorted({*x.tolist()})
+    assert all(opened.successors_of(0, k).tolist() == [b for a, b in pairs if a == w] for k, w in enumerate(words))
+    assert opened.successors_of(1, 7).tolist() == [c for a, b, c in triples if (a, b) == pairs[7]]
+    assert np.abs(np.log10(dequantised(quantised(p3)) / p3)).max() <= STEP and quantised(np.array([1e-99, 0.0])).tolist() == [CODES, CODES]
+    empty = NgramTrie.build(*(np.zeros(0, np.int64),) * 7)
+    assert empty.pair(np.array([1]), np.array([2])).tolist() == [-1]
+
+
+def lm_by_hand(docs, d=0.75, mu=16.0):
+    """The stated formulas over dictionaries."""
     tok = {i: (t or "").encode().lower().split() + [b""] for i, t in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     for i, w in tok.items():
         if not held[i]:
+            s = [None, *w, 0]
             uni.update(w)
-            bi.update(zip([None] + w, w))
-    n, v = sum(uni.values()), len(uni)
-    c_of = lambda a: uni[b""] if a is None else uni[a]
-    t, s = Counter(), Counter()
-    for (a, _), c in bi.items():
-        t[math.frexp(c_of(a))[1]] += c
-        s[math.frexp(c_of(a))[1]] += c == 1
-    beta = {k: min(lm.MOST, max(lm.LEAST, s[k] / t[k])) for k in t}
+            bi.update(zip(s, w))
+            tri.update(zip(s, s[1:], s[2:]))
+    uni[None] = uni[b""]
+    n, v = sum(uni.values()) - uni[None], len([w for w in uni if w is not None and uni[w]])
+    kinds = Counter((a, b) for a, b, _ in tri)
+    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+    p2 = lambda w, a: (bi[a, w] + mu * p1(w)) / (uni[a] + mu)
+
+    def p3(w, a, b):
+        c = bi[a, b]
+        if not c:
+            return p2(w, b)
+        return max(tri[a, b, w] - d, 0) / c + d * kinds[a, b] / c * p2(w, b)
+
     out = {}
     for i, w in tok.items():
-        p1 = [(uni[x] + 1) / (n + 1 * (v + 1)) for x in w]
-        score = 0.0
-        for a, b, q in zip([None] + w, w, p1):
-            c = c_of(a)
-            k = beta[math.frexp(c)[1]] if c else 1.0
-            score += math.log10((1 - k) * (bi[a, b] / c if c else 0) + k * q)
-        out[i] = (held[i], len(w), sum(uni[x] > 0 for x in w), n, sum(map(math.log10, p1)), score)
+        s = [None, *w]
+        score = math.log10(p2(w[0], None)) + sum(math.log10(p3(x, a, b)) for a, b, x in zip(s, s[1:], s[2:]))
+        out[i] = (held[i], len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score)
+    known = [w for w in uni if w is not None]
+    for a, b in list(kinds)[::7]:
+        if b != b"":
+            assert sum(p3(w, a, b) for w in known) + (1 - sum(map(p1, known))) * (d * kinds[a, b] / bi[a, b]) * mu / (uni[b] + mu) == pytest.approx(1)
     return out
 
 
-@pytest.mark.parametrize("chunk", [40, lm.CHUNK_TOKENS])
+@pytest.mark.parametrize("chunk", [40, None])
 def test_lm_by_brute_force(make_docs, chunk):
     r = random.Random(1)
     texts = [" ".join(r.choice("The cat sat on a mat and the dog ran off xYz".split() + [f"w{k % 40}"]) for _ in range(r.randint(0, 30))) for k in range(120)] + [None, ""]
