@@ -51,7 +51,7 @@ PART_TOKENS, BLOB_ENTRIES = 1_000_000, 512
 #: an end, and of unknown words. Known words have higher ids.
 END, BEGIN, NOTHING, UNKNOWN = b"", 0, 0, 1
 #: Weight of the lower order after a word, and what is taken off each triple's count.
-MU, DISCOUNT = 16.0, 0.75
+MU, DISCOUNT = 256.0, 0.75
 
 
 def planes(x: np.ndarray) -> bytes:

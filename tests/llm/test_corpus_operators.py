@@ -57,7 +57,7 @@ def test_trie_by_brute_force(tmp_path):
     assert empty.pair(np.array([1]), np.array([2])).tolist() == [-1]
 
 
-def lm_by_hand(docs, d=0.75, mu=16.0):
+def lm_by_hand(docs, d=lm.DISCOUNT, mu=lm.MU):
     """The stated formulas over dictionaries."""
     tok = {i: (t or "").encode().lower().split() + [b""] for i, t in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
