@@ -10,6 +10,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,34 @@ def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, *urls: str) -> None:
+    """Delete files and folders."""
+    for url in urls:
+        path = spark._jvm.org.apache.hadoop.fs.Path(url)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of staged() that no later step reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        removed(df.sparkSession, df._staged_path)
+
+
+def write_file(url: str, content: bytes) -> None:
+    """A file of the shared folder, whole or not at all; a second run writes it anew."""
+    store, path = fs.FileSystem.from_uri(url)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(content)
+    store.move(part, path)
+
+
+def read_file(url: str) -> pa.Buffer:
+    """A file of the shared folder: memory-mapped on a mounted file system, else read."""
+    store, path = fs.FileSystem.from_uri(url)
+    f = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+    return f.read_buffer()
 
 
 def binary(column) -> "F.Column":

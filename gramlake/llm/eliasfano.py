@@ -10,8 +10,8 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pyarrow as pa
-from pyarrow import fs
+
+from .common import read_file, write_file
 
 #: 64-bit words in a block of the directory.
 BLOCK = 8
@@ -226,18 +226,9 @@ class NgramTrie:
         return cls(universe, parts[0], parts[1:3], parts[3:], codes)
 
     def save(self, url: str) -> None:
-        """Write to a file of the shared folder, whole or not at all (a task that runs
-        twice writes the same bytes)."""
-        store, path = fs.FileSystem.from_uri(url)
-        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        part = f"{path}.{np.random.default_rng().integers(1 << 62):x}"
-        with store.open_output_stream(part) as f:
-            f.write(self.to_bytes())
-        store.move(part, path)
+        write_file(url, self.to_bytes())
 
     @classmethod
     def open(cls, url: str) -> "NgramTrie":
-        """A trie in a file: memory-mapped on a mounted file system, else read."""
-        store, path = fs.FileSystem.from_uri(url)
-        f = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
-        return cls.from_buffer(f.read_buffer())
+        """A trie in a file, memory-mapped where the file system can do it."""
+        return cls.from_buffer(read_file(url))

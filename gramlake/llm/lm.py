@@ -9,14 +9,14 @@ The tries hold the parts that n-grams bring, smoothed and quantised: c(v w) / (c
 the discounted share of a triple, and left. A text's score is the sum of log10 P over
 its words and one end; the first word has the begin mark as its only context.
 
-fit() and score() are apart; both send no row for a token and broadcast nothing.
-Texts are encoded once into chunks (a word list and a stream of local ids), and the
-shard of each distinct word gives its id and count. fit: a chunk sends its distinct
-training pairs and triples, counted, to the shard of the pair (x, y) that begins
-them; a shard adds up what chunks bring, builds its trie and writes it to the
-shared folder. score: a chunk asks the shards for all its distinct n-grams; a shard
-maps its trie into memory and answers by context-relative successor search; scores
-are summed inside chunks. A frequent word or n-gram so costs one entry a chunk.
+No row stands for a token and nothing is broadcast. Texts are encoded once into
+chunks (a word list and a stream of local ids, a file each in the shared folder); the
+shard of each distinct word gives its id and count. Then a chunk sends its distinct
+pairs and triples, with training counts, to the shard of the pair (x, y) that begins
+them. A shard adds up what chunks bring, builds its trie, writes it to the shared
+folder, maps the file into memory and answers from it by context-relative successor
+search; scores are summed inside chunks. A frequent word or n-gram so costs one entry
+a chunk.
 
 Rows that travel are chunks x shards; both grow with the square root of the corpus
 (part_tokens), so the rows grow with the corpus and keep their size. The successors
@@ -34,7 +34,6 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, crc_fold, dropped, mix64, shared_dir, staged, total_parallelism
+from .common import binary, crc_fold, dropped, mix64, read_file, removed, shared_dir, staged, total_parallelism, write_file
 from .eliasfano import NgramTrie, dequantised
 
 #: Tokens of a chunk and of a shard, at least, and entries that a blob keeps as both grow.
@@ -117,8 +116,8 @@ class Chunk:
         return np.bincount(self.ids[self.token_train], minlength=len(self.words))
 
 
-def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int = PART_TOKENS) -> DataFrame:
-    """(chunk, n, blob): texts encoded, some millions of tokens a row."""
+def chunks(docs: DataFrame, id_column: str, text: str, held, folder: str, chunk_tokens: int = PART_TOKENS) -> DataFrame:
+    """(chunk, n): texts encoded, some chunk_tokens of them a file of folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh():
@@ -127,8 +126,9 @@ def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int =
             return words, [], [], [], [], 0
 
         def row():
-            c = Chunk([*words], np.concatenate(ids), np.array(lengths), np.array(train), pa.concat_arrays(rows))
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), pa.array([c.to_bytes()], pa.binary())], names=["chunk", "n", "blob"])
+            key = uuid.uuid4().hex
+            write_file(f"{folder}/chunks/{key}", Chunk([*words], np.concatenate(ids), np.array(lengths), np.array(train), pa.concat_arrays(rows)).to_bytes())
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([n], pa.int64())], names=["chunk", "n"])
 
         words, ids, lengths, train, rows, n = fresh()
         for batch in batches:
@@ -150,16 +150,21 @@ def chunks(docs: DataFrame, id_column: str, text: str, held, chunk_tokens: int =
         if lengths:
             yield row()
 
-    return docs.select(F.col(id_column).alias("id"), binary(text).alias("raw"), held.alias("held")).mapInArrow(run, "chunk string, n long, blob binary")
+    return docs.select(F.col(id_column).alias("id"), binary(text).alias("raw"), held.alias("held")).mapInArrow(run, "chunk string, n long")
 
 
-def word_requests(table: DataFrame, shards: int) -> DataFrame:
+def spread(table: DataFrame, n: int) -> DataFrame:
+    """The names of n chunks, a task for each."""
+    return table.select("chunk").repartition(n, "chunk")
+
+
+def word_requests(table: DataFrame, folder: str, shards: int) -> DataFrame:
     """(shard, chunk, blob): a chunk's distinct words of a shard with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = Chunk.from_bytes(blob)
+            for key in batch.column(0).to_pylist():
+                c = Chunk.from_bytes(read_file(f"{folder}/chunks/{key}").to_pybytes())
                 counts = c.word_counts()
                 shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in c.words), np.int64, len(c.words))
                 order = np.argsort(shard, kind="stable")
@@ -171,7 +176,7 @@ def word_requests(table: DataFrame, shards: int) -> DataFrame:
                         out.append((k, key, packed(squeezed(b"\n".join([c.words[i] for i in at])), planes(counts[at]))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary()))], names=["shard", "chunk", "blob"])
 
-    return table.select("chunk", "blob").mapInArrow(run, "shard long, chunk string, blob binary")
+    return table.mapInArrow(run, "shard long, chunk string, blob binary")
 
 
 def word_answers(requests: DataFrame, shards: int) -> DataFrame:
@@ -237,14 +242,12 @@ class Grams:
     shards hold them, and for every token the places of its own: token y has the pair
     (x, y) with x the word before, and the triple (x, y, z) with z the word after."""
 
-    def __init__(self, chunk: Numbered, shards: int, training: bool):
+    def __init__(self, chunk: Numbered, shards: int):
         y = chunk.gid[chunk.ids]
         x, z = np.roll(y, 1), np.roll(y, -1)
         x[chunk.first] = BEGIN
         z[chunk.first + chunk.lengths - 1] = NOTHING
         some = (x != UNKNOWN) & (y != UNKNOWN)
-        if training:
-            some &= np.repeat(chunk.train, chunk.lengths)
         self.tokens = np.flatnonzero(some)
         key = (x[some].astype(np.uint64) << np.uint64(32)) | y[some].astype(np.uint64)
         pairs, first, of = np.unique(key, return_index=True, return_inverse=True)
@@ -256,8 +259,7 @@ class Grams:
         self.first_token = self.tokens[first[order]]
         #: pairs [cuts[k], cuts[k + 1]) are those of shard k
         self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        # triples, sorted by pair; what follows an end counts in training only
-        next_known = z[some] != UNKNOWN if training else z[some] > UNKNOWN
+        next_known = z[some] != UNKNOWN
         self.with_triple = np.flatnonzero(next_known)
         key = (self.of_token[next_known].astype(np.uint64) << np.uint64(32)) | z[some][next_known].astype(np.uint64)
         triples, self.triple_of = np.unique(key, return_inverse=True)
@@ -272,82 +274,90 @@ class Grams:
         return packed(planes(np.diff(x, prepend=0)), planes(y), planes(sizes), planes(self.z[t]), *more)
 
 
-def _grams_of(blob: bytes) -> tuple:
-    """x, y, the pair of each triple, z, and what else Grams.blob packed."""
-    dx, y, sizes, z, *more = map(unplaned, unpacked(blob))
-    return np.cumsum(dx), y, np.repeat(np.arange(len(y)), sizes), z, *more
-
-
-def _grouped(table: pa.Table) -> tuple[bytes, dict[int, bytes]]:
-    """The chunk of a group, and its answers by shard."""
-    own, answers = None, {}
-    for shard, blob in zip(table.column("shard").to_pylist(), table.column("blob").to_pylist()):
-        if shard < 0:
-            own = blob
-        else:
-            answers[shard] = blob
-    return own, answers
-
-
-def _with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
-    return table.select("chunk", F.lit(-1).cast("long").alias("shard"), "blob").unionByName(answers.select("chunk", "shard", "blob")).groupBy("chunk")
+def numbered(answers: DataFrame, folder: str, shards: int) -> DataFrame:
+    """(chunk): chunks written anew with the ids and counts of their words."""
 
+    def run(group: pa.Table) -> pa.Table:
+        key = group.column("chunk")[0].as_py()
+        found = dict(zip(group.column("shard").to_pylist(), group.column("blob").to_pylist()))
+        write_file(f"{folder}/numbered/{key}", Numbered.of(read_file(f"{folder}/chunks/{key}").to_pybytes(), found, shards))
+        return pa.table({"chunk": pa.array([key])})
 
-def numbered(table: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
-    """(chunk, blob): chunks with the ids and counts of their words."""
+    return answers.groupBy("chunk").applyInArrow(run, "chunk string")
 
-    def run(group: pa.Table) -> pa.Table:
-        own, found = _grouped(group)
-        return pa.table({"chunk": group.column("chunk")[:1], "blob": pa.array([Numbered.of(own, found, shards)], pa.binary())})
 
-    return _with_answers(table, answers).applyInArrow(run, "chunk string, blob binary")
+def _numbered(folder: str, key: str) -> Numbered:
+    return Numbered.from_bytes(read_file(f"{folder}/numbered/{key}").to_pybytes())
 
 
-def gram_requests(table: DataFrame, shards: int, training: bool) -> DataFrame:
-    """(shard, chunk, blob): a chunk's distinct n-grams of a shard; for training with the
-    count of each triple and of each pair's first word."""
+def gram_requests(table: DataFrame, folder: str, shards: int) -> DataFrame:
+    """(shard, chunk, blob): a chunk's distinct n-grams of a shard, with the training count
+    of each triple and the count of each pair's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chunk = Numbered.from_bytes(blob)
-                g = Grams(chunk, shards, training)
-                if training:
-                    c = np.bincount(g.triple_of, minlength=len(g.z))
-                    of_x = chunk.context_counts()[g.first_token]
-                out = []
-                for k in np.flatnonzero(np.diff(g.cuts)).tolist():
-                    more = (planes(c[g.triple_cuts[k] : g.triple_cuts[k + 1]]), planes(of_x[g.cuts[k] : g.cuts[k + 1]])) if training else ()
-                    out.append((k, key, g.blob(k, *more)))
+            for key in batch.column(0).to_pylist():
+                chunk = _numbered(folder, key)
+                g = Grams(chunk, shards)
+                trained = np.repeat(chunk.train, chunk.lengths)[g.tokens[g.with_triple]]
+                c = np.bincount(g.triple_of[trained], minlength=len(g.z))
+                of_x = chunk.context_counts()[g.first_token]
+                shard_of = np.flatnonzero(np.diff(g.cuts)).tolist()
+                out = [(k, key, g.blob(k, planes(c[g.triple_cuts[k] : g.triple_cuts[k + 1]]), planes(of_x[g.cuts[k] : g.cuts[k + 1]]))) for k in shard_of]
                 cols = list(zip(*out)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], names=["shard", "chunk", "blob"])
 
-    return table.select("chunk", "blob").mapInArrow(run, "shard long, chunk string, blob binary")
-
-
-def trie_of(blobs: list[bytes]) -> NgramTrie:
-    """The trie of a shard from what chunks sent, the same triple from several added up."""
-    parts = []
-    for blob in blobs:
-        x, y, of, z, c, of_x = _grams_of(blob)
-        key = (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
-        parts.append((key, of_x, key[of], z, c))
-    key, of_x, of_triple, z, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    del parts
-    pairs, first = np.unique(key, return_index=True)
-    of_x = of_x[first]
-    triples, inverse = np.unique((np.searchsorted(pairs, of_triple).astype(np.uint64) << np.uint64(32)) | z.astype(np.uint64), return_inverse=True)
-    c = np.bincount(inverse, c, minlength=len(triples))
-    of, z = (triples >> np.uint64(32)).astype(np.int64), (triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    of_pair = np.bincount(of, c, minlength=len(pairs))
-    left = DISCOUNT * np.bincount(of, minlength=len(pairs)) / of_pair
-    x, y = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return NgramTrie.build(x, y, of_pair / (of_x + MU), left, of, z, np.maximum(c - DISCOUNT, 0) / of_pair[of])
+    return table.mapInArrow(run, "shard long, chunk string, blob binary")
+
+
+class Asked:
+    """What chunks ask of a shard, equal n-grams put together: pairs, triples as (place
+    of the pair, z), their places by request, and the training counts."""
+
+    def __init__(self, blobs: list[bytes]):
+        keys, of, zs, cs, of_xs, self.sizes, at = [], [], [], [], [], [], 0
+        for blob in blobs:
+            dx, y, sizes, z, c, of_x = map(unplaned, unpacked(blob))
+            keys.append((np.cumsum(dx).astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64))
+            of.append(np.repeat(np.arange(at, at + len(y)), sizes))
+            zs.append(z)
+            self.sizes.append((len(y), len(z)))
+            at += len(y)
+            cs.append(c)
+            of_xs.append(of_x)
+        self.pairs, first, self.pair_at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        triples, self.triple_at = np.unique((self.pair_at[np.concatenate(of)].astype(np.uint64) << np.uint64(32)) | np.concatenate(zs).astype(np.uint64), return_inverse=True)
+        self.of, self.z = (triples >> np.uint64(32)).astype(np.int64), (triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.x, self.y = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.c = np.bincount(self.triple_at, np.concatenate(cs), minlength=len(triples))
+        self.of_x = np.concatenate(of_xs)[first]
+
+    def trie(self) -> NgramTrie:
+        """The trie of what has a training count."""
+        has = self.c > 0
+        c = np.bincount(self.of, self.c, minlength=len(self.pairs))  # of a pair
+        kept = c > 0
+        place = np.cumsum(kept) - 1
+        of, z = place[self.of[has]], self.z[has]
+        c, of_x = c[kept], self.of_x[kept]
+        left = DISCOUNT * np.bincount(of, minlength=len(c)) / c
+        return NgramTrie.build(self.x[kept], self.y[kept], c / (of_x + MU), left, of, z, np.maximum(self.c[has] - DISCOUNT, 0) / c[of])
+
+    def answers(self, trie: NgramTrie) -> list[bytes]:
+        """The codes of each request's pairs and triples, in its order."""
+        pair = trie.pair(self.x, self.y)
+        p2, left, p3 = trie.codes_at(0, pair), trie.codes_at(1, pair), trie.codes_at(2, trie.triple(pair[self.of], self.z))
+        out, i, j = [], 0, 0
+        for pairs, triples in self.sizes:
+            at = self.pair_at[i : i + pairs]
+            out.append(packed(planes(p2[at]), planes(left[at]), planes(p3[self.triple_at[j : j + triples]])))
+            i, j = i + pairs, j + triples
+        return out
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    """Tries of all shards in a folder, and what they share."""
+    """Tries of all shards in a folder, and the counts of all training tokens and words."""
 
     folder: str
     shards: int
@@ -355,46 +365,16 @@ class NgramModel:
     v: int
 
 
-def fit(table: DataFrame, n: int, v: int, shards: int) -> NgramModel:
-    """Build and write the tries of numbered chunks, one file a shard."""
-    folder = f"{shared_dir(table.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-
-    def build(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        trie = trie_of(group.column("blob").to_pylist())
-        trie.save(f"{folder}/{shard}")
-        return pa.table({"shard": pa.array([shard], pa.int64()), "triples": pa.array([trie.successors[1].n], pa.int64())})
-
-    gram_requests(table, shards, True).groupBy("shard").applyInArrow(build, "shard long, triples long").agg(F.sum("triples")).head()
-    return NgramModel(folder, shards, n, v)
-
-
-@lru_cache(maxsize=4)
-def _opened(url: str) -> NgramTrie | None:
-    try:
-        return NgramTrie.open(url)
-    except FileNotFoundError:  # a shard without training n-grams
-        return None
-
-
 def gram_answers(requests: DataFrame, model: NgramModel) -> DataFrame:
-    """(chunk, shard, blob): the codes of the asked pairs and triples, in their order."""
+    """(chunk, shard, blob): the codes of the asked pairs and triples, in their order, from
+    the shard's trie, which is built and written first."""
     folder = model.folder
 
     def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        trie, out = _opened(f"{folder}/{shard}"), []
-        for blob in group.column("blob").to_pylist():
-            x, y, of, z = _grams_of(blob)
-            if trie is None:
-                pair, triple = np.full(len(y), -1), np.full(len(z), -1)
-                codes = [np.zeros(len(y), np.int64)] * 2 + [np.zeros(len(z), np.int64)]
-            else:
-                pair = trie.pair(x, y)
-                triple = trie.triple(pair[of], z)
-                codes = [trie.codes_at(0, pair), trie.codes_at(1, pair), trie.codes_at(2, triple)]
-            out.append(packed(*map(planes, codes)))
-        return pa.table({"chunk": group.column("chunk"), "shard": group.column("shard"), "blob": pa.array(out, pa.binary())})
+        url = f"{folder}/tries/{group.column('shard')[0].as_py()}"
+        asked = Asked(group.column("blob").to_pylist())
+        asked.trie().save(url)
+        return pa.table({"chunk": group.column("chunk"), "shard": group.column("shard"), "blob": pa.array(asked.answers(NgramTrie.open(url)), pa.binary())})
 
     return requests.groupBy("shard").applyInArrow(run, "chunk string, shard long, blob binary")
 
@@ -402,16 +382,15 @@ def gram_answers(requests: DataFrame, model: NgramModel) -> DataFrame:
 _OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(table: DataFrame, model: NgramModel, id_column: str, kind: str) -> DataFrame:
-    """Scores of all texts of numbered chunks, chunk by chunk."""
+def score(answers: DataFrame, folder: str, model: NgramModel, id_column: str, kind: str) -> DataFrame:
+    """Scores of all texts of numbered chunks, chunk by chunk, from their answers."""
     shards, n, v = model.shards, model.n, model.v
 
     def run(group: pa.Table) -> pa.Table:
-        own, answers = _grouped(group)
-        chunk = Numbered.from_bytes(own)
-        g = Grams(chunk, shards, False)
+        chunk = _numbered(folder, group.column("chunk")[0].as_py())
+        g = Grams(chunk, shards)
         p2, left, p3 = np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.z), np.uint16)
-        for k, blob in answers.items():
+        for k, blob in zip(group.column("shard").to_pylist(), group.column("blob").to_pylist()):
             pairs, triples = slice(g.cuts[k], g.cuts[k + 1]), slice(g.triple_cuts[k], g.triple_cuts[k + 1])
             p2[pairs], left[pairs], p3[triples] = map(unplaned, unpacked(blob))
         size = len(chunk.ids)
@@ -439,8 +418,7 @@ def score(table: DataFrame, model: NgramModel, id_column: str, kind: str) -> Dat
         }
         return pa.table(cols)
 
-    answers = gram_answers(gram_requests(table, shards, False), model)
-    return _with_answers(table, answers).applyInArrow(run, f"`{id_column}` {kind}, {_OUT}")
+    return answers.groupBy("chunk").applyInArrow(run, f"`{id_column}` {kind}, {_OUT}")
 
 
 def part_tokens(n_bytes: int) -> int:
@@ -454,14 +432,17 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modul
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     is_held = F.coalesce(crc_fold(id_column, modulus) == held, F.lit(False))
-    part = chunk_tokens or part_tokens(docs.agg(F.sum(F.octet_length(text))).head()[0] or 0)
-    table = staged(chunks(docs, id_column, text, is_held, part), "chunks")
-    tokens = table.agg(F.sum("n")).head()[0] or 0
+    part = chunk_tokens or part_tokens(docs.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0)
+    folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+    table = staged(chunks(docs, id_column, text, is_held, folder, part), "chunks", narrow=True)
+    tokens, count = table.agg(F.sum("n"), F.count("*")).head()
     if not tokens:
         return spark.createDataFrame([], f"`{id_column}` {kind}, {_OUT}")
     shards = max(total_parallelism(spark), -(-tokens // max(part, PART_TOKENS)))
-    words = staged(word_answers(word_requests(table, shards), shards), "words")
+    words = staged(word_answers(word_requests(spread(table, count), folder, shards), shards), "words")
     n, v = words.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
-    ready = staged(numbered(table, words.where("chunk is not null"), shards), "numbered")
-    dropped(table, words)
-    return score(ready, fit(ready, n, v, shards), id_column, kind)
+    ready = staged(numbered(words.where("chunk is not null").select("chunk", "shard", "blob"), folder, shards), "numbered", narrow=True)
+    dropped(words)
+    removed(spark, f"{folder}/chunks")
+    model = NgramModel(folder, shards, n, v)
+    return score(gram_answers(gram_requests(spread(ready, count), folder, shards), model), folder, model, id_column, kind)
