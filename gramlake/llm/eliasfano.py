@@ -86,19 +86,31 @@ class EliasFano:
         top = self._select(i, False) - i
         return (top.astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
 
-    def next_geq(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value >= x (n if none), for each x."""
-        x = np.asarray(x, np.uint64)
-        out = np.full(len(x), self.n, np.int64)
+    def _runs(self, start: np.ndarray, zeros_before: np.ndarray) -> np.ndarray:
+        """Number of ones from each place of the bit vector up to the next zero."""
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        more = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        window = (self.high[word] >> shift) | np.where(shift > 0, more << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        zeros = ~window
+        out = np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        long = np.flatnonzero(zeros == 0)
+        out[long] = self._select(zeros_before[long], True) - start[long]
+        return out
+
+    def _bucket(self, x: np.ndarray):
+        """For each x with a top in reach: its place in x, first and end index of the
+        values with its top, and its low part; the first value >= it by bisection."""
         zeros = len(self.high) * 64 - self.n  # the padding ends with zeros
         top = (x >> np.uint64(self.l)).astype(np.int64)
-        at = np.flatnonzero(top < zeros)
-        if not self.n or not len(at):
-            return out
+        at = np.flatnonzero(top < zeros) if self.n else np.zeros(0, np.int64)
         top = top[at]
-        low = np.where(top > 0, self._select(np.maximum(top - 1, 0), True) + 1, 0) - top
-        high = self._select(top, True) - top  # values with this top are low .. high - 1
+        start = np.zeros(len(at), np.int64)
+        later = np.flatnonzero(top > 0)
+        start[later] = self._select(top[later] - 1, True) + 1
+        low = start - top
+        end = low + self._runs(start, top)
         part = x[at] & np.uint64((1 << self.l) - 1) if self.l else np.zeros(len(at), np.uint64)
+        high = end.copy()
         live = np.flatnonzero(low < high)
         while len(live):
             mid = (low[live] + high[live]) >> 1
@@ -106,9 +118,26 @@ class EliasFano:
             low[live] = np.where(less, mid + 1, low[live])
             high[live] = np.where(less, high[live], mid)
             live = live[low[live] < high[live]]
+        return at, low, end, part
+
+    def next_geq(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value >= x (n if none), for each x."""
+        x = np.asarray(x, np.uint64)
+        out = np.full(len(x), self.n, np.int64)
+        at, low, _, _ = self._bucket(x)
         out[at] = low
         return out
 
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value equal to x (-1 if none), for each x."""
+        x = np.asarray(x, np.uint64)
+        out = np.full(len(x), -1, np.int64)
+        at, low, end, part = self._bucket(x)
+        some = np.flatnonzero(low < end)
+        some = some[self.lows(low[some]) == part[some]]
+        out[at[some]] = low[some]
+        return out
+
     def to_bytes(self) -> bytes:
         return struct.pack("<4q", self.n, self.l, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.ones.astype(np.int64).tobytes()
 
@@ -123,15 +152,15 @@ class EliasFano:
         return cls(n, l, low, high, ones), at + 8 * len(ones)
 
 
-#: Quantised log10 probabilities: code 0 is "not there", code k is -(k - 1) * STEP.
-LOWEST, CODES = 12.0, 65535
+#: Quantised log10 probabilities in a byte: code 0 is "not there", code k is -(k - 1) * STEP.
+LOWEST, CODES = 10.0, 255
 STEP = LOWEST / (CODES - 1)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
     """Codes of probabilities; those under 10 ** -LOWEST, 0 among them, get the last code."""
     log10p = np.log10(np.maximum(p, 10.0**-LOWEST))
-    return (1 + np.clip(np.rint(-log10p / STEP), 0, CODES - 1)).astype(np.uint16)
+    return (1 + np.clip(np.rint(-log10p / STEP), 0, CODES - 1)).astype(np.uint8)
 
 
 def dequantised(codes: np.ndarray) -> np.ndarray:
@@ -172,25 +201,14 @@ class NgramTrie:
         out = np.full(len(rank), -1, np.int64)
         word = np.asarray(word)
         at = np.flatnonzero((rank >= 0) & (word < self.universe))
-        if not len(at) or not self.successors[level].n:
-            return out
-        aim = rank[at].astype(np.uint64) * np.uint64(self.universe) + word[at].astype(np.uint64)
-        found = self.successors[level].next_geq(aim)
-        inside = np.flatnonzero(found < self.pointers[level].get(rank[at] + 1).astype(np.int64))
-        hit = inside[self.successors[level].get(found[inside]) == aim[inside]]
-        out[at[hit]] = found[hit]
+        out[at] = self.successors[level].find(rank[at].astype(np.uint64) * np.uint64(self.universe) + word[at].astype(np.uint64))
         return out
 
     def pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Places of pairs in level 2, -1 for those that the trie lacks."""
         x = np.asarray(x, np.uint64)
         new = np.r_[True, x[1:] != x[:-1]][: len(x)]  # equal neighbours are looked up once
-        one = x[new]
-        rank = self.words.next_geq(one)
-        some = np.flatnonzero(rank < self.words.n)
-        same = np.zeros(len(one), bool)
-        same[some] = self.words.get(rank[some]) == one[some]
-        return self._below(0, np.where(same, rank, -1)[np.cumsum(new) - 1], y)
+        return self._below(0, self.words.find(x[new])[np.cumsum(new) - 1], y)
 
     def triple(self, at: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Places in level 3 of the successors z of pairs at."""
@@ -198,7 +216,7 @@ class NgramTrie:
 
     def codes_at(self, which: int, at: np.ndarray) -> np.ndarray:
         """Codes of p2 (0), the mass left (1) or p3 (2) at places; 0 where the place is -1."""
-        out = np.zeros(len(at), np.uint16)
+        out = np.zeros(len(at), np.uint8)
         has = at >= 0
         out[has] = self.codes[which][at[has]]
         return out
@@ -221,8 +239,8 @@ class NgramTrie:
             x, at = EliasFano.from_buffer(raw, at)
             parts.append(x)
         for n in (pairs, pairs, triples):
-            codes.append(np.frombuffer(raw, np.uint16, n, at))
-            at += 2 * n + -2 * n % 8
+            codes.append(np.frombuffer(raw, np.uint8, n, at))
+            at += n + -n % 8
         return cls(universe, parts[0], parts[1:3], parts[3:], codes)
 
     def save(self, url: str) -> None:

@@ -302,7 +302,7 @@ def gram_requests(table: DataFrame, folder: str, shards: int) -> DataFrame:
                 trained = np.repeat(chunk.train, chunk.lengths)[g.tokens[g.with_triple]]
                 c = np.bincount(g.triple_of[trained], minlength=len(g.z))
                 of_x = chunk.context_counts()[g.first_token]
-                shard_of = np.flatnonzero(np.diff(g.cuts)).tolist()
+                shard_of = np.flatnonzero(np.diff(g.cuts)).tolist() or [0]  # a chunk without known n-grams is answered too
                 out = [(k, key, g.blob(k, planes(c[g.triple_cuts[k] : g.triple_cuts[k + 1]]), planes(of_x[g.cuts[k] : g.cuts[k + 1]]))) for k in shard_of]
                 cols = list(zip(*out)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], names=["shard", "chunk", "blob"])
@@ -389,7 +389,7 @@ def score(answers: DataFrame, folder: str, model: NgramModel, id_column: str, ki
     def run(group: pa.Table) -> pa.Table:
         chunk = _numbered(folder, group.column("chunk")[0].as_py())
         g = Grams(chunk, shards)
-        p2, left, p3 = np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.pairs), np.uint16), np.zeros(len(g.z), np.uint16)
+        p2, left, p3 = np.zeros(len(g.pairs), np.uint8), np.zeros(len(g.pairs), np.uint8), np.zeros(len(g.z), np.uint8)
         for k, blob in zip(group.column("shard").to_pylist(), group.column("blob").to_pylist()):
             pairs, triples = slice(g.cuts[k], g.cuts[k + 1]), slice(g.triple_cuts[k], g.triple_cuts[k + 1])
             p2[pairs], left[pairs], p3[triples] = map(unplaned, unpacked(blob))
@@ -434,14 +434,14 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", modul
     is_held = F.coalesce(crc_fold(id_column, modulus) == held, F.lit(False))
     part = chunk_tokens or part_tokens(docs.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0)
     folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
-    table = staged(chunks(docs, id_column, text, is_held, folder, part), "chunks", narrow=True)
+    table = staged(chunks(docs, id_column, text, is_held, folder, part), "chunks")
     tokens, count = table.agg(F.sum("n"), F.count("*")).head()
     if not tokens:
         return spark.createDataFrame([], f"`{id_column}` {kind}, {_OUT}")
     shards = max(total_parallelism(spark), -(-tokens // max(part, PART_TOKENS)))
     words = staged(word_answers(word_requests(spread(table, count), folder, shards), shards), "words")
     n, v = words.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
-    ready = staged(numbered(words.where("chunk is not null").select("chunk", "shard", "blob"), folder, shards), "numbered", narrow=True)
+    ready = staged(numbered(words.where("chunk is not null").select("chunk", "shard", "blob"), folder, shards), "numbered")
     dropped(words)
     removed(spark, f"{folder}/chunks")
     model = NgramModel(folder, shards, n, v)
