@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -35,8 +36,13 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r {_LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _PLAIN = re.compile(rf"[\x00-\x7f{_LATIN}]*")
 _FULL = regex.compile(PATTERN)
+_SPACE = regex.compile(r"\p{White_Space}+")
+#: The pieces of the pattern that a cut splits in two.
+CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Entries a worker's caches may hold before they are emptied.
 CACHE_PIECES, CACHE_PAIRS = 400_000, 1_500_000
+#: Longer pieces have a cache of their own, of so many bytes of text.
+LONG_PIECE, LONG_BYTES = 1024, 4 << 20
 LIMIT = 1024
 
 
@@ -49,17 +55,40 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """Piece -> its token count; the last of its prefix counts."""
+    """Piece -> its token count; prefixes has the counts of all its byte prefixes."""
 
     def __init__(self, model: "PrefixModel"):
         self.model = model
+        self.prefixes: dict[str, array] = {}
+        self.long: dict[str, array] = {}
+        self.long_bytes = 0
 
     def __missing__(self, piece: str) -> int:
+        if piece in self.long:
+            return self.long[piece][-1]
+        return self.keep(piece, self.model.prefix_counts(piece.encode()))
+
+    def keep(self, piece: str, counts: list[int]) -> int:
+        """Store the counts of a piece; of long pieces, LONG_BYTES at a time."""
         if len(self) >= CACHE_PIECES:
             self.clear()
-        n = self[piece] = self.model.prefix_counts(piece.encode())[-1]
+            self.prefixes.clear()
+        n = counts[-1]
+        if len(counts) <= LONG_PIECE:
+            self.prefixes[piece] = array("H", counts)
+            self[piece] = n
+        else:
+            if self.long_bytes + len(counts) > LONG_BYTES:
+                self.long.clear()
+                self.long_bytes = 0
+            self.long[piece] = array("I", counts)
+            self.long_bytes += len(counts)
         return n
 
+    def counts(self, piece: str):
+        found = self.prefixes.get(piece, self.long.get(piece))
+        return self.model.prefix_counts(piece.encode()) if found is None else found
+
 
 class PrefixModel:
     """Vocabulary, merges and the caches of one worker."""
@@ -87,6 +116,7 @@ class PrefixModel:
         self.tokens = {t: k for t, k in vocab.items() if len(t) == 1 or self.made[k] >= 0 and self._fits(self.left[k], self.right[k], self.made[k])}
         self.tails = {t[k:] for t in self.tokens for k in range(len(t))}
         self.pieces = _Pieces(self)
+        self.longest_token = max(map(len, self.tokens))
 
     def _fits(self, a: int, b: int, own: int = -1) -> bool:
         """Does encoding the bytes of tokens a and b keep the border between them?
@@ -145,21 +175,27 @@ class PrefixModel:
             counts.append(counts[j] + 1)
         return counts
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> dict[str, int]:
         """Count pieces ahead, in byte order: a piece starts from the stored prefixes
-        of the one before it, so what two pieces share is computed once."""
+        of the one before it, so what two pieces share is computed once. Returns the
+        counts of the long ones."""
         known = self.pieces
-        new = sorted(p.encode() for p in {*pieces} if p not in known)
+        long = {p: known.long[p][-1] for p in pieces if p in known.long} if known.long else {}
+        new = sorted(p.encode() for p in {*pieces} if p not in known and p not in known.long)
         if len(known) + len(new) > CACHE_PIECES:
             known.clear()
+            known.prefixes.clear()
         before, last, counts = b"", [-1], [0]
         for raw in new:
             k, most = 0, min(len(raw), len(before))
             while k < most and raw[k] == before[k]:
                 k += 1
             del last[k + 1 :], counts[k + 1 :]
-            known[raw.decode()] = self.prefix_counts(raw, last, counts)[-1]
-            before = raw
+            piece, before = raw.decode(), raw
+            n = known.keep(piece, self.prefix_counts(raw, last, counts))
+            if len(raw) >= LONG_PIECE:
+                long[piece] = n
+        return long
 
     def counts(self, texts: list[str], block: int = 4 << 20) -> list[int]:
         """Tokens of each text, some MB of them at a time."""
@@ -177,8 +213,11 @@ class PrefixModel:
                     odd[len(parts)] = self.count(t)
                     t = ""
                 parts.append(self.split(t))
-            self.learn([p for ps in parts for p in ps])
-            out += [odd[k] if k in odd else sum(map(get, ps)) for k, ps in enumerate(parts)]
+            long = self.learn([p for ps in parts for p in ps])
+            if long:
+                out += [odd[k] if k in odd else sum(long[p] if p in long else get(p) for p in ps) for k, ps in enumerate(parts)]
+            else:
+                out += [odd[k] if k in odd else sum(map(get, ps)) for k, ps in enumerate(parts)]
             at = end
         return out
 
@@ -204,7 +243,13 @@ class PrefixModel:
 
 
 class PrefixTable:
-    """Stored counts of one text: piece ends (code points) and running token counts."""
+    """Stored counts of one text: where its pieces end (code points), running token
+    counts, and by piece the counts of all prefixes.
+
+    A prefix of the text splits as the text does, but for its end: a run of white
+    space that ends the prefix is one piece; a contraction cut after its second
+    character is two; a cut special string is ordinary text.
+    """
 
     def __init__(self, model: PrefixModel, text: str):
         self.model, self.text = model, text
@@ -212,33 +257,93 @@ class PrefixTable:
         for s, special in model.segments(text):
             self.pieces += [(s, True)] if special else [(p, False) for p in model.split(s)]
         self.ends = list(accumulate(len(p) for p, _ in self.pieces))
-        self.totals = list(accumulate(1 if special else model.pieces[p] for p, special in self.pieces))
+        long = model.learn([p for p, special in self.pieces if not special])
+        self.totals = list(accumulate(1 if special else long[p] if p in long else model.pieces[p] for p, special in self.pieces))
+        self._at: tuple[int, int] | None = None
+        self._counts: list[int] = []
+        self._run_of: tuple[int, tuple[int, int, int]] = (-1, (0, 0, 0))
 
     @property
     def total(self) -> int:
         return self.totals[-1] if self.totals else 0
 
+    def _before(self, k: int) -> tuple[int, int]:
+        """Start and tokens of what stands before piece k."""
+        return (self.ends[k - 1], self.totals[k - 1]) if k else (0, 0)
+
+    def _stored(self, start: int, stop: int) -> list[int]:
+        """Token counts of all prefixes, in code points, of text[start:stop], one piece."""
+        if self._at != (start, stop):
+            piece = self.text[start:stop]
+            counts = self.model.pieces.counts(piece)
+            if not piece.isascii():
+                counts = [counts[n] for n in accumulate((len(c.encode()) for c in piece), initial=0)]
+            self._at, self._counts = (start, stop), counts
+        return self._counts
+
+    def _blank(self, k: int) -> bool:
+        """Is piece k white space alone, and no special string?"""
+        return 0 <= k < len(self.pieces) and not self.pieces[k][1] and _SPACE.fullmatch(self.pieces[k][0]) is not None
+
+    def _run(self, k: int) -> tuple[int, int, int]:
+        """Of the run of white space that piece k belongs to: its first piece, start, end."""
+        if k != self._run_of[0]:
+            first = last = k
+            while self._blank(first - 1):
+                first -= 1
+            while self._blank(last):
+                last += 1
+            opens = last < len(self.pieces) and not self.pieces[last][1] and _SPACE.match(self.pieces[last][0]) is not None
+            self._run_of = k, (first, self._before(first)[0], self._before(last)[0] + opens)
+        return self._run_of[1]
+
     def count(self, i: int) -> int:
-        """Tokens of text[:i]. Only the piece that i cuts is looked at anew; where i
-        lies in a run of white space, the run's pieces join."""
+        """Tokens of text[:i], from stored counts."""
         i = max(0, min(i, len(self.text)))
-        k = bisect_left(self.ends, i)
-        if not i or k < len(self.ends) and self.ends[k] == i and not self.text[i - 1].isspace():
-            return self.totals[k] if i else 0
-        if k < len(self.pieces) and self.pieces[k][1] and i < self.ends[k] and k and not self.pieces[k - 1][1]:
-            k -= 1  # a cut special string is ordinary text and may join the piece before
-        while k and self.pieces[k - 1][0][-1:].isspace() and not self.pieces[k - 1][1]:
-            k -= 1
-        start = self.ends[k - 1] if k else 0
-        return (self.totals[k - 1] if k else 0) + self.model.count(self.text[start:i])
+        if not i:
+            return 0
+        k = bisect_left(self.ends, i)  # the piece that holds the last code point
+        piece, special = self.pieces[k]
+        start, before = self._before(k)
+        if special:
+            return self.totals[k] if self.ends[k] == i else self._cut_special(k, i)
+        if _SPACE.match(piece[i - start - 1]):
+            k, start, end = self._run(k)
+            return self._before(k)[1] + self._stored(start, end)[i - start]
+        if self.ends[k] == i:
+            return self.totals[k]
+        if i - start == 2 and piece in CONTRACTIONS:
+            return before + 2  # the quote and a letter
+        return before + self._stored(start, self.ends[k])[i - start]
+
+    def _cut_special(self, k: int, i: int) -> int:
+        """A cut special string joins what stands before it as ordinary text: the last
+        piece of the segment and the white space before it."""
+        j = k
+        if j and not self.pieces[j - 1][1]:
+            j -= 1
+            while self._blank(j - 1):
+                j -= 1
+        start, before = self._before(j)
+        return before + self.model.count(self.text[start:i])
 
     def longest(self, budget: int) -> int:
-        """Code points of the longest prefix of at most budget tokens."""
-        k = bisect_left(self.totals, budget + 1)
+        """Code points of the longest prefix of at most budget tokens.
+
+        The end lies in the first piece that passes the budget, or at the end of its
+        run of white space; every position is answered by the stored counts, and
+        no token is longer than the vocabulary's longest, which bounds the search.
+        """
+        k = bisect_right(self.totals, budget)
         if k == len(self.totals):
             return len(self.text)
-        low = self.ends[k - 1] if k else 0
-        return next((i for i in range(self.ends[k], low, -1) if self.count(i) <= budget), low)
+        low, before = self._before(k)
+        piece, special = self.pieces[k]
+        high = self.ends[k]
+        if not special and _SPACE.match(piece[-1]):
+            high = max(high, self._run(k)[2])
+        high = min(high, low + max(0, budget - before + 1) * self.model.longest_token)
+        return next((i for i in range(high, low, -1) if self.count(i) <= budget), low)
 
 
 _MODELS: dict[str, PrefixModel] = {}

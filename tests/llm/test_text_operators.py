@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -119,7 +120,7 @@ def both():
 def test_every_prefix_counts_as_the_library(both):
     library, model = both
     r = random.Random(2)
-    parts = ["a", "é", " ", "  ", "\n", "\t", "\x85", "\xa0", "'s", "'ll", "12", "²", "日本", "<|endoftext|>", "!", "the", " and", "😀", "\x00", "ß", "<|endof"]
+    parts = ["a", "é", " ", "  ", "\n", "\t", "\x85", "\xa0", "'s", "'ll", "'re", "'v", "e", "12", "²", "日本", "<|endoftext|>", "!", "the", " and", "😀", "\x00", "ß", "<|endof"]
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     for _ in range(300):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
@@ -127,10 +128,24 @@ def test_every_prefix_counts_as_the_library(both):
         assert [table.count(i) for i in range(len(t) + 1)] == [n(t[:i]) for i in range(len(t) + 1)], t
         for budget in (0, 1, 3):
             fits = [i for i in range(len(t) + 1) if n(t[:i]) <= budget]
-            assert table.longest(budget) in fits
+            assert table.longest(budget) == max(fits), (t, budget)
     assert model.counts(["abc def", ""]) == [n("abc def"), 0]
 
 
+def test_long_unbroken_text(both):
+    """Linear in the text, and in the budget for a cut."""
+    library, model = both
+    r = random.Random(3)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for letters, size in (("abcdefghij", 300_000), (" ", 100_000), ("é日", 50_000), ("!?", 100_000)):
+        t = "".join(r.choice(letters) for _ in range(size)) + "end"
+        began = time.time()
+        table = tokens.PrefixTable(model, t)
+        cut = table.longest(1024)
+        assert time.time() - began < 15
+        assert table.total == n(t) and n(t[:cut]) <= 1024 < n(t[: cut + 1])
+
+
 def test_token_query(spark, both, odd_docs, no_docs):
     library, _ = both
     rows = tokens.token_counts(odd_docs, P.path("byte_bpe_50k.json")).collect()
