@@ -15,8 +15,9 @@ for every text; no table of all pairs is ever made.
    the members. Members are compared only where the inequality leaves room.
 4. Inverted lists are sorted by size and cut into blocks that carry their size
    range and least position; blocks that the size bound, or the position bound with
-   the l - 1 shared shingles that may stand before, rules out are skipped whole. Lists whose entries are all of one component are dropped, so a
-   group of copies that holds a third of all rows costs one entry per chunk.
+   the l - 1 shared shingles that may stand before, rules out are skipped whole.
+   Lists whose entries are all of one component are dropped, so a group of copies
+   that holds a third of all rows costs one entry per chunk.
 5. Candidates are compared exactly on their sets; components join the links.
 
 Shingles are 64-bit hashes, lists travel as compressed blocks of arrays dealt by
@@ -54,6 +55,8 @@ COMMON_LOCAL = 4
 BLOCK_SHINGLES = 1 << 21
 KEYS = 4
 LIST_BLOCK = 64
+#: A minimal hash with more than one in HOT_SHARE of the entries of shared hashes is hot.
+HOT_SHARE = 1000
 #: Ids up to this number are broadcast (8 bytes each), more are joined by key.
 BROADCAST_IDS = 2_000_000
 #: Shingles a shard of the inverted lists holds on average.
@@ -242,8 +245,13 @@ def star_pairs(reps: DataFrame) -> DataFrame:
     """(a, b): each representative a with the least one b that shares a minimal hash,
     where at least two of their hashes agree and sizes allow a link."""
     keyed = reps.select("id", "n", "keys", F.posexplode("keys").alias("k", "key"))
-    lead = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "n", "keys")).alias("l"), F.count("*").alias("m")).where("m > 1").select(F.col("k").alias("lk"), F.col("key").alias("lkey"), "l")
-    pairs = keyed.join(lead, (F.col("k") == F.col("lk")) & (F.col("key") == F.col("lkey"))).where("id > l.id")
+    lead = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "n", "keys")).alias("l"), F.count("*").alias("m")).where("m > 1").select(F.col("k").alias("lk"), F.col("key").alias("lkey"), "l", "m")
+    lead = staged(lead, "leads", narrow=True)
+    # keys of more than a thousandth of all entries, a few thousand at most, meet their lead by broadcast
+    many = (lead.agg(F.sum("m")).head()[0] or 0) // HOT_SHARE
+    hot, cold = F.broadcast(lead.where(F.col("m") > many)), lead.where(F.col("m") <= many)
+    same_key = (F.col("k") == F.col("lk")) & (F.col("key") == F.col("lkey"))
+    pairs = keyed.join(hot, same_key).unionByName(keyed.join(hot, same_key, "left_anti").join(cold, same_key)).where("id > l.id")
     same = F.size(F.filter(F.zip_with("keys", F.col("l.keys"), lambda x, y: x == y), lambda t: t))
     fits = (DEN * F.least("n", F.col("l.n")) >= NUM * F.greatest("n", F.col("l.n"))) & (same >= 2)
     return pairs.where(fits).select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()

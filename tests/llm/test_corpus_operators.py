@@ -235,6 +235,37 @@ def test_counts_with_true_positions_lose_no_link():
     assert links >= 200
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_at_the_border_in_common_templates(make_docs, monkeypatch, seed):
+    """Six templates with sixty unlike texts each, which make the template's shingles
+    common and, with the lower ids, lead; and pairs of 0.80 to 0.92 that differ in rare ones."""
+    r = random.Random(seed)
+    texts = []
+
+    def edited(base, n, mark):
+        w, at = base.copy(), r.sample(range(2, len(base) - 2, 7), n)
+        for k in at:
+            w[k] = f"{mark}{k}"
+        return " ".join(w)
+
+    bases = [[f"t{b}w{k}" for k in range(150)] for b in range(6)]
+    for b, base in enumerate(bases):
+        texts += [edited(base, 14, f"f{b}q{k}v") for k in range(60)]
+    for b, base in enumerate(bases):
+        for k, (m, n) in enumerate(((2, 1), (1, 2), (1, 1), (2, 2), (3, 0))):
+            tail = [f"own{b}k{k}t{j}" for j in range(40)]
+            texts += [edited(base, m, f"l{b}{k}") + " " + " ".join(tail), edited(base, n, f"r{b}{k}") + " " + " ".join(tail)]
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 20)
+    docs = dict(enumerate(texts))
+    sets = [jaccard.shingle_set(t.encode()) for t in texts]
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    assert (counts >= jaccard.COMMON_TEXTS).sum() > 200
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(make_docs(texts)).collect()}
+    want = components_by_hand(docs)
+    assert sum(k != c for k, (_, c) in want.items()) >= 20
+    assert got == want
+
+
 def test_components_of_links(spark):
     r = random.Random(9)
     links = [(k, k + 1) for k in range(30)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(50)]
