@@ -12,10 +12,14 @@ A passage is first held against three bounds, cheap ones first: the sum of its
 terms' maxima, the same by block of items, then the WAND pivots of what is left.
 None drops a passage that could reach the threshold.
 
-Defined cases: null texts count as empty and hit nothing; items with fewer than
-MIN_ITEM words are no evidence and are not indexed; repeated items each match;
-repeated documents each appear; an empty table of items or documents gives an
-empty result; long texts are read whole.
+Weights come from the statistics of all items (document frequencies, mean length),
+gathered first, so that it does not matter over how many indexes items are spread.
+
+Defined cases: null texts count as empty and hit nothing; items of fewer than
+MIN_ITEM words must stand in a text whole, word by word, and items without words
+match nothing; item ids may be of any type; repeated items each match; repeated
+documents each appear; an empty table of items or documents gives an empty result;
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -73,7 +78,7 @@ def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: object
     words: list[str]
     question: set
     question_n: int
@@ -81,22 +86,47 @@ class Item:
     answer_n: int
 
 
-def make_item(item_id: int, text: str) -> Item:
+def make_item(item_id: object, text: str) -> Item:
     q, a = map(words_of, question_answer(text.lower()))
     return Item(item_id, words_of(text), shingles(q, 5), min(5, len(q)), shingles(a, 3), min(3, len(a)))
 
 
-class BlockMaxIndex:
-    """Inverted index of items with block maxima."""
+class Statistics:
+    """Of all items, over all indexes: how many, their words, document frequencies."""
+
+    def __init__(self):
+        self.n, self.words, self.df = 0, 0, Counter()
+
+    def add(self, items: list[Item]) -> "Statistics":
+        self.n += len(items)
+        self.words += sum(len(x.words) for x in items)
+        for x in items:
+            self.df.update({*x.words})
+        return self
+
+    def idf(self, term: str) -> float:
+        d = self.df[term]
+        return log(1 + (self.n - d + 0.5) / (d + 0.5))
+
 
-    def __init__(self, items: list[Item], block: int = BLOCK):
+class BlockMaxIndex:
+    """Inverted index of items with block maxima; items of a few words apart, by their words."""
+
+    def __init__(self, items: list[Item], block: int = BLOCK, statistics: Statistics | None = None):
+        statistics = statistics or Statistics().add(items)
+        short = [x for x in items if len(x.words) < MIN_ITEM]
+        items = [x for x in items if len(x.words) >= MIN_ITEM]
+        self.short: dict[int, dict[tuple[str, ...], list[Item]]] = {}
+        for x in short:
+            if x.words:
+                self.short.setdefault(len(x.words), {}).setdefault(tuple(x.words), []).append(x)
         self.items, self.block = items, block
         n = len(items)
-        mean = sum(len(x.words) for x in items) / max(1, n)
+        mean = statistics.words / max(1, statistics.n)
         tfs = [Counter(x.words) for x in items]
-        df = Counter(t for tf in tfs for t in tf)
-        idf = {t: log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        postings: dict[str, list[tuple[int, float]]] = {t: [] for t in df}
+        terms = {t for tf in tfs for t in tf}
+        idf = {t: statistics.idf(t) for t in terms}
+        postings: dict[str, list[tuple[int, float]]] = {t: [] for t in sorted(terms)}
         for i, (x, tf) in enumerate(zip(items, tfs)):
             norm = K1 * (1 - B + B * len(x.words) / mean)
             weights = {t: idf[t] * c * (K1 + 1) / (c + norm) for t, c in tf.items()}
@@ -123,12 +153,13 @@ class BlockMaxIndex:
         self.common_most = max(shares, default=0.0)
         self.longest = max((len(x.words) for x in items), default=1)
 
-    def block_bounds(self, rare: list[int]) -> list[float]:
-        """Upper bound of the score of any item, by block."""
-        out = self.common_tops.copy()
+    def block_bounds(self, rare: list[int]) -> dict[int, float]:
+        """Upper bound of the score of any item, by block; blocks that are not listed
+        hold no rare term and are bounded by common_tops."""
+        out: dict[int, float] = {}
         for t in rare:
             for k, x in self.tops[t]:
-                out[k] += x
+                out[k] = out.get(k, self.common_tops[k]) + x
         return out
 
     def search(self, terms: set[int], theta: float) -> list[tuple[int, float]]:
@@ -139,7 +170,7 @@ class BlockMaxIndex:
         if self.common_most + sum(map(bound.__getitem__, rare)) < theta:
             return []
         blocks = self.block_bounds(rare)
-        if max(blocks) < theta:
+        if max(blocks.values(), default=0.0) < theta and self.common_most < theta:
             return []
         n = len(self.items)
         cursors = [[docs[t][0], t, 0] for t in terms]
@@ -155,7 +186,7 @@ class BlockMaxIndex:
             if pivot < 0:
                 break
             d = cursors[pivot][0]
-            if blocks[d // self.block] < theta:
+            if blocks.get(d // self.block, self.common_tops[d // self.block]) < theta:
                 aim = (d // self.block + 1) * self.block  # no item of this block can do it
             elif cursors[0][0] == d:
                 score = sum(weights[t][p] for i, t, p in cursors if i == d)
@@ -174,9 +205,20 @@ class BlockMaxIndex:
             cursors = left
         return out
 
-    def hits(self, text: str, theta: float = THRESHOLD) -> dict[int, tuple[float, float, float, int]]:
-        """Confirmed items of a text: best score, overlaps and the passage's first word."""
+    def hits(self, text: str, theta: float = THRESHOLD) -> list[tuple[object, float, float, float, int]]:
+        """Confirmed items of a text: id, best score, overlaps and the passage's first word."""
         words = words_of(text)
+        found = [(self.items[i].item_id, *x) for i, x in sorted(self._retrieved(words, theta).items())] if self.items else []
+        for n, known in self.short.items():
+            seen: dict[tuple[str, ...], int] = {}
+            for s in range(len(words) - n + 1):
+                key = tuple(words[s : s + n])
+                if key in known:
+                    seen.setdefault(key, s)
+            found += [(x.item_id, 1.0, 1.0, 1.0, s) for key, s in seen.items() for x in known[key]]
+        return found
+
+    def _retrieved(self, words: list[str], theta: float) -> dict[int, tuple[float, float, float, int]]:
         ids = list(map(self.term.get, words))
         step = max(32, self.longest)
         out: dict[int, tuple[float, float, float, int]] = {}
@@ -196,38 +238,45 @@ class BlockMaxIndex:
         return (q, a) if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP else None
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[BlockMaxIndex]:
-    """One index for each shard_bytes of item text, so what is sent out has a bound."""
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[BlockMaxIndex]:
+    """One index for each shard_bytes of item text, so what is sent out has a bound;
+    the driver holds one part at a time, and the vocabulary of all."""
     rows = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    out = []
+
+    def part(k: int) -> list[Item]:
+        found = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
+        return [make_item(i, t) for i, t in sorted(map(tuple, found.collect()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))]
+
+    statistics, last = Statistics(), []
+    for k in range(shards):
+        last = part(k)
+        statistics.add(last)
     for k in range(shards):
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
-        found = [x for x in (make_item(i, t) for i, t in sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))) if len(x.words) >= MIN_ITEM]
-        if found:
-            out.append(BlockMaxIndex(found))
-    return out
+        found = last if shards == 1 else part(k)
+        if any(x.words for x in found):
+            yield BlockMaxIndex(found, statistics=statistics)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", theta: float = THRESHOLD) -> DataFrame:
     """(doc, item) rows with score and overlaps, for documents that hold an item."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    kind, item_type = docs.schema[id_column].dataType.simpleString(), items.schema["item_id"].dataType
+    schema = f"`{id_column}` {kind}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
     found = None
     for index in indexes(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
+            kinds = [to_arrow_type(item_type), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             for batch in batches:
                 at, rows = [], []
                 for k, t in enumerate(batch.column(1).to_pylist()):
-                    for i, x in sorted(index.hits(t or "", theta).items()):
-                        at.append(k)
-                        rows.append((index.items[i].item_id, *x))
+                    found = index.hits(t or "", theta)
+                    at += [k] * len(found)
+                    rows += found
                 cols = list(zip(*rows)) or [()] * 5
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[id_column, "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         part = docs.select(id_column, text).mapInArrow(run, schema)
