@@ -39,7 +39,10 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENT = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,}|\b(?:host(?:name)?|server|endpoint|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.IGNORECASE | re.ASCII)
+_HOST = re.compile(r"""\b(?:host(?:name)?|server|endpoint|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.IGNORECASE | re.ASCII)
+_URL_REST = re.compile(r"""://[^\s"'<>]{4,}""")
+_SCHEME = re.compile(r"\b[a-z][a-z0-9+.-]+\Z", re.IGNORECASE | re.ASCII)
+_SCHEME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WEAK_MARKS = ("://", "host", "server", "endpoint", "url", "user", "login", "account", "client", "access", "key", "tenant")
@@ -103,13 +106,34 @@ def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def endpoint_spans(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, and values named as a host; leftmost, non-overlapping.
+
+    The scheme is read backwards from "://", so long dotted runs cost no more than their length.
+    """
+    found, done = [m.span() for m in _HOST.finditer(text)], 0
+    for m in _URL_REST.finditer(text):
+        j = m.start()
+        while j > done and text[j - 1] in _SCHEME_CHARS:
+            j -= 1
+        scheme = _SCHEME.search(text, j, m.start())
+        if scheme:
+            found.append((scheme.start(), m.end()))
+        done = m.end()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def linked_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Weak parts that a complementary part in scope confirms."""
     none = {"secret": [], "ident": [], "endpoint": []}
     low = text.lower()
     if not any(x in low for x in _WEAK_MARKS) and not base["access"]:
         return none
-    endpoint = [m.span() for m in _ENDPOINT.finditer(text)]
+    endpoint = endpoint_spans(text)
     ident = [m.span() for m in _IDENT.finditer(text)]
     if not (endpoint or ident or base["access"]):
         return none
