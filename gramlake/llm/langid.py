@@ -31,7 +31,7 @@ from .common import crc_fold
 TRAIN_ROWS = 2000
 TOP_WORDS, TOP_GRAMS = 40_000, 8_000
 LENGTHS = (5, 4, 3, 2, 1)
-#: What an unseen word loses against a known one (log10), the same in all languages.
+#: Unseen words whose scores a worker keeps.
 CACHE = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -154,7 +154,7 @@ def fit(train: DataFrame, id_column: str = "doc_id", text: str = "text", label:
     every = counts(drawn, text, label)
     top = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
     ranked = every.withColumn("mass", F.sum("count").over(Window.partitionBy("lang", "n"))).withColumn("rank", F.row_number().over(top))
-    found = ranked.where((F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)) & ((F.col("n") > 0) | (F.col("count") > 1) | (F.col("mass") < 5000))).select("lang", "n", "gram", "count", "mass").toArrow()
+    found = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).select("lang", "n", "gram", "count", "mass").toArrow()
     cols = [found.column(k).to_pylist() for k in range(5)]
     return Model(list(zip(*cols[:4])), {(a, b): m for a, b, m in zip(cols[0], cols[1], cols[4])})
 
