@@ -1,9 +1,12 @@
 """Secrets, decontamination, tokens, quality rules, languages."""
 
 import hashlib
+import math
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
 import pytest
 
@@ -96,12 +99,26 @@ def test_contaminated_documents(spark, make_docs, odd_docs, no_docs):
 
 def test_many_indexes_agree(spark, make_docs):
     items = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}. eta{k} theta{k} iota{k}") for k in range(40)], "item_id long, text string")
-    assert len(decontam.indexes(items, shard_bytes=300)) > 1
+    found = [*decontam.indexes(items, shard_bytes=300)]
+    assert len(found) > 1
     text = "alpha7 beta7 gamma7 delta7 eps7 zeta7. eta7 theta7 iota7"
-    for index in decontam.indexes(items, shard_bytes=300):
-        for i in index.hits(text):
-            assert index.items[i].item_id == 7
-    assert sum(len(x.hits(text)) for x in decontam.indexes(items, shard_bytes=300)) == 1
+    assert [h[0] for index in found for h in index.hits(text)] == [7]
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    """Items that share words: document frequencies and mean length are those of all items."""
+    r = random.Random(6)
+    words = [f"v{k}" for k in range(60)]
+    rows = [(f"id{k}", " ".join(r.choices(words, k=r.randint(4, 25))) + ". " + " ".join(r.choices(words, k=4))) for k in range(80)] + [("short", "v1 v2"), ("none", "!"), (None, "v3 v4 v5 v6 v7")]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    texts = [" ".join(r.choices(words, k=30)) + " " + t + " " + " ".join(r.choices(words, k=30)) for _, t in rows[:40]]
+    one, many = [*decontam.indexes(items)], [*decontam.indexes(items, shard_bytes=1000)]
+    assert len(one) == 1 and len(many) > 3
+    for t in texts:
+        want = sorted((str(h[0]), round(h[1], 9)) for h in one[0].hits(t))
+        assert want == sorted((str(h[0]), round(h[1], 9)) for x in many for h in x.hits(t)) and want
+    got = decontam.contaminated(spark.createDataFrame([(1, "a v1 v2."), (2, "v2 v1"), (3, None)], "doc_id int, text string"), items).collect()
+    assert [(x.doc_id, x.item_id, x.first_word) for x in got] == [(1, "short", 1)]
 
 
 # tokens
@@ -212,6 +229,62 @@ def test_language_accuracy_and_edges(make_docs, odd_docs, no_docs):
     assert langid.identify(no_docs).count() == 0
 
 
+def test_languages_by_brute_force(make_docs):
+    """The stated scores over dictionaries: words first, then the longest known n-grams."""
+    r = random.Random(8)
+    letters = {"xa": "abcdeio", "yb": "bcdefgu", "zc": "aefghköß"}
+    word = lambda lang: "".join(r.choice(letters[lang]) for _ in range(r.randint(1, 7)))
+    vocab = {lang: [word(lang) for _ in range(80)] for lang in letters}
+    text = lambda lang: " ".join(r.choice(vocab[lang]) if r.random() < 0.6 else word(lang) for _ in range(r.randint(1, 15)))
+    langs = [r.choice([*letters]) for _ in range(300)]
+    texts = [text(x) for x in langs]
+    train = [(t, x) for k, (t, x) in enumerate(zip(texts, langs)) if zlib.crc32(str(k).encode()) % 4 != 2]
+    sums = {}
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            sums.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 6):
+                p = f"\x02{w}\x03" if n > 1 else w
+                sums.setdefault((lang, n), Counter()).update(p[i : i + n] for i in range(len(p) - n + 1))
+    kinds = {n: len({g for (_, m), c in sums.items() if m == n for g in c}) for n in range(6)}
+
+    def log_frequency(lang, n, g):
+        c = sums.get((lang, n), Counter())
+        return math.log10((c[g] + 0.5) / (sum(c.values()) + 0.5 * kinds[n] + 1))
+
+    def score(lang, t):
+        total = 0.0
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            if any(w in sums.get((x, 0), ()) for x in letters):
+                total += log_frequency(lang, 0, w)
+                continue
+            for n in range(5, 0, -1):
+                p = f"\x02{w}\x03" if n > 1 else w
+                known = [g for g in (p[i : i + n] for i in range(len(p) - n + 1)) if any(g in sums.get((x, n), ()) for x in letters)]
+                if known:
+                    total += sum(log_frequency(lang, n, g) for g in known) / len(known)
+                    break
+        return total
+
+    wrong = 0
+    for x in langid.identify(make_docs(texts, langs)).collect():
+        scores = {lang: score(lang, texts[x.doc_id]) for lang in letters}
+        best = max(scores.values())
+        assert scores[x.lang_pred] == pytest.approx(best, abs=1e-6)
+        n = len(texts[x.doc_id].split())
+        assert x.score == pytest.approx(1 / sum(10 ** ((s - best) * min(1.0, 20.0 / n)) for s in scores.values()), abs=1e-6)
+        wrong += x.held_out and x.lang_pred != langs[x.doc_id]
+    assert wrong <= 6
+
+
+def test_endpoints_of_long_runs():
+    began = time.time()
+    assert secrets.endpoint_spans("a." * 200_000) == []
+    assert secrets.endpoint_spans("x " + "b" * 300 + "+c://host.example") == [(2, 2 + 302 + 15)]
+    assert secrets.endpoint_spans("host = https://db.example.com/x, ftp://a.b.c 1://abcd") == [(0, 31), (33, 44)]
+    assert time.time() - began < 5
+
+
 def test_few_distinct_words_at_any_length():
     r = random.Random(4)
     rule = next(x for x in quality.DEFAULT_RULES if x.name == "distinct_words")
