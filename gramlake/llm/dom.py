@@ -9,15 +9,19 @@ from html import unescape
 
 # HTML element classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "option", "math", "canvas", "audio", "video"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
+#: Whose content is no text of the page: code, form fields, the head's title, drawings, embedded pages.
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "option"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "object", "canvas", "audio", "video", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt", "mroot"}
 #: An opening tag closes an open element of these names first, within the given scope.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Block elements that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: Attributes by the rules of HTML: a value is quoted only if a quote begins it, and a quote
+#: elsewhere is a character like any other. A tag ends at the first > outside quoted values.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:{_VALUE})?+|=)*+)(?:>|\Z)""", re.DOTALL)
+_ATTR = re.compile(rf"""([^\s/>=][^\s/>=]*+)({_VALUE})?+""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -38,7 +42,7 @@ class Block:
 def _marks(attrs: str) -> frozenset:
     found: set[str] = set()
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        name, value = m[1].lower(), (m[2] or "").strip().removeprefix("=").strip().strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             found.add("!hidden")
         elif name in ("class", "id", "role"):
@@ -59,7 +63,7 @@ def blocks(html: str) -> list[Block]:
     def flush() -> None:
         nonlocal parts, links, inline, path
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(map(unescape, parts)).split())
             if text:
                 out.append(Block(text, path or (), sum(len(x) for x in links), inline))
         parts, links, inline, path = [], [], set(), None

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -129,12 +130,11 @@ class Field:
 
 
 def labels_of(page: list[Block], main: str) -> list[int]:
-    """Labels from a page's main text: its lines, matched in order."""
-    lines, at, out = main.split("\n"), 0, []
-    for b in page:
-        hit = at < len(lines) and b.text == lines[at]
-        out.append(int(hit))
-        at += hit
+    """Labels from a page's main text: its lines, aligned with the blocks in order; a line
+    that no block has does not cost the lines after it."""
+    out = [0] * len(page)
+    for _, at, n in SequenceMatcher(None, main.split("\n"), [b.text for b in page], autojunk=False).get_matching_blocks():
+        out[at : at + n] = [1] * n
     return out
 
 
@@ -260,7 +260,7 @@ class _Maker:
                 lines.append(t)
             elif kind < 0.78:
                 t = self.words(2, 8).capitalize()
-                out.append(f"<h{r.choice('23')}>{t}</h2>".replace("</h2>", "") + "" if False else f"<h2>{t}</h2>")
+                out.append("<h{0}>{1}</h{0}>".format(r.choice("23"), t))
                 lines.append(t)
             elif kind < 0.86:
                 ts = [self.words(1, 14).capitalize() for _ in range(r.randint(2, 5))]

@@ -5,12 +5,14 @@ import math
 import os
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import written_pages
 
 from gramlake.llm import chat, dom, extract, graph, jaccard, lm, mixing
 from gramlake.llm.eliasfano import CODES, STEP, EliasFano, NgramTrie, dequantised, quantised
@@ -377,6 +379,35 @@ def test_held_out_pages():
     assert right / total > 0.99 and exact / len(pages) > 0.95
 
 
+def test_attributes_by_the_rules_of_html():
+    text = lambda h: [b.text for b in dom.blocks(h)]
+    assert text("<p data-a=it's>one<p>two's<p>three") == ["one", "two's", "three"]
+    assert text("<p a='x > y' b=\"z > w\" c>one</p><p d=\"it's\">two") == ["one", "two"]
+    assert text('<p "odd" =x a==b/>one<p>two') == ["one", "two"]
+    assert text("<p a = 'q' / >one <math><mi>x</mi></math><p>&amp;<b>amp;</b>") == ["one x", "&amp;"]
+    assert text('<p>one<p title="never closed>two') == ["one"]
+    assert dom._marks(" title='class=no' class='Yes it' HIDDEN id=z") == {"yes", "it", "z", "!hidden"}
+    began = time.time()
+    dom.blocks("<p " + "a='" * 100_000)
+    dom.blocks("<p " + "a=b " * 100_000)
+    assert time.time() - began < 5
+
+
+def test_pages_written_by_hand():
+    field = extract.default_field()
+    kept = found = right = 0
+    for html, main in written_pages.PAGES:
+        want, got = Counter(main.replace("|", " ").split()), Counter(field.text(html).split())
+        kept, found, right = kept + sum(want.values()), found + sum(got.values()), right + sum((want & got).values())
+        print(round(sum((want & got).values()) / sum(want.values()), 2), round(sum((want & got).values()) / max(1, sum(got.values())), 2), field.text(html).replace("\n", "|"))
+    assert right / kept >= 0.9 and right / found >= 0.9
+
+
+def test_labels_skip_lines_that_no_block_has():
+    page = dom.blocks("<p>a</p><p>b</p><p>c</p><p>a</p>")
+    assert extract.labels_of(page, "a\nmissing\nc") == [1, 0, 1, 0]
+
+
 def test_viterbi_by_brute_force():
     field = extract.default_field()
     html, _ = extract.made_pages(1, seed=5)[0]
