@@ -8,10 +8,14 @@ sequence is rendered.
 
 A turn acts on the automaton by its role alone, so a stretch of turns is a
 4 x 4 matrix of least costs, and matrices of neighbouring stretches combine.
-Conversations are therefore cut into segments of SEGMENT turn numbers: segments
-are summarised apart, a conversation's summaries are chained to fix the states at
-their borders, and each segment is then decoded by itself. A conversation that
-holds a third of all rows is spread over its segments.
+Turns are sorted over all tasks and read in order; a conversation is cut into segments
+of SEGMENT turns at most: segments are summarised apart, a conversation's summaries are
+chained to fix the states at their borders, and each segment is then decoded by itself.
+A conversation that holds a third of all rows is spread over its segments, whatever its
+turn numbers, and no group is collected beyond SEGMENT turns.
+
+Marks of the rendering inside texts are escaped: "<|" becomes "<\\|", and a backslash is
+added to those that stand between already, so unescaped() gives the text back.
 
 Defined cases: roles are compared without case and outer space, ROLES lists
 synonyms; a null or unknown role must be relabelled (at low cost); a null text
@@ -23,14 +27,16 @@ not read. Ties in cost go to keep, then merge, relabel, and fewer insertions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, total_parallelism
 
 ROLES = {"system": 1, "developer": 1, "user": 2, "human": 2, "prompter": 2, "assistant": 3, "gpt": 3, "bot": 3, "model": 3, "ai": 3}
 NAMES = ("", "system", "user", "assistant")
@@ -127,6 +133,14 @@ def decode(roles: list[int], entry: int, leave: int) -> list[tuple[str, int, tup
     return out[::-1]
 
 
+def escaped(text: str) -> str:
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def _open(role: int) -> str:
     return f"<|{NAMES[role]}|>\n"
 
@@ -146,22 +160,52 @@ def rendered(decoded, texts: list[str], follows: bool, closed: tuple[int, ...] |
             follows = True
         piece += "\n" if action.endswith("merge") else ("<|end|>\n" if follows else "") + _open(role)
         follows = True
-        out.append(piece + text)
+        out.append(piece + escaped(text))
     if closed is not None and out:
         out[-1] += "".join("<|end|>\n" + _open(r) for r in closed) + "<|end|>\n"
     return out
 
 
-_OUT = "turn long, role string, action string, repaired_role string, inserted array<string>, rendered string"
+_OUT = "place long, turn long, role string, action string, repaired_role string, inserted array<string>, rendered string"
+_TURN = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+
+
+def segments(turns: DataFrame, conv: str, turn: str, role: str, text: str, segment: int) -> DataFrame:
+    """(c, seg, ts): turns of a conversation in order, segment of them a row at most; seg
+    is the place of its first turn, and places grow with the order."""
+    rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    order = ("c", "turn", "role", "text")  # nulls first
+    ordered = rows.repartitionByRange(total_parallelism(turns.sparkSession), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 40
+        kind, home, held = None, None, []
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([home], kind), pa.array([place], pa.int64()), pa.array([held], pa.list_(_TURN))], names=["c", "seg", "ts"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for c, *t in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and (c != home or len(held) == segment):
+                    yield row()
+                    place += len(held)
+                    held = []
+                home = c
+                held.append(dict(zip(("turn", "role", "text"), t)))
+        if held:
+            yield row()
+
+    kind = turns.schema[conv].dataType.simpleString()
+    return ordered.mapInArrow(run, f"c {kind}, seg long, ts array<struct<turn: long, role: string, text: string>>")
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """One row a turn: what is done with it, the empty messages inserted before it (at
-    the end: after it), and its piece of the rendering; pieces in order make the whole."""
+    """One row a turn: its place in the order, what is done with it, the empty messages
+    inserted before it (at the end: after it), and its piece of the rendering; pieces in
+    order of place make the whole (rendering() puts them together)."""
     kind = turns.schema[conv].dataType.simpleString()
-    number = F.col(turn).cast("long")
-    rows = turns.select(F.col(conv).alias("c"), F.coalesce(F.floor(number / segment), F.lit(-(1 << 62))).alias("seg"), F.struct(number.alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
-    grouped = staged(rows.groupBy("c", "seg").agg(F.sort_array(F.collect_list("t")).alias("ts")), "segments")
+    grouped = staged(segments(turns, conv, turn, role, text, segment), "segments")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,20 +227,27 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for k, (ts, a, b, first, last) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 6)))):
+            for k, (ts, seg, a, b, first, last) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 7)))):
                 decoded = decode([role_of(t["role"]) for t in ts], a, b)
                 end = closing(b)[1] if last else None
                 pieces = rendered(decoded, [t["text"] or "" for t in ts], not first, end)
                 for j, (t, (action, state, inserted), piece) in enumerate(zip(ts, decoded, pieces)):
                     at.append(k)
                     more = end or () if j == len(ts) - 1 else ()
-                    rows.append((t["turn"], t["role"], action, NAMES[state], [NAMES[r] for r in (*inserted, *more)], piece))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+                    rows.append((seg + j, t["turn"], t["role"], action, NAMES[state], [NAMES[r] for r in (*inserted, *more)], piece))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[conv, *(x.split()[0] for x in _OUT.split(", "))])
 
     parts = grouped.select("c", "seg", F.col("ts.role").alias("rs")).mapInArrow(sums, f"c {kind}, seg long, m array<long>")
     chained = parts.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("seg", "m"))).alias("segs"))
     ends = chained.mapInArrow(borders, f"bc {kind}, bseg long, a int, b int, first boolean, last boolean")
     both = grouped.join(ends, F.col("c").eqNullSafe(F.col("bc")) & (F.col("seg") == F.col("bseg")))
-    return both.select("c", "ts", "a", "b", "first", "last").mapInArrow(finish, f"`{conv}` {kind}, {_OUT}")
+    return both.select("c", "ts", "seg", "a", "b", "first", "last").mapInArrow(finish, f"`{conv}` {kind}, {_OUT}")
+
+
+def rendering(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, rendered): the whole text of each conversation of repair(), for those
+    that a row can hold."""
+    pieces = F.sort_array(F.collect_list(F.struct("place", "rendered")))
+    return repaired.groupBy(conv).agg(F.array_join(pieces["rendered"], "").alias("rendered"))
