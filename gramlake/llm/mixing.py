@@ -9,14 +9,18 @@ documents are ranked by Q = (U/(1-U)) / (pi/(1-pi)), U a fixed hash of the id,
 and taken in that order while they bring the source's words nearest its target.
 
 The cut is found without sorting a source: words are pre-aggregated over BUCKETS
-ranges of Q, the range that holds the cut follows from their running sums, and
-only documents of that one range are sorted. A source that holds a third of all
-rows is thus never in one task.
+ranges of Q, the range that holds the cut follows from their running sums, that range
+is parted again into BUCKETS, and only documents of one of these parts, one in
+sixteen millions of the source, are sorted, without their texts. The plan then has
+each source's last document by (Q, id, size, text hash), and every document decides
+for itself. A source that holds a third of all rows is thus never in one task.
+
+Within a source all documents have the same inclusion odds, and sources differ; each
+source is cut by itself, as one order over all would meet targets on average only.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; sources without words have target 0; repeated
-rows are drawn alike (the same id has the same U), ties in Q go by id, size and
-text hash; an empty table gives an empty result; working columns have names that
+rows (same id, size and text) are drawn alike, ties in Q go by id, size and text hash; an empty table gives an empty result; working columns have names that
 no input uses.
 """
 
@@ -75,11 +79,13 @@ def _place(rows: DataFrame) -> DataFrame:
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     pi = F.col("__e") - F.floor("__e")
     q = (F.col("__u") / (1 - F.col("__u"))) / (F.col("__pi") / (1 - F.col("__pi")))
+    x = F.col("__q") / (1 + F.col("__q")) * BUCKETS
     return (
         rows.withColumn("__e", e)
         .withColumns({"__whole": F.floor("__e"), "__pi": pi})
         .withColumn("__q", F.when(F.col("__pi") > 0, q))
-        .withColumn("__b", F.least(F.floor(F.col("__q") / (1 + F.col("__q")) * BUCKETS), F.lit(BUCKETS - 1)))
+        .withColumn("__b", F.least(F.floor(x), F.lit(BUCKETS - 1)))
+        .withColumn("__c", F.least(F.floor((x - F.col("__b")) * BUCKETS), F.lit(BUCKETS - 1)))
     )
 
 
@@ -89,32 +95,47 @@ def _with_sources(rows: DataFrame, per_source: DataFrame, source: str) -> DataFr
     return rows.join(F.broadcast(side) if few else side, F.col(source).eqNullSafe(F.col("__source")), "inner").drop("__source")
 
 
-def plan(rows: DataFrame, source: str = "source", weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
-    """Targets, and where each source's order is cut: its range and the words before it."""
+def _key(id_column: str):
+    return F.struct("__q", F.col(id_column).alias("__id"), "__size", "__tie")
+
+
+def _cut(placed: DataFrame, source: str, part: str) -> DataFrame:
+    """Of each source, the first part with which the words reach what is missing, and the
+    words before it; rows have __rest, the words still to take."""
+    sums = placed.groupBy(source, part).agg(F.sum("__size").alias("__words"), F.first("__rest").alias("__rest"))
+    run = Window.partitionBy(source).orderBy(part)
+    reached = sums.withColumn("__upto", F.sum("__words").over(run)).where(F.col("__upto") >= F.col("__rest"))
+    cut = reached.groupBy(source).agg(F.min(F.struct(F.col(part).alias("at"), (F.col("__upto") - F.col("__words")).alias("before"), "__rest")).alias("cut"))
+    return cut.select(F.col(source).alias("__s"), F.col("cut.at").alias(f"__cut{part}"), F.col("cut.before").alias(f"__before{part}"), F.col("cut.__rest").alias(f"__rest{part}"))
+
+
+def plan(rows: DataFrame, source: str = "source", weights=(1, 2, 3), cap: int = CAP, id_column: str = "doc_id") -> DataFrame:
+    """Targets, and where each source's order is cut: range, part of it, and last document."""
     goal = staged(targets(rows, source, weights, cap), "targets")
-    sums = _place(_with_sources(rows, goal, source)).where("__q is not null").groupBy(source, "__b").agg(F.sum("__size").alias("__words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("__whole").alias("__whole"))
-    run = Window.partitionBy(source).orderBy("__b")
+    joined = lambda t, cut: t.join(cut, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
     rest = F.col("target") - F.col("__whole") * F.col("source_size")
-    cut = (
-        sums.withColumn("__upto", F.sum("__words").over(run))
-        .withColumn("__rest", rest)
-        .where(F.col("__upto") >= F.col("__rest"))
-        .groupBy(source)
-        .agg(F.min(F.struct("__b", (F.col("__upto") - F.col("__words")).alias("__before"), "__rest")).alias("__cut"))
-        .select(F.col(source).alias("__s"), F.col("__cut.__b").alias("__cut_b"), F.col("__cut.__before").alias("__cut_before"), F.col("__cut.__rest").alias("__rest"))
-    )
-    return staged(goal.join(cut, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s"), "mix-plan")
+    goal = staged(joined(goal, _cut(_place(_with_sources(rows, goal, source)).where("__q is not null").withColumn("__rest", rest), source, "__b")), "ranges")
+    edge = _place(_with_sources(rows, goal, source)).where("__b = __cut__b").withColumn("__rest", F.col("__rest__b") - F.col("__before__b"))
+    goal = staged(joined(goal, _cut(edge, source, "__c")), "parts")
+    last = _place(_with_sources(rows, goal, source)).where("__b = __cut__b and __c = __cut__c")
+    order = Window.partitionBy(source).orderBy("__q", id_column, "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("__sum", F.col("__before__b") + F.col("__before__c") + F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    last = last.where(F.col("__sum") + F.col("__size") / 2 <= F.col("__rest__b")).groupBy(source).agg(F.max(_key(id_column)).alias("__last")).withColumnRenamed(source, "__s")
+    return staged(joined(goal, last), "mix-plan")
 
 
 def mix(rows: DataFrame, mix_plan: DataFrame, source: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """rows of sized() with size, source_size, target, copies and taken."""
+    """rows of sized() with size, source_size, target, copies and taken: each row is held
+    against its source's plan, nothing is sorted."""
     placed = _place(_with_sources(rows, mix_plan, source))
-    edge = F.coalesce(F.col("__b") == F.col("__cut_b"), F.lit(False))
-    sure = placed.where(~edge).withColumn("__more", F.coalesce((F.col("__b") < F.col("__cut_b")).cast("long"), F.when(F.col("__q").isNotNull() & F.col("__cut_b").isNull(), 1).otherwise(0).cast("long")))
-    order = Window.partitionBy(source, "__b").orderBy("__q", id_column, "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    close = placed.where(edge).withColumn("__sum", F.col("__cut_before") + F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    close = close.withColumn("__more", (F.col("__sum") + F.col("__size") / 2 <= F.col("__rest")).cast("long")).drop("__sum")
-    done = sure.unionByName(close).withColumn("__copies", F.col("__whole") + F.col("__more"))
+    more = (
+        F.when(F.col("__q").isNull(), False)
+        .when(F.col("__cut__b").isNull(), True)
+        .when(F.col("__b") != F.col("__cut__b"), F.col("__b") < F.col("__cut__b"))
+        .when(F.col("__c") != F.col("__cut__c"), F.col("__c") < F.col("__cut__c"))
+        .otherwise(F.coalesce(_key(id_column) <= F.col("__last"), F.lit(False)))
+    )
+    done = placed.withColumn("__copies", F.col("__whole") + more.cast("long"))
     own = [c for c in rows.columns if not c.startswith("__")]
     return done.select(*own, F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
@@ -122,7 +143,7 @@ def mix(rows: DataFrame, mix_plan: DataFrame, source: str = "source", id_column:
 def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
     """The decision for every document, without its text: one pass over the texts."""
     narrow = staged(sized(docs, id_column, text).select(id_column, source, "__size", "__u", "__tie"), "sizes")
-    return mix(narrow, plan(narrow, source, weights, cap), source, id_column)
+    return mix(narrow, plan(narrow, source, weights, cap, id_column), source, id_column)
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -130,7 +151,7 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source
     of the copy and the words it brings; columns of docs that clash are replaced."""
     docs = docs.drop("size", "source_size", "target", "copies", "taken", "copy")
     narrow = staged(sized(docs, id_column, text).select(id_column, source, "__size", "__u", "__tie"), "sizes")
-    out = mix(sized(docs, id_column, text), plan(narrow, source, weights, cap), source, id_column)
+    out = mix(sized(docs, id_column, text), plan(narrow, source, weights, cap, id_column), source, id_column)
     return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
