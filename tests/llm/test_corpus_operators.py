@@ -356,6 +356,20 @@ def test_chat_query(spark):
     assert chat.repair(df.where("false")).count() == 0
 
 
+def test_turns_without_numbers_are_cut_too(spark):
+    """A conversation whose turns have no number, or all the same, fills segments in order."""
+    rows = [(7, None if k % 2 else 1, ("user", "assistant")[k % 2], f"t{k:03d} <|user|> <\\|") for k in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.segments(df, "conv_id", "turn", "role", "text", 8).collect()
+    assert max(len(p.ts) for p in parts) <= 8 and sum(len(p.ts) for p in parts) == 50
+    ordered = [t for p in sorted(parts, key=lambda p: p.seg) for t in p.ts]
+    assert [(t.turn, t.text) for t in ordered] == sorted(((t, x) for _, t, _, x in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    one, many = (chat.rendering(chat.repair(df, segment=n)).head().rendered for n in (8192, 3))
+    assert one == many and one.count("<|user|>\n") == one.count("<|user|>") == 2 and one.count("<|assistant|>") == 1
+    for t in ("<|end|>", "<\\|x|>", "a<b|", "<\\\\|", ""):
+        assert chat.unescaped(chat.escaped(t)) == t and "<|" not in chat.escaped(t)
+
+
 # extraction
 
 
@@ -429,8 +443,9 @@ def test_extraction_query(spark):
 # mixing
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mix_against_sql(make_docs, seed):
+@pytest.mark.parametrize("seed, buckets", [(1, 4096), (2, 4096), (3, 2), (4, 1), (5, 8)])
+def test_mix_against_sql(make_docs, monkeypatch, seed, buckets):
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
     r = random.Random(seed)
     n = 400
     sources = [r.choice(["a", "b", "c", "é", None, "tiny"] if k % 50 == 0 else ["a", "a", "a", "b", "c", None]) for k in range(n)]
