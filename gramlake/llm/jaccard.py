@@ -49,9 +49,9 @@ WIDTH = 5
 #: Similarity as numerator and denominator.
 NUM, DEN = 80, 100
 #: A shingle is common if so many texts have it; the list keeps the most common ones.
-COMMON_TEXTS, COMMON_LIMIT = 48, 1 << 20
+COMMON_TEXTS, COMMON_LIMIT = 8, 1 << 20
 #: Within a block of texts, so many must have a shingle for it to be reported.
-COMMON_LOCAL = 4
+COMMON_LOCAL = 2
 BLOCK_SHINGLES = 1 << 21
 KEYS = 4
 LIST_BLOCK = 64
@@ -176,6 +176,28 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _travelling(rows: DataFrame, own: tuple[str, ...], schema: str) -> DataFrame:
+    """rows (own columns, raw) with the set of raw as 48-bit hashes s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, packed = None, b""
+        for batch in batches:
+            out = []
+            for raw in batch.column(len(own)).to_pylist():
+                if raw != last:
+                    last, packed = raw, (shingle_set(raw) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                out.append(packed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(out, pa.binary())], names=[*own, "s"])
+
+    return rows.select(*own, "raw").mapInArrow(run, f"{schema}, s binary")
+
+
+def _travelled(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 #: Texts that meet one partner in a task; the partner's set is sent once for each so many.
 GROUP_TEXTS = 64
 
@@ -194,21 +216,6 @@ def compared(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> Da
     stays = groups.select(F.col("b").alias("id"), F.col("b").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"))
     routes = staged(visits.unionByName(stays), "routes", narrow=True)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, packed = None, b""
-        for batch in batches:
-            out = []
-            for raw in batch.column(3).to_pylist():
-                if raw != last:
-                    last, packed = raw, (shingle_set(raw) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["id", "home", "salt", "s"])
-
-    def unpack(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return out.view(np.uint64).ravel()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
@@ -216,7 +223,7 @@ def compared(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> Da
             for i, home, salt, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if (home, salt) != at:
                     at, held = (home, salt), []
-                s = unpack(raw)
+                s = _travelled(raw)
                 if i == home:  # first of its group; several, if an id has several texts
                     held.append(s)
                     continue
@@ -229,7 +236,7 @@ def compared(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "na", "nb", "inter"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("did"), binary(text).alias("raw")).join(_sent(routes), F.col("did") == F.col("id"))
-    dealt = rows.select("id", "home", "salt", "raw").mapInArrow(sets, "id long, home long, salt long, s binary")
+    dealt = _travelling(rows, ("id", "home", "salt"), "id long, home long, salt long")
     dealt = dealt.repartition(total_parallelism(spark), "home", "salt").sortWithinPartitions("home", "salt", F.col("id") != F.col("home"))
     with _small_batches(spark, 512):
         out = staged(dealt.mapInArrow(compare, "a long, b long, na long, nb long, inter long"), "compared")
@@ -237,6 +244,79 @@ def compared(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> Da
     return out
 
 
+#: Guests that meet a group of one ball's texts in a task.
+GROUP_GUESTS = 4096
+
+
+class Group:
+    """Sets of some texts as one inverted index."""
+
+    def __init__(self, ids: list[int], reach: list[float], sets: list[np.ndarray]):
+        self.ids, self.reach, self.n = np.array(ids), np.array(reach), np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.of = np.repeat(np.arange(len(sets)), self.n)[order]
+        self.token, start = np.unique(every[order], return_index=True)
+        self.start = np.r_[start, len(every)]
+
+    def links(self, s: np.ndarray, least: float) -> np.ndarray:
+        """Ids of the texts with a reach of least or more that link with the set s."""
+        at = np.searchsorted(self.token, s)
+        at[at == len(self.token)] = 0
+        at = at[self.token[at] == s]
+        sizes = self.start[at + 1] - self.start[at]
+        entries = np.repeat(self.start[at] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(at) else np.zeros(0, np.int64)
+        inter = np.bincount(self.of[entries], minlength=len(self.n))
+        return self.ids[(DEN * inter >= NUM * (self.n + len(s) - inter)) & (self.reach >= least)]
+
+
+def member_links(wide: DataFrame, in_ball: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Links (a, b) between the texts of two balls, where the inequality leaves room.
+
+    wide: (home, guest, d), leaders of two balls and their distance. Texts of the home
+    ball stand in groups of GROUP_TEXTS, those of the guest ball visit each group and
+    are counted against all of it at once; no row stands for a pair. Written out.
+    """
+    spark = wide.sparkSession
+    limit = 1 - NUM / DEN + 1e-9
+    sizes = in_ball.groupBy("of").agg(F.ceil(F.count("*") / GROUP_TEXTS).alias("k"), F.max("dx").alias("r")).withColumnRenamed("of", "gh")
+    guests = wide.join(in_ball, F.col("guest") == F.col("of"), "left").select("home", "d", F.coalesce("x", "guest").alias("y"), F.coalesce("dx", F.lit(0.0)).alias("dy"))
+    guests = guests.join(sizes, F.col("home") == F.col("gh")).select("home", "y", "k", (F.col("d") - F.col("dy") - limit).alias("least"), "r").where("r >= least")
+    guests = staged(guests.groupBy("home", "y").agg(F.min("least").alias("v"), F.first("k").alias("k")), "guests", narrow=True)
+    homes = guests.groupBy("home").agg(F.first("k").alias("k"), F.ceil(F.count("*") / GROUP_GUESTS).alias("m")).withColumnRenamed("home", "hh")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    visits = guests.join(homes.select("hh", "m"), F.col("home") == F.col("hh")).select(F.col("y").alias("id"), "home", upto("k").alias("salt"), F.pmod(F.xxhash64("y"), F.col("m")).alias("lane"), F.lit(False).alias("stays"), "v")
+    stays = in_ball.join(homes, F.col("of") == F.col("hh")).select(F.col("x").alias("id"), F.col("of").alias("home"), F.pmod(F.xxhash64("x"), F.col("k")).alias("salt"), upto("m").alias("lane"), F.lit(True).alias("stays"), F.col("dx").alias("v"))
+    routes = staged(visits.unionByName(stays), "routes", narrow=True)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, reach, sets, group = None, [], [], [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i, home, salt, lane, stays, v, raw in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (home, salt, lane) != at:
+                    at, ids, reach, sets, group = (home, salt, lane), [], [], [], None
+                s = _travelled(raw)
+                if stays:
+                    ids.append(i)
+                    reach.append(v)
+                    sets.append(s)
+                elif ids:
+                    group = group or Group(ids, reach, sets)
+                    found += [(i, int(x)) for x in group.links(s, v) if x != i]
+            cols = list(zip(*found)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("did"), binary(text).alias("raw")).join(_sent(routes), F.col("did") == F.col("id"))
+    own = ("id", "home", "salt", "lane", "stays", "v")
+    dealt = _travelling(rows, own, "id long, home long, salt long, lane long, stays boolean, v double")
+    dealt = dealt.repartition(total_parallelism(spark), "home", "salt", "lane").sortWithinPartitions("home", "salt", "lane", F.desc("stays"))
+    with _small_batches(spark, 512):
+        out = staged(dealt.mapInArrow(meet, "a long, b long"), "met")
+    dropped(routes, guests)
+    return out
+
+
 _IS_LINK = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 _DISTANCE = "1 - inter / (na + nb - inter)"
 
@@ -421,21 +501,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     candidates = staged(ball_pairs(entries, common, shards), "candidates", narrow=True)
     measured = compared(candidates, docs, id_column, text).withColumn("d", F.expr(_DISTANCE))
     limit = 1 - NUM / DEN + 1e-9
+    joined = lambda found: components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     links = measured.where(_IS_LINK).select("a", "b")
+    final = staged(joined(links), "components", narrow=True)
     radius = known.groupBy("ball").agg(F.max("d").alias("r")).where("r > 0")
     ra, rb = (radius.select(F.col("ball").alias(f"ball_{k}"), F.col("r").alias(f"r_{k}")) for k in "ab")
     wide = measured.where(f"not ({_IS_LINK})").join(ra, F.col("a") == F.col("ball_a"), "left").join(rb, F.col("b") == F.col("ball_b"), "left")
+    ca, cb = (final.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"comp_{k}")) for k in "ab")
+    wide = wide.join(ca, F.col("a") == F.col("node_a"), "left").join(cb, F.col("b") == F.col("node_b"), "left")
+    wide = wide.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))  # others are joined by now
     wide = wide.na.fill(0.0, ["r_a", "r_b"]).where((F.col("r_a") + F.col("r_b") > 0) & (F.col("d") <= limit + F.col("r_a") + F.col("r_b"))).select("a", "b", "d")
-    in_ball = known.select("x", F.col("ball").alias("of"), F.col("d").alias("dx")).unionByName(known.select(F.col("ball").alias("x"), F.col("ball").alias("of"), F.lit(0.0).alias("dx"))).distinct()
-    ma, mb = (in_ball.select(F.col("x").alias(f"x_{k}"), F.col("of").alias(f"of_{k}"), F.col("dx").alias(f"d_{k}")) for k in "ab")
-    close = wide.join(ma, F.col("a") == F.col("of_a"), "left").join(mb, F.col("b") == F.col("of_b"), "left")
-    close = close.select(F.coalesce("x_a", "a").alias("x"), F.coalesce("x_b", "b").alias("y"), "d", F.coalesce("d_a", F.lit(0.0)).alias("dx"), F.coalesce("d_b", F.lit(0.0)).alias("dy"))
-    close = close.where((F.col("d") <= limit + F.col("dx") + F.col("dy")) & (F.col("dx") + F.col("dy") > 0) & (F.col("x") != F.col("y")))
-    members = staged(close.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "members", narrow=True)
-    if members.count():
-        links = links.unionByName(compared(members, docs, id_column, text).where(_IS_LINK).select("a", "b"))
-
-    final = staged(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components", narrow=True)
+    in_ball = staged(known.select("x", F.col("ball").alias("of"), F.col("d").alias("dx")).unionByName(known.select(F.col("ball").alias("x"), F.col("ball").alias("of"), F.lit(0.0).alias("dx"))).distinct(), "in-balls", narrow=True)
+    sizes = in_ball.groupBy("of").agg(F.count("*").alias("size"))
+    sa, sb = (sizes.select(F.col("of").alias(f"of_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    wide = wide.join(sa, F.col("a") == F.col("of_a"), "left").join(sb, F.col("b") == F.col("of_b"), "left")
+    a_larger = F.coalesce("size_a", F.lit(0)) >= F.coalesce("size_b", F.lit(0))
+    wide = staged(wide.select(F.when(a_larger, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(a_larger, F.col("b")).otherwise(F.col("a")).alias("guest"), "d"), "wide", narrow=True)
+    if wide.count():
+        found = member_links(wide, in_ball, docs, id_column, text)
+        final = staged(joined(links.unionByName(found)), "components", narrow=True)
+
     of_class = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("cfp"), F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("id", "n", "fp").join(of_class, F.col("fp") == F.col("cfp"), "left")
     return out.select(F.col("id").cast(docs.schema[id_column].dataType).alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -42,7 +42,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Entries a worker's caches may hold before they are emptied.
 CACHE_PIECES, CACHE_PAIRS = 400_000, 1_500_000
 #: Longer pieces have a cache of their own, of so many bytes of text.
-LONG_PIECE, LONG_BYTES = 1024, 4 << 20
+LONG_PIECE, LONG_BYTES = 256, 4 << 20
 LIMIT = 1024
 
 
@@ -59,7 +59,7 @@ class _Pieces(dict):
 
     def __init__(self, model: "PrefixModel"):
         self.model = model
-        self.prefixes: dict[str, array] = {}
+        self.prefixes: dict[str, bytes] = {}
         self.long: dict[str, array] = {}
         self.long_bytes = 0
 
@@ -75,7 +75,7 @@ class _Pieces(dict):
             self.prefixes.clear()
         n = counts[-1]
         if len(counts) <= LONG_PIECE:
-            self.prefixes[piece] = array("H", counts)
+            self.prefixes[piece] = bytes(counts)
             self[piece] = n
         else:
             if self.long_bytes + len(counts) > LONG_BYTES:
@@ -181,7 +181,8 @@ class PrefixModel:
         counts of the long ones."""
         known = self.pieces
         long = {p: known.long[p][-1] for p in pieces if p in known.long} if known.long else {}
-        new = sorted(p.encode() for p in {*pieces} if p not in known and p not in known.long)
+        new = sorted(p.encode() for p in {*pieces} if p not in known and p not in long)
+        prefixes = known.prefixes
         if len(known) + len(new) > CACHE_PIECES:
             known.clear()
             known.prefixes.clear()
@@ -192,9 +193,12 @@ class PrefixModel:
                 k += 1
             del last[k + 1 :], counts[k + 1 :]
             piece, before = raw.decode(), raw
-            n = known.keep(piece, self.prefix_counts(raw, last, counts))
-            if len(raw) >= LONG_PIECE:
-                long[piece] = n
+            self.prefix_counts(raw, last, counts)
+            if len(raw) < LONG_PIECE:
+                prefixes[piece] = bytes(counts)
+                known[piece] = counts[-1]
+            else:
+                long[piece] = known.keep(piece, counts)
         return long
 
     def counts(self, texts: list[str], block: int = 4 << 20) -> list[int]:

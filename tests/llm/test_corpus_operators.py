@@ -237,6 +237,16 @@ def test_counts_with_true_positions_lose_no_link():
     assert links >= 200
 
 
+def test_a_group_counts_as_pairs_do():
+    sets = [jaccard.shingle_set(t.encode()) >> np.uint64(16) for t in near_texts(3, 120)]
+    sets = [np.sort(s) for s in sets if len(s)]
+    reach = [k / len(sets) for k in range(len(sets))]
+    group = jaccard.Group([*range(len(sets))], reach, sets)
+    for s in [*sets[::5], np.zeros(0, np.uint64)]:
+        want = {k for k, x in enumerate(sets) if reach[k] >= 0.3 and jaccard.linked(len(np.intersect1d(s, x)), len(s), len(x))}
+        assert {*group.links(s, 0.3).tolist()} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_at_the_border_in_common_templates(make_docs, monkeypatch, seed):
     """Six templates with sixty unlike texts each, which make the template's shingles
