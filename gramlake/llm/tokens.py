@@ -114,7 +114,8 @@ class PrefixModel:
         self.pairs: dict[int, bool] = {}
         #: tokens that merges do reach: bytes, and those whose two halves are compatible but for their own merge
         self.tokens = {t: k for t, k in vocab.items() if len(t) == 1 or self.made[k] >= 0 and self._fits(self.left[k], self.right[k], self.made[k])}
-        self.tails = {t[k:] for t in self.tokens for k in range(len(t))}
+        #: every tail of a token, with its own id if it is a token, else -1
+        self.tails = {t[k:]: -1 for t in self.tokens for k in range(len(t))} | self.tokens
         self.pieces = _Pieces(self)
         self.longest_token = max(map(len, self.tokens))
 
@@ -148,15 +149,14 @@ class PrefixModel:
         """
         if counts is None:
             last, counts = [-1], [0]
-        n, tails, token, pairs = self.n, self.tails, self.tokens.get, self.pairs
+        n, tail, pairs = self.n, self.tails.get, self.pairs
         for i in range(len(counts), len(raw) + 1):
             found = []
             for j in range(i - 1, -1, -1):
-                t = raw[j:i]
-                if t not in tails:
+                k = tail(raw[j:i])
+                if k is None:
                     break
-                k = token(t)
-                if k is not None:
+                if k >= 0:
                     found.append((j, k))
             for j, k in reversed(found):
                 if not j:
@@ -175,13 +175,13 @@ class PrefixModel:
             counts.append(counts[j] + 1)
         return counts
 
-    def learn(self, pieces: list[str]) -> dict[str, int]:
+    def learn(self, pieces: set[str]) -> dict[str, int]:
         """Count pieces ahead, in byte order: a piece starts from the stored prefixes
         of the one before it, so what two pieces share is computed once. Returns the
         counts of the long ones."""
         known = self.pieces
         long = {p: known.long[p][-1] for p in pieces if p in known.long} if known.long else {}
-        new = sorted(p.encode() for p in {*pieces} if p not in known and p not in long)
+        new = sorted(p.encode() for p in pieces if p not in known and p not in long)
         prefixes = known.prefixes
         if len(known) + len(new) > CACHE_PIECES:
             known.clear()
@@ -201,9 +201,10 @@ class PrefixModel:
                 long[piece] = known.keep(piece, counts)
         return long
 
-    def counts(self, texts: list[str], block: int = 4 << 20) -> list[int]:
-        """Tokens of each text, some MB of them at a time."""
-        out: list[int] = []
+    def counts(self, texts: list[str], limit: int | None = None, block: int = 4 << 20) -> list[tuple[int, int]]:
+        """Tokens of each text, and the length in code points of its longest prefix within
+        the limit; some MB of texts at a time."""
+        out: list[tuple[int, int]] = []
         get = self.pieces.__getitem__
         at = 0
         while at < len(texts):
@@ -211,20 +212,30 @@ class PrefixModel:
             while end < len(texts) and (size < block or end == at):
                 size += len(texts[end])
                 end += 1
-            parts, odd = [], {}
-            for t in texts[at:end]:
-                if self._split is not None and any(s in t for s in self.specials):
-                    odd[len(parts)] = self.count(t)
-                    t = ""
-                parts.append(self.split(t))
-            long = self.learn([p for ps in parts for p in ps])
-            if long:
-                out += [odd[k] if k in odd else sum(long[p] if p in long else get(p) for p in ps) for k, ps in enumerate(parts)]
-            else:
-                out += [odd[k] if k in odd else sum(map(get, ps)) for k, ps in enumerate(parts)]
+            odd = {k for k in range(at, end) if self._split is not None and any(s in texts[k] for s in self.specials)}
+            parts = [[] if k in odd else self.split(texts[k]) for k in range(at, end)]
+            long = self.learn(set().union(*parts))
+            for k, ps in enumerate(parts, at):
+                if k in odd:
+                    n = self.count(texts[k])
+                else:
+                    n = sum(long[p] if p in long else get(p) for p in ps) if long else sum(map(get, ps))
+                cut = len(texts[k])
+                if limit is not None and n > limit:
+                    cut = PrefixTable(self, texts[k]).longest(limit) if k in odd else self._cut(ps, limit)
+                out.append((n, cut))
             at = end
         return out
 
+    def _cut(self, pieces: list[str], limit: int) -> int:
+        """PrefixTable.longest, from the stored counts of the pieces around the limit: a
+        piece has a token or more, and a run of white space has three pieces at most."""
+        totals = [*accumulate(map(self.pieces.__getitem__, pieces[: limit + 1]))]
+        first = max(0, bisect_right(totals, limit) - 3)
+        near = pieces[first : first + 8]
+        table = PrefixTable(self, "".join(near), near)
+        return sum(map(len, pieces[:first])) + table.longest(limit - (totals[first - 1] if first else 0))
+
     def split(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return _QUICK.findall(text)
@@ -255,13 +266,14 @@ class PrefixTable:
     character is two; a cut special string is ordinary text.
     """
 
-    def __init__(self, model: PrefixModel, text: str):
+    def __init__(self, model: PrefixModel, text: str, pieces: list[str] | None = None):
+        """pieces: the first pieces of the text, if known, and without special strings."""
         self.model, self.text = model, text
-        self.pieces: list[tuple[str, bool]] = []
-        for s, special in model.segments(text):
+        self.pieces: list[tuple[str, bool]] = [(p, False) for p in pieces or ()]
+        for s, special in model.segments(text) if pieces is None else ():
             self.pieces += [(s, True)] if special else [(p, False) for p in model.split(s)]
         self.ends = list(accumulate(len(p) for p, _ in self.pieces))
-        long = model.learn([p for p, special in self.pieces if not special])
+        long = model.learn({p for p, special in self.pieces if not special})
         self.totals = list(accumulate(1 if special else long[p] if p in long else model.pieces[p] for p, special in self.pieces))
         self._at: tuple[int, int] | None = None
         self._counts: list[int] = []
@@ -382,8 +394,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_column:
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for t, n in zip(texts, model.counts(texts)):
-                row = (len(t.encode()), n, n > limit, len(t) if n <= limit else PrefixTable(model, t).longest(limit))
+            for t, (n, cut) in zip(texts, model.counts(texts, limit)):
+                row = (len(t.encode()), n, n > limit, cut)
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]

@@ -146,7 +146,9 @@ def test_every_prefix_counts_as_the_library(both):
         for budget in (0, 1, 3):
             fits = [i for i in range(len(t) + 1) if n(t[:i]) <= budget]
             assert table.longest(budget) == max(fits), (t, budget)
-    assert model.counts(["abc def", ""]) == [n("abc def"), 0]
+        for budget in (1, 3):
+            assert model.counts([t], budget) == [(n(t), table.longest(budget))]
+    assert model.counts(["abc def", ""]) == [(n("abc def"), 7), (0, 0)]
 
 
 def test_long_unbroken_text(both):
