@@ -47,15 +47,17 @@ def centres(df: DataFrame, values: str | list[str] | None = None, limit: int = C
     cols = [values] if isinstance(values, str) else list(values or [])
     t = df.select(id_column, x, *cols).orderBy(id_column).toArrow()
     f = np.array([np.array(t.column(2 + k).to_pylist(), float) for k in range(len(cols))]).T if cols else None
-    return Centres(np.array(t.column(0).to_pylist()), np.array(t.column(1).to_pylist(), float).reshape(n, -1), f)
+    return Centres(np.array(t.column(0).to_pylist()), np.array(t.column(1).to_pylist(), float).reshape(n, -1) if n else np.zeros((0, 0)), f)
 
 
 def centre_groups(df: DataFrame, values: str | list[str] | None = None, id_column: str = "id", x: str = "x", size: int = CENTRES) -> Iterator[Centres]:
-    """A point set of any size in groups of about size, dealt by hash of the id."""
+    """A point set of any size in groups of about size, dealt by hash of the id; empty groups are left out."""
     n = df.count()
     k = -(-n * 5 // (4 * size)) if n > size else 1
     for g in range(k):
-        yield centres(df if k == 1 else df.where(F.pmod(F.xxhash64(id_column), F.lit(k)) == g), values, size * 2, id_column, x)
+        found = centres(df if k == 1 else df.where(F.pmod(F.xxhash64(id_column), F.lit(k)) == g), values, size * 2, id_column, x)
+        if k == 1 or len(found):
+            yield found
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -134,16 +136,17 @@ def labelled(x: DataFrame, y: Centres, distance: str | None = "norm2", maxmin: s
     return by_block(x, block, f"id {kind}, label {'string' if is_text else 'long'}, distance double", len(y))
 
 
-def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] | None = None, leave_one_out: bool = False, chain: MapChain | None = None) -> DataFrame:
+def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] | None = None, leave_one_out: bool = False, chain: MapChain | None = None, size: int = CENTRES) -> DataFrame:
     """(id, w, s array): sum over y of k(x, y), and of k(x, y) times each value.
 
-    y of any size: groups of centres, one pass over x each, partial sums added by id.
+    y of any size: groups of about size centres, one pass over x each, partial sums
+    added by id, so that the result has one row an id (ids of x are distinct).
     """
     spec = KernelSpec(spec) if isinstance(spec, str) else spec
     fun = kernel_fun(spec, chain)
     kind = x.schema["id"].dataType.simpleString()
-    out = None
-    for y_part in centre_groups(y, values):
+    out, parts = None, 0
+    for y_part in centre_groups(y, values, size=size):
 
         def block(ids, m, c=y_part):
             k = fun(m, c.x)
@@ -153,11 +156,11 @@ def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] |
             return {"id": ids[0], "w": pa.array(k.sum(1)), "s": _lists(s)}
 
         part = by_block(x, block, f"id {kind}, w double, s array<double>", len(y_part))
-        out = part if out is None else out.unionByName(part)
-    if len(values or []) and y.count() > CENTRES:
-        n = len(values)
-        return out.groupBy("id").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(n))).alias("s"))
-    return out
+        out, parts = part if out is None else out.unionByName(part), parts + 1
+    if parts < 2:
+        return out
+    n = len(values or []) or 1
+    return out.groupBy("id").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(n))).alias("s"))
 
 
 def mean_kernel(x: DataFrame, y: DataFrame, spec: KernelSpec | str, chain: MapChain | None = None) -> float:

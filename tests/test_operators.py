@@ -321,3 +321,17 @@ def test_transport_conditional_sums_over_all_rows(spark):
     mean = solve(f)
     assert m.x.shape == (20, 2) and np.allclose(k @ m.mean[:, 0], k @ mean, atol=1e-6)
     assert np.allclose(k @ m.second[:, 0], k @ solve((f - k @ mean) ** 2), atol=1e-6)
+
+
+@pytest.mark.parametrize("size", [8, 20, 1000])
+def test_sums_over_groups_of_centres(spark, size):
+    """However many groups the centres make, there is one row an id with the whole sum."""
+    r = np.random.default_rng(4)
+    x, y, f = r.normal(size=(7, 3)), r.normal(size=(25, 3)), r.normal(size=(25, 2))
+    xs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    ys = spark.createDataFrame([(k, v.tolist(), *map(float, w)) for k, (v, w) in enumerate(zip(y, f))], "id long, x array<double>, f0 double, f1 double")
+    k = gram.kernel_fun(KernelSpec("gaussian"), None)(x, y)
+    plain = {v.id: v.w for v in gram.sums(xs, ys.select("id", "x"), "gaussian", size=size).collect()}
+    assert len(plain) == 7 and all(plain[i] == pytest.approx(k[i].sum()) for i in range(7))
+    rows = gram.sums(xs, ys, "gaussian", ["f0", "f1"], size=size).collect()
+    assert len(rows) == 7 and all(v.w == pytest.approx(k[v.id].sum()) and np.allclose(v.s, k[v.id] @ f) for v in rows)
