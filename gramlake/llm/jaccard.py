@@ -7,7 +7,7 @@ for every text; no table of all pairs is ever made.
 2. A global order of shingles puts those that many texts share last. Texts with
    similarity t share at least l shingles within their first n - ceil(t n) + l
    (prefix filter), so only prefixes are indexed, and pairs that share fewer than
-   l = 1 + n / 16 indexed shingles are never compared.
+   l = 1 + n / 32 indexed shingles are never compared.
 3. Answers from similar sets: texts that share minimal hashes are compared with
    one leader each and form balls around it (distance 1 - J is a metric). Balls,
    not texts, stand in the inverted lists; what a leader's comparison settles
@@ -81,7 +81,7 @@ def shingle_set(raw: bytes) -> np.ndarray:
 
 
 #: A linked pair shares at least 1 + n // SHARE indexed shingles, n the smaller size.
-SHARE = 16
+SHARE = 32
 
 
 def prefix_length(n: int) -> int:
@@ -245,7 +245,7 @@ def compared(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> Da
 
 
 #: Guests that meet a group of one ball's texts in a task.
-GROUP_GUESTS = 4096
+GROUP_GUESTS = 256
 
 
 class Group:
@@ -495,7 +495,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(id_column).cast("long").alias("id"), binary(text).alias("raw")).where("id is not null")
     texts = texts.join(_sent(copies), F.col("id") == F.col("copy"), "left_anti").join(_sent(known), F.col("id") == F.col("x"), "left")
     entries = texts.select(F.coalesce("ball", "id").alias("ball"), F.coalesce("component", "id").alias("comp"), "raw")
-    shards = max(total_parallelism(spark), -(-size // SHARD_SHINGLES))
+    shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_SHINGLES))  # few: a pair's count comes in as many parts
 
     # candidates between components: balls first, members where there is room
     candidates = staged(ball_pairs(entries, common, shards), "candidates", narrow=True)
