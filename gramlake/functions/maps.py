@@ -9,10 +9,12 @@ nearest other point), on a bounded number of points; grid (rank - 1/2) / N.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def fit_one(name: str, points: DataFrame | np.ndarray, x: str = "x", **params) -
     if name == "scale_to_mean_distance":
         alpha = 2 * m["var"].sum()
     else:
-        pts = points if local else np.array([r[0] for r in points.select(x).limit(FIT_POINTS).collect()])
+        pts = points if local else np.array([r[0] for r in points.select(x).orderBy(F.xxhash64(x), x).limit(FIT_POINTS).collect()])
         pts = pts[:FIT_POINTS]
         g = ((pts * pts).sum(1)[:, None] + (pts * pts).sum(1)[None] - 2 * pts @ pts.T) if len(pts) > 1 else np.ones((1, 1))
         np.fill_diagonal(g, np.inf if len(pts) > 1 else 1.0)
@@ -127,9 +129,21 @@ class MapChain:
         return x
 
 
+def mapped(points: DataFrame, m: FittedMap, x: str = "x") -> DataFrame:
+    """The points (x alone) through a map, block by block in numpy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            flat = m.apply(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)).ravel() if len(rows) else np.zeros(0)
+            width = len(flat) // max(len(rows), 1)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(flat))], names=[x])
+
+    return points.select(F.col(x).cast("array<double>").alias(x)).mapInArrow(run, f"`{x}` array<double>")
+
+
 def fit(names, points: DataFrame | np.ndarray, x: str = "x", **params) -> MapChain:
-    """Fit a chain: each map on what those before it give. A frame is reduced to at
-    most FIT_POINTS rows only from the first map on that has no column form."""
+    """Fit a chain: each map on what those before it give, over all rows."""
     out: list[FittedMap] = []
     at = points
     for name in map_names(names):
@@ -138,7 +152,7 @@ def fit(names, points: DataFrame | np.ndarray, x: str = "x", **params) -> MapCha
         if isinstance(at, np.ndarray):
             at = m.apply(at)
         elif m.name in ("scale_to_erf", "scale_to_erfinv"):
-            at = MapChain(tuple(out)).apply(np.array([r[0] for r in points.select(x).limit(FIT_POINTS).collect()]))
+            at = mapped(at, m, x)
         else:
             at = at.withColumn(x, m.column(F.col(x)))
     return MapChain(tuple(out))

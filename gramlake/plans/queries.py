@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport, udfs
+from ..operators import agents, columns, conditional, differential, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -868,37 +868,33 @@ def all_state_actions(spark, sf_dir):
     return agents.all_state_actions(tables.table(spark, sf_dir, "customer").select("c_custkey"), 3).select("c_custkey", F.col("action").cast("long").alias("action"))
 
 
-def _agent_batch(spark, sf_dir) -> DataFrame:
-    """The newest 300 rows: a replay buffer of that capacity."""
-    return order.keep_last(_log(spark, sf_dir), [F.desc("t"), F.desc("event_id")], 300)
+def _states(log: DataFrame) -> DataFrame:
+    return log.select(F.col("event_id").alias("id"), F.col("state").alias("x"))
 
 
 def _trained(how: str) -> Query:
     def run(spark, sf_dir):
-        a = agents.Agent(3)
-        batch = _agent_batch(spark, sf_dir)
-        a = {"q": a.train_q, "q_expected": lambda b: a.train_q(b, expected=True), "actor_critic": a.train_actor_critic, "policy_gradient": a.train_policy_gradient, "actor_critic_expected": a.train_actor_critic_expected}[how](batch)
-        g = agents.Games.collect(batch)
-        best = a.q_values(g.state).argmax(1) if how.startswith("q") else a.policy(g.state).argmax(1)
-        return spark.createDataFrame([(k, int(b)) for k, b in enumerate(best)], "i long, action long")
+        log = _log(spark, sf_dir)
+        a = log_training.fit_all(agents.Agent(3), log, how)
+        acts = a.act(_states(log), greedy=True) if how.startswith("q") else log_training.policy_actions(a, _states(log))
+        return acts.select(F.col("id").alias("event_id"), F.col("action").cast("long").alias("action"))
 
     return run
 
 
-for _h in ("q", "q_expected", "actor_critic", "policy_gradient", "actor_critic_expected"):
+for _h in log_training.HOWS:
     register(f"agent_{_h}", _trained(_h))
 
 
 @query()
 def agent_greedy_actions(spark, sf_dir):
     """Greedy actions of a trained agent on every event: a narrow pass."""
-    a = agents.Agent(3).train_q(_agent_batch(spark, sf_dir))
-    states = _log(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("state").alias("x"))
-    return a.act(states, greedy=True)
+    log = _log(spark, sf_dir)
+    return log_training.fit_all(agents.Agent(3), log).act(_states(log), greedy=True)
 
 
 @query()
 def state_values(spark, sf_dir):
-    g = agents.Games.collect(_agent_batch(spark, sf_dir))
-    v = agents.Agent(3).state_values(g)
-    return spark.createDataFrame([(k, round(float(x), 4)) for k, x in enumerate(v)], "i long, v double")
+    """V at every event's state, from sums over the whole log."""
+    log = _log(spark, sf_dir)
+    return log_training.state_values(agents.Agent(3), log, _states(log)).select(F.col("id").alias("event_id"), F.round("v", 4).alias("v"))

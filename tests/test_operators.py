@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gramlake.functions import kernels, maps
-from gramlake.operators import agents, columns, conditional, differential, gram, linalg, model, optimize, order, points, sampling, transport, udfs
+from gramlake.operators import agents, columns, conditional, differential, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
 from gramlake.plans.spec import KERNELS, KernelSpec, kernel_name, map_names
 
 RNG = np.random.default_rng(5)
@@ -335,3 +335,65 @@ def test_sums_over_groups_of_centres(spark, size):
     assert len(plain) == 7 and all(plain[i] == pytest.approx(k[i].sum()) for i in range(7))
     rows = gram.sums(xs, ys, "gaussian", ["f0", "f1"], size=size).collect()
     assert len(rows) == 7 and all(v.w == pytest.approx(k[v.id].sum()) and np.allclose(v.s, k[v.id] @ f) for v in rows)
+
+
+def _random_log(spark, n=90):
+    r = np.random.default_rng(8)
+    s, a = r.normal(size=(n, 2)), r.integers(0, 2, n)
+    nxt = s * 0.5 + (a[:, None] - 0.5) + 0.1 * r.normal(size=(n, 2))
+    g = agents.Games(s, a, nxt, np.sin(s[:, 0]) + a, r.random(n) < 0.1)
+    rows = [(k % 4, k, s[k].tolist(), int(a[k]), nxt[k].tolist(), float(g.reward[k]), bool(g.done[k])) for k in range(n)]
+    return g, spark.createDataFrame(rows, "game long, t long, state array<double>, action int, next_state array<double>, reward double, done boolean").repartition(3)
+
+
+def test_agents_sum_over_the_whole_log(spark):
+    """Few centres, every row in the sums: against dense systems on all rows."""
+    g, log = _random_log(spark)
+    agent = agents.Agent(2, gamma=0.5, spec=KernelSpec("gaussian", reg=1e-4))
+    c = log_training.centre_rows(log, 15)
+    assert len(c) == 15 and len(log_training.centre_rows(log)) == 90
+    hot = lambda h: np.concatenate([h.state, np.eye(2)[h.action]], 1)
+    y, ridge = hot(c), 1e-4 * 90 / 15 * np.eye(15)
+    solve = lambda m, b: np.linalg.solve(m.T @ m + ridge, m.T @ b)
+    k = kernels.block(agent.spec, hot(g), y)
+    nxt = kernels.block(agent.spec, agents.with_actions(g.next_state, 2), y).reshape(90, 2, -1)
+    critic = log_training.evaluated(log, c, agent)
+    assert np.allclose(critic.theta[:, 0], solve(k - 0.5 * nxt.mean(1) * ~g.done[:, None], g.reward), atol=1e-6)
+    # a step that lowers the Bellman error, never one that raises it
+    error = lambda t: np.mean((k @ t - g.reward - 0.5 * (nxt @ t).max(1) * ~g.done) ** 2)
+    assert error(log_training.optimal(log, c, agent).theta[:, 0]) <= error(solve(k, g.reward)) + 1e-9
+    # dynamics
+    inner = kernels.block(agent.spec, y, y)
+    step = g.next_state - g.state
+    fitted = k @ np.linalg.solve(k.T @ k + 1e-2 * inner + 6e-9 * np.eye(15), k.T @ step)
+    assert np.allclose(log_training.dynamics(log, c, agent)(g).next_state, g.state + fitted + (step - fitted).mean(0), atol=1e-5)
+    # policy
+    a = critic.q_values(g.state)
+    a = a - a.mean(1, keepdims=True)
+    want = np.log(model.softmax(np.log(np.full((90, 2), 0.5)) + a / np.abs(a).max()))
+    ks, ms = kernels.block(agent.spec, g.state, c.state), kernels.block(agent.spec, c.state, c.state)
+    theta = np.linalg.solve(ks.T @ ks + 1e-4 * ms + 6e-9 * np.eye(15), ks.T @ want)
+    better = log_training.improved(log, c, critic, lambda h: critic.q_values(h.state))
+    assert np.allclose(kernels.block(agent.spec, g.state, c.state) @ better.log_policy, ks @ theta, atol=1e-5)
+    # state values
+    v = {x["id"]: x["v"] for x in log_training.state_values(agent, log, frame(spark, g.state), 15).collect()}
+    at = solve(ks - 0.5 * kernels.block(agent.spec, g.next_state, c.state) * ~g.done[:, None], 0.5 * g.reward)
+    assert np.allclose([v[i] for i in range(90)], ks @ at, atol=1e-5)
+
+
+def test_agents_on_an_empty_log(spark):
+    _, log = _random_log(spark)
+    none = log.where("game > 9")
+    agent = agents.Agent(2)
+    assert all(log_training.fit_all(agent, none, how) is agent for how in log_training.HOWS)
+    assert [x["v"] for x in log_training.state_values(agent, none, frame(spark, [[0.0, 1.0]])).collect()] == [0.0]
+    with pytest.raises(ValueError):
+        log_training.fit_all(agent, log, "nothing")
+
+
+def test_chains_fit_over_all_rows(spark):
+    """A map behind an inverse error function is fitted on every row."""
+    x = np.random.default_rng(3).normal(size=(1500, 2))
+    far = np.concatenate([x, 50 + x[:300]])
+    got, want = maps.fit("standardmean", frame(spark, far)), maps.fit("standardmean", far)
+    assert all(np.allclose(a.scale, b.scale) and np.allclose(a.shift, b.shift) for a, b in zip(got.maps, want.maps))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramlake.functions import kernels
-from gramlake.operators import gram
+from gramlake.operators import gram, log_training
 from gramlake.plans import queries
 from gramlake.plans.spec import KernelSpec
 
@@ -43,7 +43,7 @@ def test_against_sql(spark, db, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in queries.ORACLES and not n.startswith("agent_")])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in queries.ORACLES])
 def test_runs(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.count() > 0
@@ -62,3 +62,12 @@ def test_transport_conditional_fits_all_rows(spark):
     want = dict(zip(c.ids.tolist(), (k @ np.linalg.solve(k + 1e-3 * len(k) * np.eye(len(k)), c.f))[:, 0]))
     got = {r.id: r.e for r in queries.QUERIES["transport_conditional"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 for i in want)
+
+
+@pytest.mark.parametrize("name", [f"agent_{h}" for h in log_training.HOWS] + ["agent_greedy_actions", "state_values"])
+def test_agents_answer_for_every_event(spark, name):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    df = queries.QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert n > log_training.CENTRE_ROWS and len(rows) == len({r[0] for r in rows}) == n
+    assert all(np.isfinite(r[1]) and (df.columns[1] == "v" or 0 <= r[1] < 3) for r in rows)
