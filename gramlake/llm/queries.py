@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, extract, jaccard, langid, lm, mixing, quality, secrets, tokens
+from . import chat, decontam, extract, fim, jaccard, langid, lm, mixing, quality, roles, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.audited(roles.repaired(table(spark, sf_dir, "conversations")))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op5_lm_scores, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_chat_format, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_html_extraction, op4_token_counts, op5_lm_scores, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_chat_format, op10_mix_sources, op11_fill_in_middle, op12_conversation_repair, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.MIX_SQL}
+    return {"op10_mix_sources": mixing.MIX_SQL, "op11_fill_in_middle": fim.FIM_SQL, "op12_conversation_repair": roles.REPAIR_SQL}
