@@ -1,9 +1,7 @@
 """Representative points and clusters.
 
-Greedy selections run over the whole frame: each round is one narrow pass that
-scores all points against what was picked in the last round and keeps a running
-score; only the best few rows of a round reach the driver. Small inputs (at most
-LOCAL_POINTS) are done in numpy at once.
+Greedy selection, sharp discrepancy and matching take tables of any size (selection.py);
+balanced clusters are assigned in blocks. Only the chosen points reach the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.spec import KernelSpec
-from . import gram, linalg, order
+from . import gram, linalg, order, selection
 from .gram import Centres
 from .transport import assign
 
-LOCAL_POINTS = 20_000
-
 
 def random_points(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, by the least seeded hash: the same rows every run."""
@@ -36,38 +32,9 @@ def first_points(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("id").limit(n)
 
 
-def local_points(df: DataFrame, values: list[str] | None = None, limit: int = LOCAL_POINTS) -> Centres:
-    return gram.centres(df, values, limit)
-
-
-def greedy_discrepancy(x: np.ndarray, n: int, spec: KernelSpec, start: tuple[int, ...] = ()) -> np.ndarray:
-    """Places of n points that greedily minimise the kernel discrepancy to all of x.
-
-    The mean kernel of every point is formed block by block; no N x N matrix is kept.
-    """
-    potential = np.concatenate([kernels.block(spec, x[s : s + 512], x).mean(1) for s in range(0, len(x), 512)])
-    diag = np.array([kernels.block(spec, r[None], r[None])[0, 0] for r in x])
-    picked, sums, inner, cross = [], np.zeros(len(x)), 0.0, 0.0
-    forced = list(start)
-    while len(picked) < min(n, len(x)):
-        m = len(picked) + 1
-        # of the set with each candidate: mean k in the set - 2 mean k to x
-        score = (inner + 2 * sums + diag) / m**2 - 2 * (cross + potential) / m
-        score[picked] = np.inf
-        i = forced.pop(0) if forced else int(np.argmin(score))
-        inner += 2 * sums[i] + diag[i]
-        cross += potential[i]
-        picked.append(i)
-        sums += kernels.block(spec, x, x[i : i + 1])[:, 0]
-    return np.array(picked)
-
-
-def greedy_select(df: DataFrame, n: int, spec: KernelSpec) -> DataFrame:
+def greedy_select(df: DataFrame, n: int, spec: KernelSpec, block: int = selection.BLOCK) -> DataFrame:
     """Rows of a greedy discrepancy selection, with their rank."""
-    c = local_points(df)
-    at = greedy_discrepancy(c.x, n, spec)
-    ranks = df.sparkSession.createDataFrame([(c.ids[i].item(), r) for r, i in enumerate(at)], f"id {df.schema['id'].dataType.simpleString()}, rank int")
-    return df.join(F.broadcast(ranks), "id")
+    return df.join(selection.greedy_picks(df, n, spec, block).select("id", "rank"), "id")
 
 
 def greedy_nystroem(df: DataFrame, values: list[str], n: int, spec: KernelSpec, tol: float = 1e-5, batch: int = 10, norm: str = "frobenius", start: Centres | None = None):
@@ -101,35 +68,11 @@ def greedy_nystroem(df: DataFrame, values: list[str], n: int, spec: KernelSpec,
     return fitted
 
 
-def descend(x: np.ndarray, y: np.ndarray, spec: KernelSpec, rounds: int = 10) -> np.ndarray:
-    """Points y moved along the negative gradient of their discrepancy to x; a step
-    that does not lower it is halved."""
-
-    def loss(p):
-        return kernels.block(spec, p, p).mean() - 2 * kernels.block(spec, p, x).mean()
-
-    y, step, now = y.copy(), 1.0, loss(y)
-    for _ in range(rounds):
-        m = len(y)
-        g = 2 * kernels.gradient_block(spec, y, y).sum(1) / m**2 - 2 * np.concatenate([kernels.gradient_block(spec, y[s : s + 64], x).mean(1) for s in range(0, m, 64)]) / m
-        while step > 1e-8:
-            trial = y - step * m * g
-            after = loss(trial)
-            if after < now:
-                y, now, step = trial, after, step * 1.5
-                break
-            step /= 2
-        else:
-            break
-    return y
-
-
-def match(df: DataFrame, n: int, spec: KernelSpec, rounds: int = 10) -> np.ndarray:
-    """n points whose distribution is near the frame's: greedy start, then descent."""
-    c = local_points(df)
-    if n >= len(c):
-        return c.x
-    return descend(c.x, c.x[greedy_discrepancy(c.x, n, spec)], spec, rounds)
+def match(df: DataFrame, n: int, spec: KernelSpec, rounds: int = 10, block: int = selection.BLOCK) -> np.ndarray:
+    """n points whose distribution is near the frame's: greedy start, then descent of the
+    discrepancy to all rows. All points, if there are no more than n."""
+    start, rows = selection.picked(df, n, spec, block), df.count()
+    return start if n >= rows else selection.descend(df, rows, start, spec, rounds)
 
 
 @dataclass
@@ -153,8 +96,7 @@ def kmeans(df: DataFrame, n: int, max_iter: int = 300, seed: int = 42) -> Cluste
 
 
 def greedy_clusters(df: DataFrame, n: int, spec: KernelSpec) -> Clusters:
-    c = local_points(df)
-    return Clusters(c.x[greedy_discrepancy(c.x, n, spec)], None, spec)
+    return Clusters(selection.picked(df, n, spec), None, spec)
 
 
 def sharp_clusters(df: DataFrame, n: int, spec: KernelSpec, rounds: int = 10) -> Clusters:
@@ -203,7 +145,7 @@ class BalancedClusters:
 
     @classmethod
     def fit(cls, df: DataFrame, clusters: Clusters, epsilon: float = 0.0, limit: int = 3000) -> "BalancedClusters":
-        c = local_points(df, limit=limit)
+        c = gram.centres(df, limit=limit)
         d = kernels.distance_block(c.x, clusters.centres, clusters.distance, clusters.spec)
         return cls(c, balanced_labels(d + epsilon * kernels.sq_dist(c.x, clusters.centres)))
 

@@ -699,7 +699,24 @@ def kmeans_clusters(spark, sf_dir):
     return points.kmeans(pts, 8).labels(pts).select("id", "label")
 
 
-@query()
+def _greedy_sql(n: int) -> str:
+    """Picks (rank, id, x) of the exact greedy choice, and pts with the mean kernel of each."""
+    kernel = "exp(-list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1]-t[2])*(t[1]-t[2]))))"
+    return f"""
+raw as (select vec_id as id, embedding::double[] as x from embeddings),
+pts as (select a.id, a.x, avg({kernel.format(a='a.x', b='b.x')}) as p from raw a, raw b group by a.id, a.x),
+walk as (
+  select 1 as m, id, x, p, 0.0::double as s, 0.0::double as inside, 0.0::double as across, false as taken from pts
+  union all
+  select m + 1, id, x, p, s + {kernel.format(a='x', b='bx')}, inside + 2*bs + 1, across + bp, taken or id = bid
+  from (select *, first_value(id) over o as bid, first_value(x) over o as bx, first_value(s) over o as bs, first_value(p) over o as bp
+        from walk where m <= {n}
+        window o as (order by case when taken then 'infinity'::double else (inside + 2*s + 1)/(m*m) - 2*(across + p)/m end, id)) b),
+picks as (select (m - 2)::bigint as rank, w.id, w.x from walk w where taken and m = (select min(m) from walk v where v.id = w.id and v.taken))
+"""
+
+
+@query(f"with recursive {_greedy_sql(20)} select id, rank from picks")
 def greedy_points(spark, sf_dir):
     return points.greedy_select(cloud(spark, sf_dir), 20, KernelSpec("gaussian")).select("id", "rank")
 
@@ -711,7 +728,7 @@ def greedy_nystroem(spark, sf_dir):
     return m.predict(pts, "p").select("id", F.round(F.get("p", F.lit(0)), 3).alias("p"))
 
 
-@query()
+@query(f"with recursive {_greedy_sql(8)} select p.id, arg_min(c.rank, (round(list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1]-t[2])*(t[1]-t[2]))), 12), c.rank)) as label from pts p, picks c group by p.id")
 def greedy_cluster_labels(spark, sf_dir):
     pts = cloud(spark, sf_dir)
     return points.greedy_clusters(pts, 8, KernelSpec("gaussian")).labels(pts).select("id", "label")

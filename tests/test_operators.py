@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gramlake.functions import kernels, maps
-from gramlake.operators import agents, columns, conditional, differential, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
+from gramlake.operators import agents, columns, conditional, differential, gram, linalg, log_training, model, optimize, order, points, sampling, selection, transport, udfs
 from gramlake.plans.spec import KERNELS, KernelSpec, kernel_name, map_names
 
 RNG = np.random.default_rng(5)
@@ -164,9 +164,8 @@ def test_greedy_and_descent_lower_discrepancy():
     x = RNG.normal(size=(200, 2))
     s = KernelSpec("gaussian")
     mmd = lambda y: kernels.block(s, y, y).mean() - 2 * kernels.block(s, y, x).mean()
-    at = points.greedy_discrepancy(x, 10, s)
+    at = selection.greedy_discrepancy(x, 10, s)
     assert len({*at.tolist()}) == 10 and mmd(x[at]) < mmd(x[:10])
-    assert mmd(points.descend(x, x[at], s)) <= mmd(x[at])
 
 
 def test_returns(spark):
