@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.spec import KernelSpec
-from . import gram, linalg, model, points, sampling
+from ..sources.stage import Stage
+from . import features, gram, linalg, model, points, sampling
 from .gram import Centres
 from .transport import match_to, transition
 
@@ -25,50 +26,46 @@ class NadarayaWatson:
     spec: KernelSpec = KernelSpec("gaussian")
     spec_y: KernelSpec = KernelSpec("gaussian")
 
-    def expectation(self, z: DataFrame, leave_one_out: bool = False) -> DataFrame:
-        """(id, e array): training sets of any size, in passes of bounded blocks."""
-        s = gram.sums(z, self.train, self.spec, list(self.values), leave_one_out)
+    def expectation(self, z: DataFrame, leave_one_out: bool = False, n_features: int | None = None) -> DataFrame:
+        """(id, e array): training sets of any size, in passes of bounded blocks; with
+        n_features by random features, one pass over each side (features.py states the error)."""
+        if n_features:
+            s = features.sums(z, self.train, self.spec, list(self.values), n_features)
+        else:
+            s = gram.sums(z, self.train, self.spec, list(self.values), leave_one_out)
         return s.select("id", F.when(F.col("w") > 0, F.transform("s", lambda v: v / F.col("w"))).alias("e"))
 
     __call__ = expectation
 
-    def density(self, z: DataFrame) -> DataFrame:
+    def density(self, z: DataFrame, n_features: int | None = None) -> DataFrame:
         """(id, density): sum of k, not normalised."""
-        s = gram.sums(z, self.train, self.spec)
-        return s.groupBy("id").agg(F.sum("w").alias("density"))
-
-    def var(self, z: DataFrame, scalar: bool = False) -> DataFrame:
-        """(id, v): weighted mean of the residuals' outer products, by rows; with scalar,
-        of their squared length."""
-        c = gram.centres(self.train, list(self.values))
-        k = kernels.block(self.spec, c.x, c.x)
-        r = c.f - k @ c.f / k.sum(1, keepdims=True)
-        target = (r * r).sum(1, keepdims=True) if scalar else np.einsum("np,nq->npq", r, r).reshape(len(r), -1)
-        kind, spec = z.schema["id"].dataType.simpleString(), self.spec
+        s = features.sums(z, self.train, self.spec, None, n_features) if n_features else gram.sums(z, self.train, self.spec)
+        return s.select("id", F.col("w").alias("density"))
 
-        def block(ids, m):
-            w = kernels.block(spec, m, c.x)
-            return {"id": ids[0], "v": gram._lists(w @ target / w.sum(1, keepdims=True))}
+    def residuals(self, size: int = gram.CENTRES) -> DataFrame:
+        """(id, x, r0, r1, ..): training values less their expectation."""
+        s = gram.sums(self.train, self.train, self.spec, list(self.values), size=size).select("id", F.transform("s", lambda v: v / F.col("w")).alias("__e"))
+        left = [(F.col(v) - F.get("__e", F.lit(k))).alias(f"r{k}") for k, v in enumerate(self.values)]
+        return self.train.join(s, "id").select("id", "x", *left)
 
-        return gram.by_block(z, block, f"id {kind}, v array<double>", len(c))
+    def var(self, z: DataFrame, scalar: bool = False, size: int = gram.CENTRES) -> DataFrame:
+        """(id, v): weighted mean of the residuals' outer products, by rows; with scalar,
+        of their squared length. Two rounds of sums over the training set."""
+        r = Stage(self.residuals(size), "residuals").rows
+        outer = lambda f: (f * f).sum(1, keepdims=True) if scalar else np.einsum("np,nq->npq", f, f).reshape(len(f), -1)
+        s = gram.sums(z, r, self.spec, [f"r{k}" for k in range(len(self.values))], size=size, of=outer)
+        return s.select("id", F.transform("s", lambda v: v / F.col("w")).alias("v"))
 
-    def joint_density(self, z: DataFrame, y: np.ndarray) -> DataFrame:
+    def joint_density(self, z: DataFrame, y: np.ndarray, size: int = gram.CENTRES) -> DataFrame:
         """(id, p array over the given y): sum over n of kx(x, X_n) ky(y, Y_n)."""
-        return self._joint(z, y, lambda j, w: j)
-
-    def conditional_density(self, z: DataFrame, y: np.ndarray) -> DataFrame:
-        return self._joint(z, y, lambda j, w: j / w)
+        return self._joint(z, y, size).select("id", F.col("s").alias("p"))
 
-    def _joint(self, z, y, finish):
-        c = gram.centres(self.train, list(self.values))
-        ky = kernels.block(self.spec_y, c.f, np.asarray(y, float))
-        kind, spec = z.schema["id"].dataType.simpleString(), self.spec
+    def conditional_density(self, z: DataFrame, y: np.ndarray, size: int = gram.CENTRES) -> DataFrame:
+        return self._joint(z, y, size).select("id", F.transform("s", lambda v: v / F.col("w")).alias("p"))
 
-        def block(ids, m):
-            w = kernels.block(spec, m, c.x)
-            return {"id": ids[0], "p": gram._lists(finish(w @ ky, w.sum(1, keepdims=True)))}
-
-        return gram.by_block(z, block, f"id {kind}, p array<double>", len(c))
+    def _joint(self, z: DataFrame, y: np.ndarray, size: int) -> DataFrame:
+        at, spec_y = np.asarray(y, float), self.spec_y
+        return gram.sums(z, self.train, self.spec, list(self.values), size=size, of=lambda f: kernels.block(spec_y, f, at))
 
     def transition(self, z: DataFrame, y: np.ndarray) -> DataFrame:
         """(id, y_index, p): joint density scaled by columns, then by rows."""
@@ -77,20 +74,60 @@ class NadarayaWatson:
         scaled = long.join(F.broadcast(cols), "y_index").withColumn("p", F.col("p") / F.col("__c")).drop("__c")
         return scaled.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("id"))).select("id", "y_index", "p")
 
-    def sample(self, z: DataFrame, n: int, seed: int = 42) -> DataFrame:
-        """(id, draw, y array): n weighted draws of training values for each query."""
-        c = gram.centres(self.train, list(self.values))
-        kind, spec = z.schema["id"].dataType.simpleString(), self.spec
-
-        def block(ids, m):
-            w = kernels.block(spec, m, c.x)
-            cum = np.cumsum(w, 1) / w.sum(1, keepdims=True)
-            keys = ids[0].to_pylist()
-            at = np.array([[np.searchsorted(row, sampling.uniform_of(seed, key, d)) for d in range(n)] for key, row in zip(keys, cum)]).clip(0, len(c) - 1)
-            flat = at.ravel()
-            return {"id": pa.array(np.repeat(keys, n).tolist(), ids[0].type), "draw": pa.array(np.tile(np.arange(n), len(m)), pa.int32()), "y": gram._lists(c.f[flat])}
-
-        return gram.by_block(z, block, f"id {kind}, draw int, y array<double>", len(c))
+    def sample(self, z: DataFrame, n: int, seed: int = 42, size: int = gram.CENTRES) -> DataFrame:
+        """(id, draw, y array): n weighted draws of training values for each query.
+
+        A race: every training row runs for each query and draw, in a time that is an
+        exponential by a uniform of the three ids, over its weight; the first one is drawn.
+        The first of several groups is the first of their firsts, so training sets of any
+        size, groups and partitions give the same draws. The smaller side goes to the tasks.
+        """
+        kind, spec, width = z.schema["id"].dataType.simpleString(), self.spec, len(self.values)
+
+        def race(zs: np.ndarray, zx: np.ndarray, ids: np.ndarray, x: np.ndarray, f: np.ndarray):
+            """Of each query and draw: time, number and values of the first training row."""
+            k = kernels.block(spec, zx, x)
+            numbers = sampling.numbers_of(ids)
+            for d in range(n):
+                with np.errstate(divide="ignore"):
+                    t = -np.log(sampling.scattered((zs * 1_000_003 + d)[:, None], numbers[None], seed)) / k
+                at = t.argmin(1)
+                yield t[np.arange(len(t)), at], numbers[at], f[at]
+
+        schema = f"id {kind}, draw int, t double, n long, y array<double>"
+        swap = self.train.count() > size >= z.count()
+        if swap:
+            c = gram.centres(z)
+            queries = sampling.numbers_of(c.ids)
+
+            def run(batches):
+                first = [(np.full(len(c), np.inf), np.zeros(len(c), np.int64), np.zeros((len(c), width))) for _ in range(n)]
+                for batch in batches:
+                    ids, x = np.array(batch.column(0).to_pylist()), gram.rows_of(batch.column(1))
+                    f = np.stack([batch.column(2 + j).to_numpy(zero_copy_only=False) for j in range(width)], 1).astype(float)
+                    step = max(1, gram.CELLS // max(1, len(c)))
+                    for s in range(0, len(x), step):
+                        for (t, m, y), (t2, m2, y2) in zip(first, race(queries, c.x, ids[s : s + step], x[s : s + step], f[s : s + step])):
+                            won = (t2 < t) | ((t2 == t) & (m2 < m))
+                            t[won], m[won], y[won] = t2[won], m2[won], y2[won]
+                for d, (t, m, y) in enumerate(first):
+                    ran = np.isfinite(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ids[ran].tolist()), pa.array(np.full(ran.sum(), d), pa.int32()), pa.array(t[ran]), pa.array(m[ran]), gram._lists(y[ran])], names=["id", "draw", "t", "n", "y"])
+
+            runs = self.train.select("id", "x", *self.values).mapInArrow(run, schema)
+        else:
+            runs = None
+            for group in gram.centre_groups(self.train, list(self.values), size=size):
+
+                def block(ids, m, c=group):
+                    found = list(race(sampling.numbers_of(ids[0].to_pylist()), m, c.ids, c.x, c.f))
+                    t, who, y = (np.stack(v, 1).reshape(len(m) * n, *v[0].shape[1:]) for v in zip(*found))
+                    return {"id": pa.array(np.repeat(np.array(ids[0].to_pylist()), n).tolist(), ids[0].type), "draw": pa.array(np.tile(np.arange(n), len(m)), pa.int32()), "t": pa.array(t), "n": pa.array(who), "y": gram._lists(y)}
+
+                part = gram.by_block(z, block, schema, len(group))
+                runs = part if runs is None else runs.unionByName(part)
+        first = runs.groupBy("id", "draw").agg(F.min_by("y", F.struct("t", "n")).alias("y"))
+        return first.select("id", "draw", "y")
 
 
 def conditional_density_estimator(train: DataFrame, values: list[str], z: DataFrame, y: np.ndarray, spec_x: KernelSpec, spec_y: KernelSpec) -> DataFrame:

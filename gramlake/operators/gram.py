@@ -136,31 +136,60 @@ def labelled(x: DataFrame, y: Centres, distance: str | None = "norm2", maxmin: s
     return by_block(x, block, f"id {kind}, label {'string' if is_text else 'long'}, distance double", len(y))
 
 
-def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] | None = None, leave_one_out: bool = False, chain: MapChain | None = None, size: int = CENTRES) -> DataFrame:
-    """(id, w, s array): sum over y of k(x, y), and of k(x, y) times each value.
+def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] | None = None, leave_one_out: bool = False, chain: MapChain | None = None, size: int = CENTRES, of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, w, s array): sum over y of k(x, y), and of k(x, y) times each value, or each
+    column that of() makes from the values of y.
 
-    y of any size: groups of about size centres, one pass over x each, partial sums
-    added by id, so that the result has one row an id (ids of x are distinct).
+    Both sides of any size. y in groups of about size centres, one pass over x each, partial
+    sums added by id, so that the result has one row an id (ids of x are distinct); if y is
+    the larger side and x fits size, one pass over y with x in every task.
     """
     spec = KernelSpec(spec) if isinstance(spec, str) else spec
     fun = kernel_fun(spec, chain)
     kind = x.schema["id"].dataType.simpleString()
+    target = of or (lambda f: f)
+    n = target(np.zeros((1, len(values)))).shape[1] if values else 1
+    if y.count() > size >= x.count():
+        return _summed_by_id(_streamed(x, y, fun, values, leave_one_out, target, n), n)
     out, parts = None, 0
     for y_part in centre_groups(y, values, size=size):
 
-        def block(ids, m, c=y_part):
+        def block(ids, m, c=y_part, f=None if y_part.f is None else target(y_part.f)):
             k = fun(m, c.x)
             if leave_one_out:
                 k[np.array(ids[0].to_pylist())[:, None] == c.ids[None]] = 0.0
-            s = k @ c.f if c.f is not None else np.zeros((len(k), 1))
+            s = k @ f if f is not None else np.zeros((len(k), 1))
             return {"id": ids[0], "w": pa.array(k.sum(1)), "s": _lists(s)}
 
         part = by_block(x, block, f"id {kind}, w double, s array<double>", len(y_part))
         out, parts = part if out is None else out.unionByName(part), parts + 1
-    if parts < 2:
-        return out
-    n = len(values or []) or 1
-    return out.groupBy("id").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(n))).alias("s"))
+    return out if parts < 2 else _summed_by_id(out, n)
+
+
+def _summed_by_id(parts: DataFrame, n: int) -> DataFrame:
+    return parts.groupBy("id").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(n))).alias("s"))
+
+
+def _streamed(x: DataFrame, y: DataFrame, fun, values: list[str] | None, leave_one_out: bool, target, n: int) -> DataFrame:
+    """Partial sums of each task of y, a row a point of x."""
+    c, kind = centres(x), x.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, s = np.zeros(len(c)), np.zeros((len(c), n))
+        for batch in batches:
+            points = rows_of(batch.column(1))
+            f = target(np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1).astype(float)) if values else None
+            step = max(1, CELLS // max(1, len(c)))
+            for at in range(0, len(points), step):
+                k = fun(c.x, points[at : at + step])
+                if leave_one_out:
+                    k[c.ids[:, None] == np.array(batch.column(0).slice(at, step).to_pylist())[None]] = 0.0
+                w += k.sum(1)
+                if f is not None:
+                    s += k @ f[at : at + step]
+        yield pa.RecordBatch.from_arrays([pa.array(c.ids.tolist()), pa.array(w), _lists(s)], names=["id", "w", "s"])
+
+    return y.select("id", "x", *(values or [])).mapInArrow(run, f"id {kind}, w double, s array<double>")
 
 
 def mean_kernel(x: DataFrame, y: DataFrame, spec: KernelSpec | str, chain: MapChain | None = None) -> float:

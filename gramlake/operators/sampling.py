@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from statistics import NormalDist
 
 import numpy as np
@@ -67,6 +68,37 @@ def uniform_of(seed: int, key, draw: int) -> float:
     return (int.from_bytes(h, "little") + 0.5) / 2**64
 
 
+PRIME = (1 << 31) - 1
+
+
+def scattered(i, j, seed: int) -> np.ndarray:
+    """Uniforms in (0, 1) fixed by two whole numbers and a seed: squares and products modulo
+    a prime below 2^31, so that 64-bit integers hold every step, in SQL as well."""
+    i, j = np.asarray(i, np.int64) % PRIME, np.asarray(j, np.int64) % PRIME
+    v = (i * 48271 + seed * 69621 + 12345) % PRIME
+    v = (v * v + j) % PRIME
+    v = (v * 40692 + i) % PRIME
+    v = (v * v + seed) % PRIME
+    v = (v * 48271 + j) % PRIME
+    v = (v * v + i) % PRIME
+    return (v + 0.5) / PRIME
+
+
+def scattered_sql(i: str, j: str, seed: int) -> str:
+    """scattered() as SQL, for whole numbers of zero or more."""
+    i, j, v = f"(({i}) % {PRIME})", f"(({j}) % {PRIME})", f"(({i}) % {PRIME} * 48271 + {seed * 69621 + 12345}) % {PRIME}"
+    steps = (("v * v", j), ("v * 40692", i), ("v * v", str(seed)), ("v * 48271", j), ("v * v", i))
+    for product, more in steps:  # a one-element list binds v, so that squares do not double the text
+        v = f"list_transform([{v}], lambda v: ({product} + {more}) % {PRIME})[1]"
+    return f"(({v}) + 0.5) / {PRIME}"
+
+
+def numbers_of(ids) -> np.ndarray:
+    """Whole numbers for ids of any type: themselves, or the CRC of their text."""
+    a = np.asarray(ids)
+    return a.astype(np.int64) if a.dtype.kind in "iub" else np.array([zlib.crc32(str(v).encode()) for v in a.tolist()], np.int64)
+
+
 def qmc_frame(spark: SparkSession, n: int) -> DataFrame:
     """(id, u): midpoints as a frame of any size."""
     return spark.range(n).select("id", ((F.col("id") + 0.5) / n).alias("u"))

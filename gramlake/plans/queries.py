@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
+from ..operators import agents, columns, conditional, differential, features, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -191,6 +191,37 @@ def nw_variance(spark, sf_dir):
 _JOINT = f"with {CLOUD_SQL}, ys as (select unnest(range(0,10))::double as y), k as (select p.id as i, c.id as j, {KERNEL_SQL['gaussian']} as k, c.label::double as v from pts p, pts c), jt as (select i, y, sum(k*exp(-(y-v)*(y-v))) as p, sum(k) as w from k, ys group by i, y)"
 
 
+_WAVES = 512
+
+
+def _normal_sql(j: str, d: str, stream: int, seed: int = 42) -> str:
+    u = lambda k: sampling.scattered_sql(j, d, 8 * seed + k)
+    return f"sqrt(-2*ln({u(stream)}))*cos(2*pi()*{u(stream + 1)})"
+
+
+@query(f"""with pts as (select vec_id as id, embedding::double[] as x, label::double as label from embeddings),
+freq as (select j, list(sqrt(2)*{_normal_sql('j', 'd', 0)} order by d) as w from range({_WAVES}) r(j), range(64) s(d) group by j),
+z as (select id, label, j, list_inner_product(x, w) as z from pts, freq),
+waves as (select j, sum(cos(z)) as c, sum(sin(z)) as s, sum(label*cos(z)) as cl, sum(label*sin(z)) as sl from z group by j)
+select id, round(avg(cos(z)*c + sin(z)*s), 4) + 0.0 as density, round(avg(cos(z)*cl + sin(z)*sl)/avg(cos(z)*c + sin(z)*s), 4) + 0.0 as e, round(stddev_pop(cos(z)*c + sin(z)*s)/sqrt({_WAVES}), 4) + 0.0 as se
+from z join waves using (j) group by id""")
+def density_features(spark, sf_dir):
+    """Kernel density, and kernel mean of the label, by random features: linear in both sides."""
+    pts = labelled_cloud(spark, sf_dir)
+    s = features.sums(pts, pts, "gaussian", ["label"], _WAVES)
+    r4 = lambda c: F.round(c, 4) + F.lit(0.0)
+    return s.select("id", r4(F.col("w")).alias("density"), r4(F.get("s", F.lit(0)) / F.col("w")).alias("e"), r4(F.col("se")).alias("se"))
+
+
+@query(f"""{_JOINT}, cols as (select y, sum(p) as c from jt group by y), q as (select i, y, p/c as q from jt join cols using (y))
+select i as id, y::int as y_index, {r6s('q / sum(q) over (partition by i)')} as p from q""")
+def conditional_transition(spark, sf_dir):
+    """Transition probabilities from every point to the ten labels."""
+    pts = labelled_cloud(spark, sf_dir)
+    out = conditional.NadarayaWatson(pts, ("label",)).transition(pts, np.arange(10.0)[:, None])
+    return out.select("id", "y_index", r6("p").alias("p"))
+
+
 @query(f"{_JOINT} select i as id, y::bigint as y, {r6s('p')} as p from jt")
 def joint_density(spark, sf_dir):
     pts = labelled_cloud(spark, sf_dir)
@@ -811,8 +842,9 @@ def weighted_resample(spark, sf_dir):
     return sampling.weighted_resample(tables.table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", 1000)
 
 
-@query()
+@query(f"with {CLOUD_SQL}, t as (select c.id, d::int as draw, p.id as n, p.label::double as y, -ln({sampling.scattered_sql('c.id * 1000003 + d', 'p.id', 42)}) / {KERNEL_SQL['gaussian']} as t from cen c, pts p, range(20) r(d)) select id, draw, arg_min(y, (t, n)) as y from t group by id, draw")
 def conditional_sample(spark, sf_dir):
+    """Twenty draws of a training label for each label mean, weighted by the kernel."""
     pts = labelled_cloud(spark, sf_dir)
     return conditional.NadarayaWatson(pts, ("label",)).sample(label_means(spark, sf_dir), 20).select("id", "draw", F.get("y", F.lit(0)).alias("y"))
 
