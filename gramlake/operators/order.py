@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def global_rank(df: DataFrame, columns: list, out: str = "rank", parts: int | None = None) -> DataFrame:
     """Rank from 1 in a total order without sorting in one task: rows are split by
@@ -31,42 +32,10 @@ def lexicographical_permutation(df: DataFrame, key: str, id_column: str, out: st
     return global_rank(df, [key, id_column], "__r").withColumn(out, F.col("__r") - 1).drop("__r")
 
 
-def discounted_returns(df: DataFrame, game: str, reward: str, latest_first: list[Column], gamma: float, out: str = "ret", chunk: int = 4096) -> DataFrame:
-    """G_t = R_t + gamma G_{t+1} over each game, latest row first.
-
-    A game of any length is split into chunks of rows: a chunk is summarised by its
-    own return at the end and its length, summaries are chained per game, and every
-    chunk is then scanned with what the later ones bring. All in the JVM.
-    """
-    w = Window.partitionBy(game).orderBy(*latest_first)
-    ranked = df.withColumn("__n", F.row_number().over(w) - 1).withColumn("__c", F.floor(F.col("__n") / chunk))
-    step = lambda acc, r: r + F.lit(gamma) * acc
-    # the discounted sum of a prefix, by a scan over the chunk's list
-    listed = ranked.groupBy(game, "__c").agg(F.sort_array(F.collect_list(F.struct("__n", F.col(reward).cast("double").alias("r"), F.struct(*(c for c in df.columns)).alias("row")))).alias("l"))
-    own = F.aggregate("l", F.lit(0.0), lambda a, s: step(a, s["r"]))
-    chained = listed.withColumn("__own", own).withColumn("__len", F.size("l"))
-    sums = Window.partitionBy(game).orderBy("__c")
-    before = F.collect_list(F.struct("__own", "__len")).over(sums.rowsBetween(Window.unboundedPreceding, -1))
-    chained = chained.withColumn("__in", F.aggregate(before, F.lit(0.0), lambda a, s: s["__own"] + F.pow(F.lit(gamma), s["__len"]) * a))
-    scan = F.aggregate("l", F.struct(F.col("__in").alias("g"), F.array().cast("array<double>").alias("all")), lambda a, s: F.struct(step(a["g"], s["r"]).alias("g"), F.concat(a["all"], F.array(step(a["g"], s["r"]))).alias("all")))
-    gs = chained.withColumn("__g", scan["all"])
-    return gs.select(F.explode(F.arrays_zip("l", "__g")).alias("z")).select("z.l.row.*", F.col("z.__g").alias(out))
-
-
-def returns_by_scan(df: DataFrame, game: str, reward: str, order: str, gamma: float, out: str = "ret") -> DataFrame:
-    """The same by one Arrow group per game: linear in a game's length, for games that
-    fit a task; order ascending is latest first."""
-    schema = f"{df.schema.simpleString()[7:-1].replace(':', ' ')}, {out} double"
-
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        acc, res = 0.0, []
-        for r in g[reward]:
-            acc = r + gamma * acc
-            res.append(acc)
-        return g.assign(**{out: res})
-
-    return df.groupBy(game).applyInPandas(scan, schema)
+def discounted_returns(df: DataFrame, game: str, reward: str, latest_first: list[Column], gamma: float, out: str = "ret", ranges: int | None = None) -> DataFrame:
+    """G_t = R_t + gamma G_{t+1} over each game, latest row first: a parallel scan, so a
+    game of any length is spread over tasks. A null reward counts as 0."""
+    return scan.recurrence(df, game, reward, latest_first, gamma, out, ranges)
 
 
 class ReplayBuffer:

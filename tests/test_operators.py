@@ -172,15 +172,34 @@ def test_returns(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(0, t, 1.0) for t in range(3)] + [(1, t, float(t)) for t in range(11)], "game long, t long, r double")
-    for chunk in (2, 4, 4096):
-        got = {(r["game"], r["t"]): r["ret"] for r in order.discounted_returns(df, "game", "r", [F.desc("t")], 0.5, chunk=chunk).collect()}
+    for ranges in (2, 4, 9):
+        got = {(r["game"], r["t"]): r["ret"] for r in order.discounted_returns(df, "game", "r", [F.desc("t")], 0.5, ranges=ranges).collect()}
         assert [got[0, t] for t in (2, 1, 0)] == [1, 1.5, 1.75]
         acc = 0.0
         for t in range(10, -1, -1):
             acc = t + 0.5 * acc
             assert got[1, t] == pytest.approx(acc)
-    scan = {(r["game"], r["t"]): r["ret"] for r in order.returns_by_scan(df.withColumn("o", -F.col("t")), "game", "r", "o", 0.5).collect()}
-    assert scan == pytest.approx(got)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_returns_of_a_game_with_all_rows(spark, ranges):
+    from pyspark.sql import functions as F
+
+    r = RNG.normal(size=3000)
+    rows = [("one", k, float(v), "x") for k, v in enumerate(r)] + [(None, k, 1.0, "y") for k in range(5)] + [("two", 0, None, "z"), ("two", 1, 2.0, "z")]
+    df = spark.createDataFrame(rows, "game string, t long, r double, g string")
+    out = order.discounted_returns(df, "game", "r", [F.desc("t")], 0.97, ranges=ranges)
+    assert out.columns == ["game", "t", "r", "g", "ret"]
+    got = {(x["game"], x["t"]): x["ret"] for x in out.collect()}
+    acc = 0.0
+    for k in range(2999, -1, -1):
+        acc = r[k] + 0.97 * acc
+        assert got["one", k] == pytest.approx(acc, abs=1e-9)
+    assert got[None, 0] == pytest.approx(sum(0.97**k for k in range(5))) and got["two", 0] == pytest.approx(2.0 * 0.97)
+    assert order.discounted_returns(df.limit(0), "game", "r", [F.desc("t")], 0.97).count() == 0
+    # a range of rows each: no task holds the game
+    used = {x[0] for x in df.repartitionByRange(ranges, "game", F.desc("t")).select(F.spark_partition_id()).collect()}
+    assert len(used) == ranges
 
 
 def test_replay_buffer(spark):
