@@ -58,6 +58,7 @@ def blocks(html: str) -> list[Block]:
     links: list[str] = []
     inline: set[str] = set()
     anchors = 0
+    broke = False
     path: tuple | None = None
 
     def flush() -> None:
@@ -83,6 +84,7 @@ def blocks(html: str) -> list[Block]:
             m = _TAG.match(html, lt) if lt >= 0 else None
         text = html[at:lt] if lt >= 0 else html[at:]
         if text:
+            broke = broke and text.isspace()
             if path is None and not text.isspace():
                 path = tuple(e for e in stack if e.tag not in INLINE)
                 inline = {e.tag for e in stack if e.tag in INLINE}
@@ -111,8 +113,12 @@ def blocks(html: str) -> list[Block]:
                 at = close.end() if close else (end if tag in ("script", "style", "textarea") else at)
             parts.append(" ") if parts else None
             continue
-        if tag == "br":
-            parts.append(" ")
+        if tag == "br":  # a second one right behind ends the block
+            if broke:
+                flush()
+            else:
+                parts.append(" ")
+            broke = True
             continue
         if tag not in INLINE:
             flush()

@@ -16,6 +16,7 @@ repeated results; an empty table an empty result.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -44,8 +45,20 @@ _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "ul", "ol", "table", "p", "h1", "h2", "h3", "li", "div", "blockquote", "pre", "figure", "figcaption", "dl", "address", "button", "fieldset", "dialog", "menu", "details", "td", "body")
 
 
+#: An element with more of a page's text than this is a frame: its class words say nothing
+#: about its blocks, unless they name it the main part.
+FRAME = 0.65
+BOXES = ("div", "section", "td", "article", "main", "aside", "header", "footer", "nav", "ul", "ol", "dl", "form", "table", "li", "body")
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the active features of every block of a page."""
+    chars, linked = Counter(), Counter()
+    for b in page:
+        for e in b.path:
+            chars[id(e)] += len(b.text)
+            linked[id(e)] += b.link_chars
+    whole = sum(len(b.text) for b in page)
     tags_of_page = {e.tag for b in page for e in b.path}
     has = [t for t in ("article", "main") if t in tags_of_page]
     out = []
@@ -68,7 +81,7 @@ def features(page: list[Block]) -> list[list[str]]:
                 if w == "!hidden":
                     f.append("hidden")
                 h = _HINT.get(w)
-                if h:
+                if h and e.tag not in ("html", "body") and (h == "main" or chars[id(e)] <= FRAME * whole):
                     f += [f"{where}:{h}", f"hint:{h}"]
         inside = inner >= 0
         seen_main |= inside
@@ -76,6 +89,11 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append(f"page-has:{t}:{'in' if t in path_tags else 'out'}")
         if has and not inside:
             f.append("after" if seen_main else "before")
+        box = next((e for e in reversed(b.path) if e.tag in BOXES), None)
+        if box is not None:
+            share = linked[id(box)] / chars[id(box)]
+            f.append("box-links:" + ("0" if not share else "low" if share < 0.3 else "mid" if share < 0.7 else "high"))
+            f.append("box-part:" + next((str(k) for k in (5, 15, 40) if 100 * chars[id(box)] < k * whole), "most"))
         n = b.text.count(" ") + 1
         f.append("words:" + ("1" if n == 1 else "2-4" if n < 5 else "5-9" if n < 10 else "10-24" if n < 25 else "25-59" if n < 60 else "60+"))
         share = b.link_chars / len(b.text)
@@ -160,7 +178,7 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 120, l2: float = 1e-3, ra
     lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
     for r in range(1, rounds + 1):
         w, trans, start = theta[: 2 * d].reshape(d, 2), theta[2 * d : 2 * d + 4].reshape(2, 2), theta[-2:]
-        e = (flat @ w).reshape(n, longest, 2)
+        e = (flat @ w.astype(np.float32)).reshape(n, longest, 2)
         a = np.zeros((n, longest, 2))
         a[:, 0] = start + e[:, 0]
         for k in range(1, longest):
@@ -172,7 +190,7 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 120, l2: float = 1e-3, ra
             step = lse(trans + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2)
             b[:, k] = np.where(mask[:, k + 1, None], step, 0.0)
         p = np.exp(a + b - z[:, None, None]) * mask[..., None]
-        g_w = flat.T @ (p - gold).reshape(-1, 2)
+        g_w = flat.T @ (p - gold).reshape(-1, 2).astype(np.float32)
         both = mask[:, 1:, None, None]
         pair = np.exp(a[:, :-1, :, None] + trans + (e + b)[:, 1:, None, :] - z[:, None, None, None]) * both
         gold_pair = gold[:, :-1, :, None] * gold[:, 1:, None, :]
@@ -214,7 +232,7 @@ class _Maker:
         return self.r.choice((f"<header>{inner}</header>", f"<div {self.cls('head')}>{inner}</div>", f"<header {self.cls('head')}>{inner}</header>"))
 
     def foot(self) -> str:
-        inner = self.r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 2)}", f"<p>Copyright {self.words(2, 6)}</p><ul>{self.links(3)}</ul>", f"<p>{self.sentences(1, 3)}</p>", f"{self.sentences(1, 3)}"))
+        inner = self.r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 2)}", f"<p>Copyright {self.words(2, 6)}</p><ul>{self.links(3)}</ul>", f"<p>{self.sentences(1, 3)}</p>", f"{self.sentences(1, 3)}", f"<ul><li>{self.sentences(1, 1)}</li><li>{self.words(2, 6)}</li></ul>", f"<address>{self.words(2, 6)}</address>"))
         return self.r.choice((f"<footer>{inner}</footer>", f"<div {self.cls('foot')}>{inner}</div>", f"<footer {self.cls('foot')}>{inner}</footer>"))
 
     def side(self) -> str:
@@ -245,14 +263,15 @@ class _Maker:
         """Source and lines of an article's own blocks, with foreign parts inside."""
         r, out, lines = self.r, [], []
         title = self.words(2, 10).capitalize() + r.choice((".", "", ""))
-        out.append(r.choice((f"<h1>{title}</h1>", f"<h1 class=title>{title}</h1>", f"<h2>{title}</h2>")))
+        heading = r.choice((f"<h1>{title}</h1>", f"<h1 class=title>{title}</h1>", f"<h2>{title}</h2>"))
+        out.append(f"<header>{heading}<p {self.cls('share')}>{self.words(2, 5)}</p></header>" if r.random() < 0.12 else heading)
         lines.append(title)
         if r.random() < 0.15:
             out.append(self.share())
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice((r.randint(1, 4), r.randint(1, 14)))):
             kind = r.random()
             if kind < 0.7:
-                t = self.sentences(1, 7)
+                t = self.sentences(1, r.choice((1, 4, 7)))
                 link = r.random() < 0.15
                 out.append(f"<p>{t}" + (f' <a href="/a">{self.words(1, 3)}</a> on.' if link else "") + ("</p>" if r.random() < 0.9 else ""))
                 if link:
@@ -274,33 +293,102 @@ class _Maker:
                 ts = [self.words(1, 3) for _ in range(4)]
                 out.append(f"<table><tr><td>{ts[0]}</td><td>{ts[1]}</td></tr><tr><td>{ts[2]}</td><td>{ts[3]}</td></tr></table>")
                 lines += ts
-            elif kind < 0.96:
+            elif kind < 0.95:
                 t = self.sentences(1, 2)
                 out.append(f"<p><b>{t}<br>" if r.random() < 0.7 else f"<pre>{t}</pre>")
                 lines.append(t)
+            elif kind < 0.97:
+                made, more = r.choice((self.terms, self.figure, self.details, self.place, self.broken))()
+                out.append(made)
+                lines += more
             else:
-                out.append(r.choice((self.ad, self.side, self.share, self.form, self.notice))())
+                out.append(r.choice((self.ad, self.side, self.share, self.form, self.notice, self.hidden))())
+        # parts of an article in sections or boxes of their own
+        if r.random() < 0.35 and len(out) > 1:
+            cuts = sorted(r.sample(range(1, len(out)), min(len(out) - 1, r.randint(1, 3))))
+            parts = ["".join(out[a:b]) for a, b in zip([0, *cuts], [*cuts, len(out)])]
+            tag = r.choice(("section", "section", "div"))
+            first = r.randint(0, 1)
+            out = [p if k < first else f"<{tag}{self.plain()}>{p}</{tag}>" for k, p in enumerate(parts)]
+        if r.random() < 0.12:
+            out.append(f"<footer>{r.choice((self.sentences(1, 2), f'<p>{self.words(2, 8)}</p>'))}</footer>")
         return "".join(out), lines
 
+    def plain(self) -> str:
+        """No mark, or one that tells nothing."""
+        return self.r.choice(("", "", f' class="{self.words(1, 1)}"', f' id="{self.words(1, 1)}"', f' class="{self.r.choice(("container", "row", "col-8", "inner", "wrapper", "block", "section"))}"'))
+
+    def terms(self) -> tuple[str, list[str]]:
+        ts = [(self.words(1, 3), self.sentences(1, 2)) for _ in range(self.r.randint(2, 4))]
+        return "<dl>" + "".join(f"<dt>{a}</dt><dd>{b}</dd>" for a, b in ts) + "</dl>", [x for t in ts for x in t]
+
+    def figure(self) -> tuple[str, list[str]]:
+        t = self.words(3, 12).capitalize()
+        return f"<figure><img src=a.png><figcaption>{t}</figcaption></figure>", [t]
+
+    def details(self) -> tuple[str, list[str]]:
+        a, b = self.words(1, 4), self.sentences(1, 3)
+        return f"<details><summary>{a}</summary><p>{b}</p></details>", [a, b]
+
+    def place(self) -> tuple[str, list[str]]:
+        t = self.words(3, 8).capitalize()
+        return f"<address>{t}</address>", [t]
+
+    def broken(self) -> tuple[str, list[str]]:
+        """Paragraphs made by line breaks."""
+        ts = [self.sentences(1, 3) for _ in range(self.r.randint(2, 4))]
+        return "<div>" + "<br><br>".join(ts) + "</div>", ts
+
+    def hidden(self) -> str:
+        t = self.sentences(1, 3)
+        return self.r.choice((f"<div hidden>{t}</div>", f'<p style="display:none">{t}</p>', f'<div aria-hidden="true"><p>{t}</p></div>', f'<div style="display: none"><p>{t}</p></div>', f"<p hidden>{t}</p>"))
+
+    def bar(self) -> str:
+        """Links in a row or column without a list."""
+        at = [f'<a href="/{k}">{self.words(1, 2)}</a>' for k in range(self.r.randint(2, 7))]
+        return self.r.choice((f"<p>{' | '.join(at)}</p>", f"<div>{' '.join(at)}</div>", f"<div>{'<br>'.join(at)}</div>", f"<table><tr><td>{'<br>'.join(at)}</td></tr></table>", "<table><tr>" + "".join(f"<td>{a}</td>" for a in at) + "</tr></table>"))
+
     def page(self) -> tuple[str, str]:
         r = self.r
         body, lines = self.article()
         tail = self.comments() if r.random() < 0.25 else ""
         wrap = r.random()
-        if wrap < 0.45:
+        if wrap < 0.4:
             core = f"<article{' ' + self.cls('main') if r.random() < 0.3 else ''}>{body}{tail if r.random() < 0.3 else '</article>' + tail}"
             core = core if "</article>" in core[-len(tail) - 12 :] else core + "</article>"
-        elif wrap < 0.6:
+        elif wrap < 0.55:
             core = f"<main>{body}{tail}</main>" if r.random() < 0.5 else f"<main><article>{body}</article>{tail}</main>"
+        elif wrap < 0.65:
+            core = f"<section {self.cls('main')}>{body}</section>{tail}"
+        elif wrap < 0.72:
+            core = f"<{r.choice(('div', 'section'))}{self.plain()}>{body}</div>{tail}"
+        elif wrap < 0.79:
+            core = body + tail
         else:
             core = f"<div {self.cls('main')}>{body}</div>{tail}"
-        before = [f() for f in (self.head, self.menu, self.notice, self.ad, self.form, self.side) if r.random() < 0.4]
-        after = [f() for f in (self.side, self.ad, self.comments, self.form, self.notice, self.foot, self.foot) if r.random() < 0.35]
+        if wrap < 0.65 and r.random() < 0.3:  # boxes within the main part
+            opened, closed = core.split(">", 1)[0] + ">", core.split(">", 1)[1]
+            tag = r.choice(("section", "div"))
+            core = f"{opened}<{tag}{self.plain()}>{closed}</{tag}>" if not tail else core
+        before = [f() for f in (self.head, self.menu, self.bar, self.notice, self.ad, self.form, self.side, self.hidden) if r.random() < 0.3]
+        after = [f() for f in (self.side, self.ad, self.comments, self.form, self.notice, self.bar, self.hidden, self.foot, self.foot) if r.random() < 0.3]
         r.shuffle(before)
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title></head><body>{''.join(before)}{core}{''.join(after)}</body></html>", "\n".join(lines)
-
-
-def made_pages(n: int = 300, seed: int = 11) -> list[tuple[str, str]]:
+        if r.random() < 0.12:  # a table as the frame of the page
+            side = r.choice((self.bar(), "<br>".join(f'<a href="/{k}">{self.words(1, 2)}</a>' for k in range(r.randint(2, 6)))))
+            inside = f"{''.join(before)}<table><tr><td>{side}</td><td>{core}</td></tr></table>{''.join(after)}"
+        else:
+            for _ in range(r.choice((0, 0, 1, 2))):  # boxes around the main part alone
+                tag = r.choice(("div", "section", "div"))
+                core = f"<{tag}{self.plain()}>{core}</{tag}>"
+            inside = f"{''.join(before)}{core}{''.join(after)}"
+        for _ in range(r.choice((0, 0, 1, 2))):  # and around everything
+            inside = f"<div{r.choice((self.plain(), ' ' + self.cls(r.choice(('main', 'head', 'side', 'menu')))))}>{inside}</div>"
+        marks = " ".join(r.choice(HINTS[r.choice(list(HINTS))].split()) for _ in range(r.randint(1, 4)))
+        start = r.choice(("<body>", "<body>", f'<body class="{marks}">', f'<body class="has-{marks}">'))
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title></head>{start}{inside}</body></html>", "\n".join(lines)
+
+
+def made_pages(n: int = 1200, seed: int = 11) -> list[tuple[str, str]]:
     """Labelled pages from the patterns; n is the bound of the training sample."""
     maker = _Maker(seed)
     return [maker.page() for _ in range(n)]

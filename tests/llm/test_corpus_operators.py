@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import written_layouts
 import written_pages
 
 from gramlake.llm import chat, dom, extract, graph, jaccard, lm, mixing
@@ -427,6 +428,29 @@ def test_pages_written_by_hand():
     assert right / kept >= 0.9 and right / found >= 0.9
 
 
+def test_written_layouts(spark):
+    """Forty pages in twenty layouts, none empty, each nearly whole and nearly clean."""
+    rows = [(k, "u", html) for k, (html, _) in enumerate(written_layouts.PAGES)]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(rows) >= 40
+    for k, (_, main) in enumerate(written_layouts.PAGES):
+        want, found = Counter(main.replace("|", " ").split()), Counter(got[k].split())
+        both = sum((want & found).values())
+        assert found and both / sum(want.values()) >= 0.95 and both / sum(found.values()) >= 0.95, (k, got[k])
+
+
+def test_frames_and_bodies_give_no_hints():
+    text = "A first sentence that is long enough to be the whole of an article, or most of it."
+    for start in ("<body class='has-sidebar'>", "<body class='home sidebar-right'>", "<body><div class='sidebar-layout'>", "<body id=footer-fixed>"):
+        assert extract.default_field().text(f"<html>{start}<div class=page><article><p>{text}</p><p>{text}</p></article></div></html>") == f"{text}\n{text}"
+
+
+def test_double_breaks_end_a_block():
+    text = lambda h: [b.text for b in dom.blocks(h)]
+    assert text("<div>a<br><br>b<br/>\n <br/>c<br>d</div>") == ["a", "b", "c d"]
+    assert text("<p>a<br></p><p><br>b<br><br><br></p>c") == ["a", "b", "c"]
+
+
 def test_labels_skip_lines_that_no_block_has():
     page = dom.blocks("<p>a</p><p>b</p><p>c</p><p>a</p>")
     assert extract.labels_of(page, "a\nmissing\nc") == [1, 0, 1, 0]
