@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 import written_layouts
 import written_pages
+from pyspark.sql import functions as F
 
 from gramlake.llm import chat, dom, extract, graph, jaccard, lm, mixing
 from gramlake.llm.eliasfano import CODES, STEP, EliasFano, NgramTrie, dequantised, quantised
@@ -477,7 +478,7 @@ def test_extraction_query(spark):
 # mixing
 
 
-@pytest.mark.parametrize("seed, buckets", [(1, 4096), (2, 4096), (3, 2), (4, 1), (5, 8)])
+@pytest.mark.parametrize("seed, buckets", [(1, 1 << 16), (2, 4096), (3, 2), (4, 1), (5, 8)])
 def test_mix_against_sql(make_docs, monkeypatch, seed, buckets):
     monkeypatch.setattr(mixing, "BUCKETS", buckets)
     r = random.Random(seed)
@@ -503,6 +504,21 @@ def test_mix_against_sql(make_docs, monkeypatch, seed, buckets):
     assert sum(rows[0][2] for rows in by.values()) == pytest.approx(sum(s for rows in by.values() for s, *_ in rows))
 
 
+def test_mix_comes_near_its_targets(spark):
+    """Two per cent at most, where the document at the cut is a sixth of its source."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mixture(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) > 10 and all(abs(r.taken - r.target) <= 0.02 * r.target for r in rows)
+
+
+def test_mix_of_many_sources(make_docs):
+    docs = make_docs(["a b c d"] * 600, None, [f"s{k % 300:03}" for k in range(600)])
+    rows = {x.source: x for x in mixing.mixture(docs).collect()}
+    targets = sorted({round(x.target, 6) for x in rows.values()})
+    assert len(rows) == 300 and targets == [4.0, 8.0, 12.0]
+    assert all(round(x.target) == (4, 8, 12)[int(s[1:]) % 3] for s, x in rows.items())
+
+
 def test_mix_edges(odd_docs, no_docs, make_docs):
     got = mixing.mixture(odd_docs).collect()
     assert len(got) == 8 and all(x.taken <= 3 * x.size for x in got)
