@@ -9,8 +9,11 @@ sequence is rendered.
 A turn acts on the automaton by its role alone, so a stretch of turns is a
 4 x 4 matrix of least costs, and matrices of neighbouring stretches combine.
 Turns are sorted over all tasks and read in order; a conversation is cut into segments
-of SEGMENT turns at most: segments are summarised apart, a conversation's summaries are
-chained to fix the states at their borders, and each segment is then decoded by itself.
+of SEGMENT turns and SEGMENT_CHARS at most: segments are summarised apart and chained from
+the end, which gives the least costs behind each; with these a segment tells where it
+leaves from each state, which chained from the front fixes the state it is entered in;
+then it is decoded by itself. Decoding takes the first best choice turn by turn, so
+neither segments nor partitions can change a result.
 A conversation that holds a third of all rows is spread over its segments, whatever its
 turn numbers, and no group is collected beyond SEGMENT turns.
 
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,8 @@ FINAL = (2, 3)
 KEEP, MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 0, 2, 5, 1, 3
 FAR = 1 << 40
 SEGMENT = 8192
+#: Characters of a segment, but for its last turn.
+SEGMENT_CHARS = 8 << 20
 
 
 def role_of(role: str | None) -> int:
@@ -96,20 +102,20 @@ def summary(roles: list[int]) -> list[int]:
     return [int(x) for x in m.ravel()]
 
 
-def chain(summaries: list[list[int]]) -> tuple[list[tuple[int, int]], int]:
-    """Entry and exit state of each stretch on a least-cost path, and its cost
-    without what is inserted at the end."""
-    cost, back = [0, FAR, FAR, FAR], []
-    for m in summaries:
-        steps = [min((cost[a] + m[4 * a + b], a) for a in range(4)) for b in range(4)]
-        back.append([a for _, a in steps])
-        cost = [min(c, FAR) for c, _ in steps]
-    _, _, state = min((cost[b] + closing(b)[0], len(closing(b)[1]), b) for b in range(4))
-    total, out = cost[state], []
-    for step in reversed(back):
-        out.append((step[state], state))
-        state = step[state]
-    return out[::-1], total
+def behind(summaries: list[list[int]]) -> list[list[int]]:
+    """Least costs from each state behind each stretch to the end, chained from the end."""
+    out = [[closing(b)[0] for b in range(4)]]
+    for m in reversed(summaries[1:]):
+        out.append([min(min(m[4 * a + b] + out[-1][b] for b in range(4)), FAR) for a in range(4)])
+    return out[::-1]
+
+
+def entries(leaves: list[list[int]]) -> list[int]:
+    """The state that each stretch is entered in, from where it leaves for each state."""
+    out = [0]
+    for to in leaves[:-1]:
+        out.append(to[out[-1]])
+    return out
 
 
 def closing(state: int) -> tuple[int, tuple[int, ...]]:
@@ -117,22 +123,35 @@ def closing(state: int) -> tuple[int, tuple[int, ...]]:
     return min((INSERTS[state][f] for f in FINAL), key=lambda x: (x[0], len(x[1])))
 
 
-def decode(roles: list[int], entry: int, leave: int) -> list[tuple[str, int, tuple[int, ...]]]:
-    """Action, repaired role and insertions before, for each turn of a stretch."""
-    cost, back = [FAR] * 4, []
-    cost[entry] = 0
-    for r in roles:
-        steps = [min((cost[a] + MOVES[r][a][b][0], len(MOVES[r][a][b][2]), a) for a in range(4)) for b in range(4)]
-        back.append([a for _, _, a in steps])
-        cost = [min(c, FAR) for c, _, _ in steps]
-    out, state = [], leave
-    for r, step in zip(reversed(roles), reversed(back)):
-        _, action, inserted = MOVES[r][step[state]][state]
-        out.append((action, state, inserted))
-        state = step[state]
+_ORDER = {"keep": 0, "merge": 1, "relabel": 2, "relabel+merge": 3, "": 4}
+#: Ways from each state with a turn of each role, by preference among equal costs.
+WAYS = [[sorted(((*MOVES[r][a][b], b) for b in range(4)), key=lambda w: (_ORDER[w[1]], len(w[2]), w[3])) for a in range(4)] for r in range(4)]
+
+
+def ahead(roles: list[int], behind: list[int]) -> list[list[int]]:
+    """Least costs to the end from each state, before each turn and behind the last."""
+    out = [behind]
+    for r in reversed(roles):
+        after = out[-1]
+        out.append([min(min(w[0] + after[w[3]] for w in WAYS[r][a]), FAR) for a in range(4)])
     return out[::-1]
 
 
+def decode(roles: list[int], entry: int, behind: list[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+    """Action, repaired role and insertions before, for each turn of a stretch: turn by turn
+    the first way that keeps the least cost."""
+    costs, out, state = ahead(roles, behind), [], entry
+    for k, r in enumerate(roles):
+        _, action, inserted, state = next(w for w in WAYS[r][state] if w[0] + costs[k + 1][w[3]] == costs[k][state])
+        out.append((action, state, inserted))
+    return out
+
+
+def leaves(roles: list[int], behind: list[int]) -> list[int]:
+    """For each state that a stretch may be entered in, the state it leaves in."""
+    return [(decode(roles, a, behind) or [("", a, ())])[-1][1] if ahead(roles, behind)[0][a] < FAR else a for a in range(4)]
+
+
 def escaped(text: str) -> str:
     return re.sub(r"<(\\*)\|", r"<\1\\|", text)
 
@@ -171,15 +190,16 @@ _TURN = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.stri
 
 
 def segments(turns: DataFrame, conv: str, turn: str, role: str, text: str, segment: int) -> DataFrame:
-    """(c, seg, ts): turns of a conversation in order, segment of them a row at most; seg
-    is the place of its first turn, and places grow with the order."""
+    """(c, seg, ts): turns of a conversation in order, segment of them and SEGMENT_CHARS a
+    row at most; seg grows with the order."""
     rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     order = ("c", "turn", "role", "text")  # nulls first
-    ordered = rows.repartitionByRange(total_parallelism(turns.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = rows.repartitionByRange(total_parallelism(turns.sparkSession), "c", "turn", "role", F.substring("text", 1, 200))  # no whole texts in the borders
+    ordered = ranges.sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
-        kind, home, held = None, None, []
+        kind, home, held, chars = None, None, [], 0
 
         def row():
             return pa.RecordBatch.from_arrays([pa.array([home], kind), pa.array([place], pa.int64()), pa.array([held], pa.list_(_TURN))], names=["c", "seg", "ts"])
@@ -187,12 +207,13 @@ def segments(turns: DataFrame, conv: str, turn: str, role: str, text: str, segme
         for batch in batches:
             kind = batch.schema.field(0).type
             for c, *t in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and (c != home or len(held) == segment):
+                if held and (c != home or len(held) == segment or chars >= SEGMENT_CHARS):
                     yield row()
                     place += len(held)
-                    held = []
+                    held, chars = [], 0
                 home = c
                 held.append(dict(zip(("turn", "role", "text"), t)))
+                chars += len(t[2] or "")
         if held:
             yield row()
 
@@ -201,7 +222,7 @@ def segments(turns: DataFrame, conv: str, turn: str, role: str, text: str, segme
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """One row a turn: its place in the order, what is done with it, the empty messages
+    """One row a turn: its place in the conversation, from 0, what is done with it, the empty messages
     inserted before it (at the end: after it), and its piece of the rendering; pieces in
     order of place make the whole (rendering() puts them together)."""
     kind = turns.schema[conv].dataType.simpleString()
@@ -210,40 +231,58 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [summary([role_of(r) for r in rs]) for rs in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["c", "seg", "m"])
+            lengths = pc.list_value_length(batch.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), lengths], names=["c", "seg", "m", "n"])
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for k, segs in enumerate(batch.column(1).to_pylist()):
-                found, _ = chain([s["m"] for s in segs])
-                for j, (s, (a, b)) in enumerate(zip(segs, found)):
+                before = 0
+                for j, (s, costs) in enumerate(zip(segs, behind([s["m"] for s in segs]))):
                     at.append(k)
-                    rows.append((s["seg"], a, b, j == 0, j == len(segs) - 1))
+                    rows.append((s["seg"], costs, before, j == len(segs) - 1, len(segs) == 1))
+                    before += s["n"]
             cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["bc", "bseg", "a", "b", "first", "last"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["bc", "bseg", "behind", "before", "last", "solo"])
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [leaves([role_of(r) for r in rs], costs) for rs, costs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["c", "seg", "to"])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, segs in enumerate(batch.column(1).to_pylist()):
+                found = entries([s["to"] for s in segs])
+                same = batch.column(0).take(pa.array([k] * len(segs), pa.int64()))
+                yield pa.RecordBatch.from_arrays([same, pa.array([s["seg"] for s in segs], pa.int64()), pa.array(found, pa.int64())], names=["ec", "eseg", "entry"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for k, (ts, seg, a, b, first, last) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 7)))):
-                decoded = decode([role_of(t["role"]) for t in ts], a, b)
-                end = closing(b)[1] if last else None
-                pieces = rendered(decoded, [t["text"] or "" for t in ts], not first, end)
+            for k, (ts, before, entry, costs, last) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 6)))):
+                decoded = decode([role_of(t["role"]) for t in ts], entry, costs)
+                end = closing(decoded[-1][1] if decoded else entry)[1] if last else None
+                pieces = rendered(decoded, [t["text"] or "" for t in ts], before > 0, end)
                 for j, (t, (action, state, inserted), piece) in enumerate(zip(ts, decoded, pieces)):
                     at.append(k)
                     more = end or () if j == len(ts) - 1 else ()
-                    rows.append((seg + j, t["turn"], t["role"], action, NAMES[state], [NAMES[r] for r in (*inserted, *more)], piece))
+                    rows.append((before + j, t["turn"], t["role"], action, NAMES[state], [NAMES[r] for r in (*inserted, *more)], piece))
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[conv, *(x.split()[0] for x in _OUT.split(", "))])
 
-    parts = grouped.select("c", "seg", F.col("ts.role").alias("rs")).mapInArrow(sums, f"c {kind}, seg long, m array<long>")
-    chained = parts.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("seg", "m"))).alias("segs"))
-    ends = chained.mapInArrow(borders, f"bc {kind}, bseg long, a int, b int, first boolean, last boolean")
-    both = grouped.join(ends, F.col("c").eqNullSafe(F.col("bc")) & (F.col("seg") == F.col("bseg")))
-    return both.select("c", "ts", "seg", "a", "b", "first", "last").mapInArrow(finish, f"`{conv}` {kind}, {_OUT}")
+    parts = grouped.select("c", "seg", F.col("ts.role").alias("rs")).mapInArrow(sums, f"c {kind}, seg long, m array<long>, n long")
+    chained = parts.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("seg", "m", "n"))).alias("segs"))
+    ends = staged(chained.mapInArrow(borders, f"bc {kind}, bseg long, behind array<long>, before long, last boolean, solo boolean"), "borders", narrow=True)
+    here = lambda c, seg: F.col("c").eqNullSafe(F.col(c)) & (F.col("seg") == F.col(seg))
+    long = grouped.select("c", "seg", F.col("ts.role").alias("rs")).join(ends.where("not solo"), here("bc", "bseg")).select("c", "seg", "rs", "behind")
+    told = long.mapInArrow(exits, f"c {kind}, seg long, to array<long>").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("seg", "to"))).alias("segs"))
+    entry = told.mapInArrow(starts, f"ec {kind}, eseg long, entry long")
+    both = grouped.join(ends, here("bc", "bseg")).join(entry, here("ec", "eseg"), "left")
+    return both.select("c", "ts", "before", F.coalesce("entry", F.lit(0)).alias("entry"), "behind", "last").mapInArrow(finish, f"`{conv}` {kind}, {_OUT}")
 
 
 def rendering(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:

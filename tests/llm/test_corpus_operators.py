@@ -347,10 +347,13 @@ def test_repair_is_cheapest():
         roles = [r.randint(0, 3) for _ in range(r.randint(1, 6))]
         cut = r.randint(0, len(roles))
         parts = [p for p in (roles[:cut], roles[cut:]) if p]
-        path, total = chat.chain([chat.summary(p) for p in parts])
-        end = chat.closing(path[-1][1])[0]
-        decoded = [x for p, (a, b) in zip(parts, path) for x in chat.decode(p, a, b)]
-        assert total + end == least_cost(roles) == cost_of(roles, decoded, end)
+        behind = chat.behind([chat.summary(p) for p in parts])
+        starts = chat.entries([chat.leaves(p, v) for p, v in zip(parts, behind)])
+        decoded = [x for p, a, v in zip(parts, starts, behind) for x in chat.decode(p, a, v)]
+        end = chat.closing(decoded[-1][1])[0]
+        total = chat.ahead(roles, [chat.closing(b)[0] for b in range(4)])[0][0]
+        assert total == least_cost(roles) == cost_of(roles, decoded, end)
+        assert decoded == chat.decode(roles, 0, [chat.closing(b)[0] for b in range(4)])
 
 
 def test_chat_query(spark):
@@ -368,6 +371,33 @@ def test_chat_query(spark):
     assert chat.repair(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chars", [8 << 20, 40])
+def test_places_do_not_depend_on_partitions(spark, monkeypatch, chars):
+    monkeypatch.setattr(chat, "SEGMENT_CHARS", chars)
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 5), rng.choice([None, t // 3]), rng.choice(["user", "assistant", "bot", None]), "word " * rng.randint(0, 9)) for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("2", "8", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(repr, chat.repair(df, segment=20).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    places = {}
+    for r in chat.repair(df).collect():
+        places.setdefault(r.conv_id, []).append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_long_turns_are_cut_into_small_segments(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x" * 200_000) for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut = chat.segments(df, "conv_id", "turn", "role", "text", chat.SEGMENT)
+    assert max(r.n for r in cut.select(F.aggregate("ts", F.lit(0), lambda a, t: a + F.length(t["text"])).alias("n")).collect()) <= chat.SEGMENT_CHARS + 200_000
+    out = chat.repair(df)
+    assert out.count() == 300 and out.agg(F.max("place")).head()[0] == 299
+
+
 def test_turns_without_numbers_are_cut_too(spark):
     """A conversation whose turns have no number, or all the same, fills segments in order."""
     rows = [(7, None if k % 2 else 1, ("user", "assistant")[k % 2], f"t{k:03d} <|user|> <\\|") for k in range(50)]
