@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, features, gram, linalg, log_training, model, optimize, order, points, sampling, transport, udfs
+from ..operators import agents, columns, conditional, differential, features, gram, linalg, log_training, model, optimize, order, points, sampling, tape, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -676,6 +676,34 @@ def differential_operators(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(np.abs(v).sum()), 3)) for k, v in rows.items()], "operator string, size double")
 
 
+# derivatives by the tape
+
+
+_X1, _ALL = "x[1]", "list_sum(x)"
+#: What each operator gives for x1 * sum(x^3) (divergence, Jacobian: of the field x^2 x1), summed over its entries.
+_TAPE_SQL = {
+    "nabla": f"list_sum(list_transform(x, lambda v: v*v*v)) + 3*{_X1}*list_sum(list_transform(x, lambda v: v*v))",
+    "jacobian": f"2*{_X1}*{_ALL} + list_sum(list_transform(x, lambda v: v*v))",
+    "hessian": f"6*list_sum(list_transform(x, lambda v: v*v)) + 6*{_X1}*{_ALL}",
+    "divergence": f"2*{_X1}*{_ALL} + {_X1}*{_X1}",
+    "laplace": f"6*{_X1}*{_X1} + 6*{_X1}*{_ALL}",
+}
+
+
+def _by_tape(operator: str) -> Query:
+    def run(spark, sf_dir):
+        cubes = lambda x: x[:, 0] * (x**3).sum(1)
+        field = lambda x: x**2 * x[:, :1]
+        out = tape.over(cloud(spark, sf_dir), field if operator in ("divergence", "jacobian") else cubes, operator)
+        return out.select("id", r6(arrays.total(F.col("g"))).alias("total"))
+
+    return run
+
+
+for _o, _s in _TAPE_SQL.items():
+    register(f"autodiff_{_o}", _by_tape(_o), f"with pts as (select vec_id as id, embedding::double[] as x from embeddings) select id, {r6s(_s)} as total from pts")
+
+
 # linear algebra
 
 
