@@ -270,52 +270,12 @@ def log_probabilities(df: DataFrame, probs: list[str]) -> DataFrame:
 
 
 def fit_multiscale(df: DataFrame, values: list[str], spec: KernelSpec, centres: Centres, max_centres: int = MAX_CENTRES):
-    """Two scales: a coarse model on the centres, then one model of the residuals per
-    cluster, all clusters in one grouped job. A cluster's model uses at most max_centres
-    of its points as centres. Returns a function z -> (id, f)."""
-    coarse = fit(df, values, spec, centres)
-    routed = _routed(df, values, coarse, centres)
-    p = len(values)
-    schema = "cluster long, ids array<long>, x array<double>, theta array<double>"
-
-    def local(table: pa.Table) -> pa.Table:
-        c = table.column("cluster")[0].as_py()
-        x = np.array(table.column("x").to_pylist(), float)
-        r = np.array(table.column("r").to_pylist(), float)
-        order = np.lexsort(x.T[::-1])
-        take = order[np.linspace(0, len(order) - 1, min(len(order), max_centres)).astype(int)]
-        y = x[take]
-        k = kernels.block(spec, coarse.chain.apply(x), coarse.chain.apply(y))
-        theta = linalg.solve_spd(k, r[take], spec.reg) if len(y) == len(x) and np.array_equal(take, np.arange(len(x))) else linalg.lstsq(k, r, spec.reg)
-        return pa.table({"cluster": [c], "ids": pa.array([list(range(len(y)))], pa.list_(pa.int64())), "x": [y.ravel().tolist()], "theta": [theta.ravel().tolist()]})
-
-    models = routed.groupBy("cluster").applyInArrow(local, schema).collect()
-    fine = {m["cluster"]: (np.array(m["x"]).reshape(-1, coarse.dim), np.array(m["theta"]).reshape(-1, p)) for m in models}
-
-    def predict(z: DataFrame) -> DataFrame:
-        kind = z.schema["id"].dataType.simpleString()
-
-        def block(ids, m):
-            f = coarse.values(m)
-            at = kernels.sq_dist(m, centres.x).argmin(1)
-            for c in np.unique(at):
-                if c in fine:
-                    y, theta = fine[c]
-                    sel = at == c
-                    f[sel] += kernels.block(spec, coarse.chain.apply(m[sel]), coarse.chain.apply(y)) @ theta
-            return {"id": ids[0], "f": gram._lists(f)}
-
-        return gram.by_block(z, block, f"id {kind}, f array<double>", max(len(centres), max_centres))
-
-    return predict
-
-
-def _routed(df: DataFrame, values: list[str], coarse: KernelModel, centres: Centres) -> DataFrame:
-    def block(ids, m):
-        f = np.stack([c.to_numpy(zero_copy_only=False) for c in ids[1:]], 1).astype(float)
-        return {"cluster": pa.array(kernels.sq_dist(m, centres.x).argmin(1), pa.int64()), "x": gram._lists(m), "r": gram._lists(f - coarse.values(m))}
+    """Two scales: a coarse model on the centres, then one of the residuals of each cluster
+    on at most max_centres of its points, from sums over all its rows (two_scale.py).
+    Returns a function z -> (id, f)."""
+    from . import two_scale
 
-    return gram.by_block(df, block, "cluster long, x array<double>, r array<double>", len(centres), more=tuple(values))
+    return two_scale.fit(df, values, spec, centres, max_centres)
 
 
 @dataclass(frozen=True)
