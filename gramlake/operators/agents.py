@@ -196,11 +196,48 @@ class Agent:
         p = np.maximum(model.softmax(np.log(np.maximum(self.policy(g.state), 1e-9)) + a), 1e-9)
         return replace(self, states=g.state, log_policy=model.knm_inv(g.state, g.state, self.spec, np.log(p)))
 
-    def q_policy_gradient(self, g: Games) -> np.ndarray:
-        """N x A: derivative of the mean Q at the batch's states in the policy's logits,
-        through the softmax Jacobian."""
-        q, p = self.q_values(g.state), self.policy(g.state)
-        return p * (q - (p * q).sum(1, keepdims=True))
+    # derivative of the policy's value in the policy, which enters directly and through Q
+
+    def with_logits(self, states: np.ndarray) -> "Agent":
+        """The agent with a policy on states: uniform, unless it has one already."""
+        return self if self.log_policy is not None else replace(self, states=states, log_policy=np.zeros((len(states), self.n_actions)))
+
+    def rows(self, g: Games, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows K - gamma sum_a pi K' of Q's least squares, and K' at every next action."""
+        k = kernels.block(self.spec, np.concatenate([g.state, _hot(g.action, self.n_actions)], 1), y)
+        nxt = kernels.block(self.spec, with_actions(g.next_state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
+        return k - self.gamma * np.einsum("na,nam->nm", self.policy(g.next_state), nxt) * ~g.done[:, None], nxt
+
+    def value_rows(self, g: Games, y: np.ndarray) -> np.ndarray:
+        """dV/dtheta at each visited state."""
+        here = kernels.block(self.spec, with_actions(g.state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
+        return np.einsum("na,nam->nm", self.policy(g.state), here)
+
+    def slopes(self, g: Games, y: np.ndarray, theta: np.ndarray, adjoint: np.ndarray, total: int) -> np.ndarray:
+        """Share of these rows in the derivative of the mean of V over total rows, in the
+        logits of the policy. H theta = A'r gives d theta = H^-1 (dA'(r - A theta) - A'dA theta);
+        adjoint is H^-1 of the mean of dV/dtheta, so no derivative of theta is formed."""
+        through_softmax = lambda p, q: p * (q - (p * q).sum(1, keepdims=True))
+        rows, nxt = self.rows(g, y)
+        here = kernels.block(self.spec, with_actions(g.state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
+        direct = through_softmax(self.policy(g.state), (here @ theta)[..., 0]) / total
+        by_q = self.gamma * ((nxt @ adjoint)[..., 0] * (rows @ theta - g.reward[:, None]) + (nxt @ theta)[..., 0] * (rows @ adjoint))
+        indirect = through_softmax(self.policy(g.next_state), by_q) * ~g.done[:, None]
+        return kernels.block(self.spec, g.state, self.states).T @ direct + kernels.block(self.spec, g.next_state, self.states).T @ indirect
+
+    def stepped(self, slopes: np.ndarray, dt: float = 1.0) -> "Agent":
+        """The policy's logits moved along the slopes, scaled to dt at most."""
+        size = np.abs(slopes).max()
+        return replace(self, log_policy=self.log_policy + slopes / size * dt) if size > 0 else self
+
+    def policy_derivative(self, g: Games) -> np.ndarray:
+        """The derivative on a bounded batch (log_training has it for a log of any size)."""
+        agent, y = self.with_logits(g.state), np.concatenate([g.state, _hot(g.action, self.n_actions)], 1)
+        a = agent.rows(g, y)[0]
+        h = a.T @ a + self.spec.reg * np.eye(len(y))
+        theta = np.linalg.solve(h, a.T @ g.reward[:, None])
+        adjoint = np.linalg.solve(h, agent.value_rows(g, y).mean(0)[:, None])
+        return agent.slopes(g, y, theta, adjoint, len(g))
 
     def train_actor_critic(self, log: DataFrame) -> "Agent":
         """Evaluate the policy, then improve it at the visited states: the advantage of an
@@ -211,8 +248,7 @@ class Agent:
 
     def train_policy_gradient(self, log: DataFrame) -> "Agent":
         g = Games.collect(log)
-        critic = self.evaluate(g)
-        return critic.improve(g, critic.q_policy_gradient(g))
+        return self.with_logits(g.state).stepped(self.policy_derivative(g))
 
     def train_q(self, log: DataFrame, expected: bool = False) -> "Agent":
         """Optimal Q on the log; expected: next states from the fitted dynamics first."""

@@ -26,7 +26,7 @@ from .agents import Agent, Games, with_actions
 CENTRE_ROWS = 300
 #: Step lengths that one pass tries between two Q functions.
 STEPS = np.linspace(0.0, 1.0, 33)
-HOWS = ("q", "q_expected", "actor_critic", "policy_gradient", "actor_critic_expected")
+HOWS = ("q", "q_expected", "q_hjb", "actor_critic", "policy_gradient", "actor_critic_expected", "actor_critic_hjb")
 
 _COLUMNS = ["state", "action", "next_state", "reward", "done"]
 
@@ -88,6 +88,80 @@ def _same(g: Games) -> Games:
     return g
 
 
+class Transition:
+    """Stochastic law of the next state given (expected next state, action): weights on the
+    centres' next states. Between rows and these states stands the kernel-smoothed joint
+    law of the centres; its columns are scaled to equal sums over the whole log (one
+    aggregation), then each row to one, so that no state attracts all rows."""
+
+    def __init__(self, log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Games]):
+        self.spec, self.n_actions, self.move, self.states = agent.spec, agent.n_actions, move, c.next_state
+        self.x = _pairs(replace(c, state=move(c).next_state), agent.n_actions)
+        self.joint = kernels.block(self.spec, c.next_state, c.next_state)
+        self.columns = np.maximum(_means(log, self._raw, len(c)), 1e-300)
+
+    def _raw(self, g: Games) -> np.ndarray:
+        at = _pairs(replace(g, state=self.move(g).next_state), self.n_actions)
+        return kernels.block(self.spec, at, self.x) @ self.joint
+
+    def __call__(self, g: Games) -> np.ndarray:
+        """len(g) x M weights, each row summing to one."""
+        w = self._raw(g) / self.columns
+        return w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+
+
+def evaluated_hjb(log: DataFrame, c: Games, agent: Agent, law: Transition) -> Agent:
+    """Q of the agent's policy with the future averaged over the law of the next state:
+    (K - gamma P sum_a pi K') theta = r, K' at every action of the law's states."""
+    y = _pairs(c, agent.n_actions)
+    nxt = kernels.block(agent.spec, with_actions(law.states, agent.n_actions), y).reshape(len(law.states), agent.n_actions, -1)
+    future = np.einsum("na,nam->nm", agent.policy(law.states), nxt)
+
+    def system(g):
+        return kernels.block(agent.spec, _pairs(g, agent.n_actions), y) - agent.gamma * (law(g) @ future) * ~g.done[:, None], g.reward[:, None]
+
+    return replace(agent, y=y, theta=_solved(log, system, len(y), 1, agent.spec.reg))
+
+
+def optimal_hjb(log: DataFrame, c: Games, agent: Agent, law: Transition, rounds: int = 5, tol: float = 1e-6) -> Agent:
+    """Optimal Q of Q(s, a) = r + gamma E max_b Q(s', b), s' by the law: policy iteration as
+    in optimal(), the best action taken at each of the law's states."""
+    y = _pairs(c, agent.n_actions)
+    at = lambda g: kernels.block(agent.spec, _pairs(g, agent.n_actions), y)
+    nxt = kernels.block(agent.spec, with_actions(law.states, agent.n_actions), y).reshape(len(law.states), agent.n_actions, -1)
+    theta = _solved(log, lambda g: (at(g), g.reward[:, None]), len(y), 1, agent.spec.reg)
+    for _ in range(rounds):
+        best = nxt[np.arange(len(nxt)), (nxt @ theta)[..., 0].argmax(1)]
+        step = _solved(log, lambda g, best=best: (at(g) - agent.gamma * (law(g) @ best) * ~g.done[:, None], g.reward[:, None]), len(y), 1, agent.spec.reg) - theta
+        tops = ((nxt @ theta) + (nxt @ step) * STEPS).max(1)  # best value of each state at each step length
+
+        def errors(g, theta=theta, step=step, tops=tops):
+            k = at(g)
+            return (k @ theta + (k @ step) * STEPS - g.reward[:, None] - agent.gamma * (law(g) @ tops) * ~g.done[:, None]) ** 2
+
+        found = _means(log, errors, len(STEPS))
+        best_step = int(found.argmin())
+        if found[best_step] > found[0] - tol:
+            break
+        theta = theta + STEPS[best_step] * step
+    return replace(agent, y=y, theta=theta)
+
+
+def policy_derivative(log: DataFrame, c: Games, agent: Agent) -> np.ndarray:
+    """M x A: derivative of the mean over the log of V(s) = sum_a pi(a|s) Q(s, a), Q the
+    value of the policy, in the logits of the policy at its states (the centres', if it has
+    none yet). Three aggregations: Q's least squares, the mean of dV/dtheta, and, with the
+    adjoint of the solve, the slopes (Agent.slopes)."""
+    y, agent = _pairs(c, agent.n_actions), agent.with_logits(c.state)
+    a, b, n = linalg.normal_equations(log, lambda t: (lambda g: (agent.rows(g, y)[0], g.reward[:, None], None))(games_of(t)), _COLUMNS, len(y), 1)
+    h = a + agent.spec.reg * max(1.0, n / len(y)) * np.eye(len(y))
+    mean = _means(log, lambda g: agent.value_rows(g, y), len(y))
+    theta, adjoint = np.linalg.solve(h, b), np.linalg.solve(h, mean[:, None])
+    size = len(agent.states) * agent.n_actions
+    _, out, _ = linalg.normal_equations(log, lambda t: (np.ones((1, 1)), agent.slopes(games_of(t), y, theta, adjoint, n).reshape(1, -1), None), _COLUMNS, 1, size)
+    return out.reshape(len(agent.states), agent.n_actions)
+
+
 def _blocks(agent: Agent, g: Games, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """K at the visited pairs, and at every action of the next states (N x A x M)."""
     nxt = kernels.block(agent.spec, with_actions(g.next_state, agent.n_actions), y)
@@ -161,12 +235,14 @@ def fit_all(agent: Agent, log: DataFrame, how: str = "q", n: int = CENTRE_ROWS)
         c = centre_rows(log, n)
         if not len(c):
             return agent
-        move = dynamics(log, c, agent) if how.endswith("expected") else _same
+        if how == "policy_gradient":
+            return agent.with_logits(c.state).stepped(policy_derivative(log, c, agent))
+        move = _same if how in ("q", "actor_critic") else dynamics(log, c, agent)
+        law = Transition(log, c, agent, move) if how.endswith("hjb") else None
         if how.startswith("q"):
-            return optimal(log, c, agent, move)
-        critic = evaluated(log, c, agent, move)
-        gain = critic.q_policy_gradient if how == "policy_gradient" else lambda g: critic.q_values(g.state)
-        return improved(log, c, critic, gain)
+            return optimal_hjb(log, c, agent, law) if law else optimal(log, c, agent, move)
+        critic = evaluated_hjb(log, c, agent, law) if law else evaluated(log, c, agent, move)
+        return improved(log, c, critic, lambda g: critic.q_values(g.state))
     finally:
         log.unpersist()
 

@@ -399,6 +399,64 @@ def test_agents_sum_over_the_whole_log(spark):
     assert np.allclose([v[i] for i in range(90)], ks @ at, atol=1e-5)
 
 
+def test_policy_derivative_equals_differences(spark):
+    """The adjoint against finite differences of the whole computation: solve for Q, then average V."""
+    from dataclasses import replace
+
+    g, log = _random_log(spark)
+    agent = agents.Agent(2, gamma=0.6, spec=KernelSpec("gaussian", reg=1e-2))
+    c = log_training.centre_rows(log, 12)
+    y = np.concatenate([c.state, np.eye(2)[c.action]], 1)
+    agent = replace(agent, states=c.state, log_policy=np.random.default_rng(1).normal(size=(12, 2)) * 0.3)
+    found = log_training.policy_derivative(log, c, agent)
+
+    def mean_value(logits, y=y, scale=90 / 12):
+        moved = replace(agent, log_policy=logits)
+        a = moved.rows(g, y)[0]
+        theta = np.linalg.solve(a.T @ a + 1e-2 * scale * np.eye(len(y)), a.T @ g.reward)
+        return (moved.value_rows(g, y) @ theta).mean()
+
+    want = np.zeros((12, 2))
+    for i, j in itertools.product(range(12), range(2)):
+        e = np.zeros((12, 2))
+        e[i, j] = 1e-5
+        want[i, j] = (mean_value(agent.log_policy + e) - mean_value(agent.log_policy - e)) / 2e-5
+    assert np.abs(want).max() > 1e-3 and np.allclose(found, want, atol=1e-6 * np.abs(want).max() + 1e-9)
+    # a short step along it raises the value of the policy
+    assert mean_value(agent.stepped(found, 0.05).log_policy) > mean_value(agent.log_policy)
+    dense = agent.policy_derivative(c)
+    assert dense.shape == (12, 2) and np.isfinite(dense).all()
+
+
+def test_hjb_agents_equal_dense_systems(spark):
+    from dataclasses import replace
+
+    g, log = _random_log(spark)
+    agent = agents.Agent(2, gamma=0.5, spec=KernelSpec("gaussian", reg=1e-4))
+    c = log_training.centre_rows(log, 15)
+    move = log_training.dynamics(log, c, agent)
+    law = log_training.Transition(log, c, agent, move)
+    hot = lambda h: np.concatenate([h.state, np.eye(2)[h.action]], 1)
+    # the law: smoothed joint weights, columns to equal sums over the log, rows to one
+    at = lambda h: hot(replace(h, state=move(h).next_state))
+    joint = kernels.block(agent.spec, at(g), at(c)) @ kernels.block(agent.spec, c.next_state, c.next_state)
+    p = joint / joint.mean(0)
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(law(g), p, atol=1e-9) and np.allclose(law(g).sum(1), 1)
+    y, ridge = hot(c), 1e-4 * 90 / 15 * np.eye(15)
+    k = kernels.block(agent.spec, hot(g), y)
+    nxt = kernels.block(agent.spec, agents.with_actions(c.next_state, 2), y).reshape(15, 2, -1)
+    solve = lambda m: np.linalg.solve(m.T @ m + ridge, m.T @ g.reward)
+    live = ~g.done[:, None]
+    critic = log_training.evaluated_hjb(log, c, agent, law)
+    assert np.allclose(critic.theta[:, 0], solve(k - 0.5 * (p @ nxt.mean(1)) * live), atol=1e-6)
+    error = lambda t: np.mean((k @ t - g.reward - 0.5 * (p @ (nxt @ t).max(1)) * ~g.done) ** 2)
+    start, best = solve(k), log_training.optimal_hjb(log, c, agent, law).theta[:, 0]
+    assert error(best) < error(start)
+    steps = [start + s * (solve(k - 0.5 * (p @ nxt[np.arange(15), (nxt @ start).argmax(1)]) * live) - start) for s in log_training.STEPS]
+    assert error(best) <= min(map(error, steps)) + 1e-9
+
+
 def test_agents_on_an_empty_log(spark):
     _, log = _random_log(spark)
     none = log.where("game > 9")
