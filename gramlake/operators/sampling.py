@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maps import erf
@@ -93,6 +94,21 @@ def scattered_sql(i: str, j: str, seed: int) -> str:
     return f"(({v}) + 0.5) / {PRIME}"
 
 
+def scattered_column(i: Column, j: Column, seed: int) -> Column:
+    """scattered() as a column expression, for whole numbers of zero or more."""
+    i, j = i.cast("long") % PRIME, j.cast("long") % PRIME
+    v = (i * 48271 + (seed * 69621 + 12345)) % PRIME
+    steps = (lambda v: v * v + j, lambda v: v * 40692 + i, lambda v: v * v + seed, lambda v: v * 48271 + j, lambda v: v * v + i)
+    once = lambda v, step: F.transform(F.array(v), lambda x: step(x) % PRIME)[0]  # noqa: E731  v is computed once
+    return (reduce(once, steps, v) + 0.5) / PRIME
+
+
+def scattered_normal(i: Column, j: Column, stream: int, seed: int = 42) -> Column:
+    """A standard normal fixed by two whole numbers."""
+    u = lambda k: scattered_column(i, j, 8 * seed + stream + k)
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * np.pi * u(1))
+
+
 def numbers_of(ids) -> np.ndarray:
     """Whole numbers for ids of any type: themselves, or the CRC of their text."""
     a = np.asarray(ids)

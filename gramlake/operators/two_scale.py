@@ -72,14 +72,11 @@ def _parts(big: DataFrame, fine: dict[int, np.ndarray], kernel, outputs: int) ->
     return big.select("cluster", "x", "r").mapInArrow(run, schema).groupBy("cluster", "row").applyInArrow(added, schema)
 
 
-def fit(df: DataFrame, values: list[str], spec: KernelSpec, centres: Centres, most: int) -> Callable[[DataFrame], DataFrame]:
-    """A function z -> (id, f) of the two-scale model of df (id, x, values)."""
-    coarse, p = model.fit(df, values, spec, centres), len(values)
-    chain, reg = coarse.chain, spec.reg
-    kernel = lambda a, b: kernels.block(spec, chain.apply(a), chain.apply(b))
-    routed = Stage(_routed(df, values, coarse, centres), "routed")
+def cluster_models(routed: Stage, kernel, dim: int, outputs: int, reg: float, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centres and coefficients of a regression of r on x for each cluster of a written
+    table (cluster, x, r, h)."""
     sizes = routed.rows.groupBy("cluster").agg(F.count("*").alias("n"))
-    if sum(min(r["n"], most) for r in sizes.collect()) > ALL_CENTRES:  # a row a centre
+    if sum(min(r["n"], most) for r in sizes.collect()) > ALL_CENTRES:  # a row a cluster
         raise ValueError(f"more than {ALL_CENTRES} fine centres: take fewer for each cluster")
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -91,7 +88,7 @@ def fit(df: DataFrame, values: list[str], spec: KernelSpec, centres: Centres, mo
 
     small = routed.rows.join(F.broadcast(sizes.where(F.col("n") <= most).select("cluster")), "cluster")
     for m in small.select("cluster", "x", "r").groupBy("cluster").applyInArrow(whole, "cluster long, x array<double>, theta array<double>").collect():
-        kept[m["cluster"]] = np.array(m["x"]).reshape(-1, coarse.dim), np.array(m["theta"]).reshape(-1, p)
+        kept[m["cluster"]] = np.array(m["x"]).reshape(-1, dim), np.array(m["theta"]).reshape(-1, outputs)
 
     large = sizes.where(F.col("n") > most)
     fine: dict[int, np.ndarray] = {}
@@ -105,8 +102,17 @@ def fit(df: DataFrame, values: list[str], spec: KernelSpec, centres: Centres, mo
             return pa.table({"cluster": table.column("cluster").slice(0, 1), "theta": [linalg.solve_spd(m[:, : len(m)], m[:, len(m) :], reg).ravel().tolist()]})
 
         big = routed.rows.join(F.broadcast(large.select("cluster")), "cluster")
-        for m in _parts(big, fine, kernel, p).groupBy("cluster").applyInArrow(solved, "cluster long, theta array<double>").collect():
-            kept[m["cluster"]] = fine[m["cluster"]], np.array(m["theta"]).reshape(-1, p)
+        for m in _parts(big, fine, kernel, outputs).groupBy("cluster").applyInArrow(solved, "cluster long, theta array<double>").collect():
+            kept[m["cluster"]] = fine[m["cluster"]], np.array(m["theta"]).reshape(-1, outputs)
+    return kept
+
+
+def fit(df: DataFrame, values: list[str], spec: KernelSpec, centres: Centres, most: int) -> Callable[[DataFrame], DataFrame]:
+    """A function z -> (id, f) of the two-scale model of df (id, x, values)."""
+    coarse = model.fit(df, values, spec, centres)
+    kernel = lambda a, b: kernels.block(spec, coarse.chain.apply(a), coarse.chain.apply(b))
+    routed = Stage(_routed(df, values, coarse, centres), "routed")
+    kept = cluster_models(routed, kernel, coarse.dim, len(values), spec.reg, most)
     routed.drop()
 
     def predict(z: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, features, gram, linalg, log_training, model, optimize, order, points, sampling, tape, transport, udfs
+from ..operators import agents, columns, conditional, differential, features, game_models, gram, linalg, log_training, model, optimize, order, points, sampling, sobol, tape, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -849,20 +849,29 @@ def matched_points(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v[0]), 4)) for i, v in enumerate(y)], "i long, x0 double")
 
 
-@query(f"select i as id, {r6s('(i+0.5)/1000')} as u from range(1000) t(i)")
+_RANKED = "r as (select c_custkey, row_number() over (order by c_custkey) - 1 as i from customer)"
+
+
+@query(f"with {_RANKED} select c_custkey, {', '.join(f'{r6s(sobol.coordinate_sql('i', j))} as u{j}' for j in range(3))} from r")
 def qmc_uniforms(spark, sf_dir):
-    return sampling.qmc_frame(spark, 1000).select("id", r6("u").alias("u"))
+    """Scrambled Sobol points in three dimensions, one for each customer."""
+    rows = sobol.attached(tables.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 3)
+    return rows.select("c_custkey", *(r6(F.col("u")[j]).alias(f"u{j}") for j in range(3)))
 
 
-@query()
+@query(f"with {_RANKED}, u as (select c_custkey, {sobol.coordinate_sql('i', 0)} as a, {sobol.coordinate_sql('i', 1)} as b from r) select c_custkey, {r6s('sqrt(-ln(a))*cos(2*pi()*b)')} as half, {r6s('sqrt(-2*ln(a))*cos(2*pi()*b)')} as unit from u")
 def qmc_normals(spark, sf_dir):
-    z, n, u = sampling.qmc_normals(500, 2), sampling.normals(500, 2), sampling.uniforms(500, 2)
-    return spark.createDataFrame([(i, *(round(float(v), 6) for v in (a[0], b[0], c[0]))) for i, (a, b, c) in enumerate(zip(z, n, u))], "i long, half double, unit double, uniform double")
+    """Quasi-random normals of variance 1/2 and 1, one for each customer."""
+    rows = sobol.attached(tables.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 2)
+    a, b = F.col("u")[0], F.col("u")[1]
+    turn = F.cos(2 * np.pi * b)
+    return rows.select("c_custkey", r6(F.sqrt(-F.log(a)) * turn).alias("half"), r6(F.sqrt(-2 * F.log(a)) * turn).alias("unit"))
 
 
-@query()
+@query(f"select c_custkey, {r6s(f'c_acctbal + 100*{_normal_sql('c_custkey', '0', 0)}')} as noisy from customer")
 def random_normals(spark, sf_dir):
-    return sampling.random_normals(spark, 1000, 2).select("id", F.round(F.get("x", F.lit(0)), 6).alias("x0"))
+    """Balances with seeded normal noise of deviation 100, the same on any partitioning."""
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", r6(F.col("c_acctbal") + 100 * sampling.scattered_normal(F.col("c_custkey"), F.lit(0), 0)).alias("noisy"))
 
 
 @query()
@@ -970,6 +979,15 @@ def agent_greedy_actions(spark, sf_dir):
     return log_training.fit_all(agents.Agent(3), log).act(_states(log), greedy=True)
 
 
+@query()
+def game_model_values(spark, sf_dir):
+    """Rewards of events by the models of eight batches of games, each event by the nearest."""
+    log = _log(spark, sf_dir)
+    train = log.select(F.col("state").alias("x"), "reward", F.pmod("game", F.lit(8)).alias("batch"))
+    ring = game_models.GameModels(("reward",), KernelSpec("gaussian", reg=1e-2), most=100).add(train, "batch")
+    return ring.predict(_states(log)).select(F.col("id").alias("event_id"), F.round(F.get("f", F.lit(0)), 2).alias("value"))
+
+
 @query()
 def state_values(spark, sf_dir):
     """V at every event's state, from sums over the whole log."""
