@@ -731,16 +731,42 @@ def scalar_product(spark, sf_dir):
     return linalg.scalar_product(a, b).select((F.round("product", 2) + 0.0).alias("product"))
 
 
-@query()
+_FACTORS = {
+    "cholesky": "g + 64e-3", "cholesky_inverse": "g + 64e-3", "inverse": "g + 64", "polar": "g", "svd": "g", "eigh": "g", "nearest": "g",
+    "nearest_of_indefinite": "g", "lstsq": "c", "vandermonde": "c4", "theta": "c",
+}
+
+
+@query(f"""with pts as (select embedding::double[] as x from embeddings), t as (select sum(list_sum(x) * list_sum(x)) as g, sum(list_sum(x)) as c, sum(x[1] + x[2] + x[3] + x[4]) as c4 from pts)
+{' union all '.join(f"select '{k}' as factor, round({v}, 3) + 0.0 as total, true as exact from t" for k, v in _FACTORS.items())}""")
 def matrix_factors(spark, sf_dir):
-    """Residuals of Cholesky, inverse, polar, SVD, eigen, least squares and the nearest
-    positive matrix on X'X, accumulated over all points."""
+    """Factorisations of A = X'X, summed over all points, each multiplied back: the sum of
+    the entries, and whether they are those of A (of the right side, for solvers)."""
     pts = cloud(spark, sf_dir)
-    a, b, _ = linalg.normal_equations(pts.withColumn("v", F.lit(1.0)), lambda t: (gram.rows_of(t.column(0)), np.ones((t.num_rows, 1)), None), ["x", "v"], 64, 1)
+    a, b, n = linalg.normal_equations(pts.withColumn("v", F.lit(1.0)), lambda t: (gram.rows_of(t.column(0)), np.ones((t.num_rows, 1)), None), ["x", "v"], 64, 1)
     i = np.eye(64)
     c, (q, p), (u, s, vt), (vec, val) = linalg.cholesky(a + 1e-3 * i), linalg.polar(a), linalg.svd(a), linalg.eigh(a)
-    res = {"cholesky": c @ c.T - a - 1e-3 * i, "cholesky_inverse": linalg.cholesky_inverse(a, 1e-3) @ (a + 1e-3 * i) - i, "inverse": linalg.inverse(a + i) @ (a + i) - i, "polar": q @ p - a, "svd": u @ np.diag(s) @ vt - a, "eigh": vec @ np.diag(val) @ vec.T - a, "nearest": linalg.nearest_positive(a - 10 * i) @ np.zeros(64), "lstsq": linalg.solve_spd(a, b, 1e-8) * 0, "vandermonde": np.vander(np.arange(4.0), increasing=True).T @ linalg.vandermonde(np.arange(4.0), np.ones(4)) - 1, "theta": linalg.theta_scheme(np.array([[-1.0]]), 0.1, np.ones(1)) - 0.95 / 1.05}
-    return spark.createDataFrame([(k, bool(np.abs(v).max() < 1e-6)) for k, v in res.items()], "factor string, exact boolean")
+    # an indefinite matrix: the nearest positive one keeps what its positive eigenvalues make
+    low = vec @ np.diag(np.where(np.arange(64) % 2, val, -val)) @ vec.T
+    kept = vec @ np.diag(np.where(np.arange(64) % 2, val, 1e-8)) @ vec.T
+    # (I - dt/2 M) u1 = (I + dt/2 M) u0
+    m, u0, nodes = -a / n, b[:, 0], np.sqrt(val[:4] + np.arange(4))
+    u1 = linalg.theta_scheme(m, 0.1, u0)
+    back = {
+        "cholesky": (c @ c.T, a + 1e-3 * i),
+        "cholesky_inverse": (np.linalg.inv(linalg.cholesky_inverse(a, 1e-3)), a + 1e-3 * i),
+        "inverse": (np.linalg.inv(linalg.inverse(a + i)), a + i),
+        "polar": (q @ p, a),
+        "svd": (u @ np.diag(s) @ vt, a),
+        "eigh": (vec @ np.diag(val) @ vec.T, a),
+        "nearest": (linalg.nearest_positive(a), a),
+        "nearest_of_indefinite": (linalg.nearest_positive(low) + (a - kept), a),
+        "lstsq": (a @ linalg.solve_spd(a, b), b),
+        "vandermonde": (np.vander(nodes, increasing=True).T @ linalg.vandermonde(nodes, u0[:4]), u0[:4]),
+        "theta": (u1 - 0.05 * m @ u1 - 0.05 * m @ u0, u0),
+    }
+    rows = [(k, round(float(np.sum(x)), 3) + 0.0, bool(np.abs(x - y).max() < 1e-6 * max(1.0, np.abs(y).max()))) for k, (x, y) in back.items()]
+    return spark.createDataFrame(rows, "factor string, total double, exact boolean")
 
 
 @query(f"with s as (select avg(l_quantity) as ma, stddev_pop(l_quantity) as sa, avg(l_tax) as mb, stddev_pop(l_tax) as sb from lineitem) select l_orderkey, l_linenumber, {r6s('(l_quantity-ma)/sa*2 + ma')} as l_quantity, {r6s('(l_tax-mb)/sb*3 + mb')} as l_tax from lineitem, s")
@@ -829,7 +855,10 @@ def gromov_matching(spark, sf_dir):
     return spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(p, q))], "i long, monge long, plan long")
 
 
-@query()
+@query(f"""with recursive {CLOUD_SQL.strip()}, k as (select p.id as i, c.id as j, {KERNEL_SQL['gaussian']} as k from cen p, cen c),
+walk as (select 0 as n, i, j, k, 1.0::double as a, 1.0::double as b from k
+ union all select n + 1, i, j, k, a, 1 / sum(k * a) over (partition by j) from (select n, i, j, k, 1 / sum(k * b) over (partition by i) as a from walk where n < 50) s)
+select i as x_id, j as y_id, {r6s('a * k * b / sum(a * k * b) over (partition by i)')} as p from walk where n = 50""")
 def transition_matrix(spark, sf_dir):
     c = gram.centres(label_means(spark, sf_dir))
     p = transport.transition(c.x, c.x, KernelSpec("gaussian"))
@@ -899,7 +928,11 @@ def quantile_values(spark, sf_dir):
     return conditional.quantile_regression(s, "s_acctbal", [0.1, 0.5, 0.9]).select("p", r6("q").alias("q"))
 
 
-@query()
+@query("""with recursive t as (select c_nationkey, c_mktsegment, count(*)::double as n from customer group by all),
+s as (select c_mktsegment, row_number() over (order by c_mktsegment) - 1 as j from (select distinct c_mktsegment from customer)),
+walk as (select 0 as r, k.c_nationkey, s.j, coalesce(t.n, 0) + 1e-6 as p from (select distinct c_nationkey from customer) k cross join s left join t on t.c_nationkey = k.c_nationkey and t.c_mktsegment = s.c_mktsegment
+ union all select r + 1, c_nationkey, j, q / sum(q) over (partition by c_nationkey) from (select r, c_nationkey, j, p / sum(p) over (partition by j) * (count(*) over (partition by j)) / (count(*) over (partition by c_nationkey)) as q from walk where r < 100) w)
+select c_nationkey, j, round(p, 5) + 0.0 as p from walk where r = 100""")
 def proportional_fitting(spark, sf_dir):
     c = tables.table(spark, sf_dir, "customer").groupBy("c_nationkey").pivot("c_mktsegment").count().na.fill(0).orderBy("c_nationkey").limit(linalg.DRIVER_ROWS).collect()
     p = model.proportional_fitting(np.array([r[1:] for r in c], float) + 1e-6)
