@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, casts, kernels, maps
-from ..operators import agents, columns, conditional, differential, features, game_models, gram, linalg, log_training, model, optimize, order, points, sampling, sobol, tape, transport, udfs
+from ..operators import agents, auction, columns, conditional, differential, features, game_models, gram, linalg, log_training, model, optimize, order, points, sampling, sobol, tape, transport, udfs
 from ..operators.gram import Centres
 from ..sources import tables
 from .spec import KernelSpec
@@ -846,6 +846,18 @@ def assignment(spark, sf_dir):
     return spark.createDataFrame([(j, keys[r]) for j, r in enumerate(rows)], "job long, n_nationkey int")
 
 
+def _mirror_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances in whole thousandths."""
+    return np.rint(1000 * kernels.sq_dist(a, b))
+
+
+@query()
+def mirror_matching(spark, sf_dir):
+    """Every point matched to a point read backwards, at least total cost."""
+    pts = cloud(spark, sf_dir)
+    return auction.match(pts, pts.select("id", F.reverse("x").alias("x")), _mirror_cost, whole=True)
+
+
 @query()
 def gromov_matching(spark, sf_dir):
     c = gram.centres(label_means(spark, sf_dir))
