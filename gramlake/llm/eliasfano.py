@@ -158,9 +158,10 @@ STEP = LOWEST / (CODES - 1)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """Codes of probabilities; those under 10 ** -LOWEST, 0 among them, get the last code."""
+    """Codes of probabilities, rounded down, so that parts of a whole stay within it; those
+    under 10 ** -LOWEST, 0 among them, get the last code."""
     log10p = np.log10(np.maximum(p, 10.0**-LOWEST))
-    return (1 + np.clip(np.rint(-log10p / STEP), 0, CODES - 1)).astype(np.uint8)
+    return (1 + np.clip(np.ceil(-log10p / STEP - 1e-9), 0, CODES - 1)).astype(np.uint8)
 
 
 def dequantised(codes: np.ndarray) -> np.ndarray:

@@ -1,12 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie of order 3, learned from the corpus.
 
-Model, every level summing to one:
+Model, every level summing to one (after quantising: to one at most, see below):
     P1(w)       = (c(w) + 1) / (N + V + 1)
     P2(w | v)   = (c(v w) + MU P1(w)) / (c(v) + MU)                        Dirichlet prior
     P3(w | u v) = max(c(u v w) - DISCOUNT, 0) / c(u v) + left(u v) P2(w | v)
     left(u v)   = DISCOUNT * (distinct words after u v) / c(u v), 1 if c(u v) = 0
 The tries hold the parts that n-grams bring, smoothed and quantised: c(v w) / (c(v) + MU),
-the discounted share of a triple, and left. A text's score is the sum of log10 P over
+the discounted share of a triple, and left. Codes round down, and left is what the shares
+as stored leave of one, so the sum over a context never passes one and falls short by no
+more than a step of the codes (8.7 %) of what is left and of P2. A text's score is the sum of log10 P over
 its words and one end; the first word has the begin mark as its only context.
 
 No row stands for a token and nothing is broadcast. Texts are encoded once into
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, crc_fold, dropped, mix64, read_file, removed, shared_dir, staged, total_parallelism, write_file
-from .eliasfano import NgramTrie, dequantised
+from .eliasfano import NgramTrie, dequantised, quantised
 
 #: Tokens of a chunk and of a shard, at least, and entries that a blob keeps as both grow.
 PART_TOKENS, BLOB_ENTRIES = 1_000_000, 512
@@ -340,8 +342,9 @@ class Asked:
         place = np.cumsum(kept) - 1
         of, z = place[self.of[has]], self.z[has]
         c, of_x = c[kept], self.of_x[kept]
-        left = DISCOUNT * np.bincount(of, minlength=len(c)) / c
-        return NgramTrie.build(self.x[kept], self.y[kept], c / (of_x + MU), left, of, z, np.maximum(self.c[has] - DISCOUNT, 0) / c[of])
+        share = np.maximum(self.c[has] - DISCOUNT, 0) / c[of]
+        left = 1 - np.bincount(of, dequantised(quantised(share)), len(c))  # what the shares as stored leave
+        return NgramTrie.build(self.x[kept], self.y[kept], c / (of_x + MU), left, of, z, share)
 
     def answers(self, trie: NgramTrie) -> list[bytes]:
         """The codes of each request's pairs and triples, in its order."""

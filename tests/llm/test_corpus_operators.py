@@ -112,6 +112,27 @@ def test_lm_by_brute_force(make_docs, chunk):
         assert x.base_score == pytest.approx(base, abs=1e-9) and x.score == pytest.approx(score, abs=STEP * n)
 
 
+def test_lm_contexts_sum_to_one_at_most():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.zipf(1.5, (400, 2)).clip(max=40), axis=0)
+    x, y = pairs.T
+    for mean in (1, 3, 50):
+        c = rng.poisson(mean, (len(pairs), 12)) * (rng.random((len(pairs), 12)) < 0.4)
+        c[c.sum(1) == 0, 0] = 1
+        of, z = np.nonzero(c)
+        asked = lm.Asked.__new__(lm.Asked)
+        asked.x, asked.y, asked.of, asked.z, asked.c = x, y, of, z, c[of, z]
+        asked.pairs, totals = np.arange(len(x)), c.sum(1)
+        asked.of_x = np.array([totals[x == v].sum() for v in x])
+        trie = asked.trie()
+        at = trie.pair(x, y)
+        share = np.bincount(of, dequantised(trie.codes_at(2, trie.triple(at[of], z))), len(x))
+        whole = share + dequantised(trie.codes_at(1, at))
+        assert whole.max() <= 1 + 1e-12 and whole.min() >= 1 - 0.09
+        second = np.array([dequantised(trie.codes_at(0, at))[x == v].sum() + lm.MU / (asked.of_x[x == v][0] + lm.MU) for v in np.unique(x)])
+        assert second.max() <= 1 + 1e-12 and second.min() >= 1 - 0.09
+
+
 def test_lm_chunks(make_docs):
     """Small chunks give the same counts as one: the encoder is driven directly."""
     c = lm.Chunk([b"a", b"", b"b"], np.array([0, 2, 1, 0, 1]), np.array([3, 2]), np.array([True, False]), __import__("pyarrow").array([1, 2]))
