@@ -5,9 +5,9 @@ known word scores its log frequency in each language; an unseen word falls back
 to its longest n-grams that are known, shorter ones only if none of a length is.
 A text's language is the one with the highest sum.
 
-The model is fitted on a bounded sample: at most TRAIN_ROWS labelled texts a
-language, chosen by a hash of the id; tables keep the most frequent TOP_WORDS
-words and TOP_GRAMS n-grams a length and language, so its size has a bound.
+The model is fitted on a bounded sample: at most about TRAIN_ROWS labelled texts a
+language, chosen by a hash of the id. Everything these texts hold is kept, so the model is
+bounded by them. A worker process builds its lookup tables once, not once a task.
 
 Defined cases: a text that is null, empty or without letters is `und` with score
 0; with no labelled row to learn from, every text is `und`; ties between
@@ -18,18 +18,18 @@ learned; repeated rows give repeated results; an empty table an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold
 
 TRAIN_ROWS = 2000
-TOP_WORDS, TOP_GRAMS = 40_000, 8_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a worker keeps.
 CACHE = 200_000
@@ -78,39 +78,43 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, str, int]], mass: dict[tuple[str, int], int]):
         self.langs = sorted({r[0] for r in rows}, key=lambda s: s.encode())
         at = {lang: k for k, lang in enumerate(self.langs)}
-        by: dict[int, dict[str, dict[int, int]]] = {n: {} for n in (0, *LENGTHS)}
-        for lang, n, gram, c in rows:
-            by[n].setdefault(gram, {})[at[lang]] = c
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for n, grams in by.items():
+        #: By length (0: words): the grams in order, and a row of scores each.
+        self.grams: dict[int, list[str]] = {}
+        self.matrix: dict[int, np.ndarray] = {}
+        for n in (0, *LENGTHS):
+            own = [r for r in rows if r[1] == n]
+            grams = sorted({r[2] for r in own})
+            place = {g: k for k, g in enumerate(grams)}
             total = np.array([mass.get((lang, n), 0) for lang in self.langs], float)
-            low = np.log10(0.5 / (total + 0.5 * len(grams) + 1))
-            table = {}
-            for g, cs in grams.items():
-                row = low.copy()
-                for k, c in cs.items():
-                    row[k] = np.log10((c + 0.5) / (total[k] + 0.5 * len(grams) + 1))
-                table[g] = row
-            self.tables[n] = table
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.langs)))
+            counts = np.zeros((len(grams), len(self.langs)))
+            for lang, _, g, c in own:
+                counts[place[g], at[lang]] = c
+            self.grams[n], self.matrix[n] = grams, np.log10((counts + 0.5) / (total + 0.5 * len(grams) + 1))
+        self.prepare()
+
+    def prepare(self) -> "Model":
+        """The lookup tables, which do not travel."""
+        self.place = {n: {g: k for k, g in enumerate(grams)} for n, grams in self.grams.items()}
         self._fill()
+        return self
+
+    def __getstate__(self):
+        return {"langs": self.langs, "grams": self.grams, "matrix": self.matrix}
 
     def _fill(self) -> None:
-        words = self.tables[0]
-        self.known = {w: k for k, w in enumerate(words)}
-        self.scores = np.zeros((len(words) + CACHE, len(self.langs)))
-        if words:
-            self.scores[: len(words)] = np.stack(list(words.values()))
-        self.n_scores = len(words)
+        words = len(self.grams[0])
+        self.known = dict(self.place[0])
+        self.scores = np.zeros((words + CACHE, len(self.langs)))
+        self.scores[:words] = self.matrix[0]
+        self.n_scores = words
 
     def backoff(self, word: str) -> np.ndarray:
         """Mean score of the word's longest known n-grams; zeros if it has none."""
         for n in LENGTHS:
-            table = self.tables[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
-            if found:
-                return sum(found) / len(found)
+            get = self.place[n].get
+            at = [k for g in grams_of(word, n) if (k := get(g)) is not None]
+            if at:
+                return self.matrix[n][at].mean(0)
         return np.zeros(len(self.langs))
 
     def _learned(self, word: str) -> int:
@@ -152,24 +156,28 @@ def fit(train: DataFrame, id_column: str = "doc_id", text: str = "text", label:
         share = F.when(F.col(label) == lang, min(1.0, rows / n)).otherwise(share)
     drawn = train.where(F.pmod(F.xxhash64(F.lit(7), id_column), F.lit(1 << 20)) < share * (1 << 20))
     every = counts(drawn, text, label)
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    ranked = every.withColumn("mass", F.sum("count").over(Window.partitionBy("lang", "n"))).withColumn("rank", F.row_number().over(top))
-    found = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).select("lang", "n", "gram", "count", "mass").toArrow()
-    cols = [found.column(k).to_pylist() for k in range(5)]
-    return Model(list(zip(*cols[:4])), {(a, b): m for a, b, m in zip(cols[0], cols[1], cols[4])})
+    mass = every.groupBy("lang", "n").agg(F.sum("count").alias("mass"))
+    found = every.toArrow()
+    cols = [found.column(k).to_pylist() for k in range(4)]
+    return Model(list(zip(*cols)), {(r["lang"], r["n"]): r["mass"] for r in mass.collect()})
+
+
+#: Models that this worker process has prepared, by the name of their broadcast.
+_READY: dict[str, Model] = {}
 
 
 _OUT = "lang_pred string, score double"
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a text; the model's size is bounded by its parameters. One narrow pass."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    """One row a text; the model's size is bounded by its sample. One narrow pass."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.langs, own.tables = sent.value
-        own._fill()
+        if name not in _READY:
+            _READY.clear()
+            _READY[name] = sent.value.prepare()
+        own = _READY[name]
         for batch in batches:
             found = [own.predict(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_column, "lang_pred", "score"])
