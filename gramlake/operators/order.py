@@ -137,12 +137,12 @@ def closest(df: DataFrame, column: str, grid: list[float]) -> DataFrame:
 def asof_closest(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFrame:
     """Nearest right row for each left row on a number, for lists of any length: both
     sides are merged in one order and the neighbours on either side compared; the
-    lower wins ties. Range buckets keep the order out of one task."""
+    lower wins ties. Buckets between quantiles keep the order out of one task, however the
+    values lie."""
     both = left.select("*", F.col(on).cast("double").alias("__q"), F.lit(None).cast("double").alias("__v")).unionByName(right.select(F.col(value).cast("double").alias("__q"), F.col(value).cast("double").alias("__v")).distinct(), allowMissingColumns=True)
-    span = both.agg(F.min("__q").alias("lo"), F.max("__q").alias("hi")).head()
-    n = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    width = ((span["hi"] - span["lo"]) / n or 1.0) if span["lo"] is not None else 1.0
-    b = F.least(F.floor((F.col("__q") - (span["lo"] or 0.0)) / width), F.lit(n - 1))
+    n = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = both.select(F.percentile_approx("__q", [k / n for k in range(1, n)], 1000)).head()[0] or []
+    b = sum(((F.col("__q") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     tagged = both.withColumn("__b", b)
     edges = tagged.groupBy("__b").agg(F.max("__v").alias("__top"), F.min("__v").alias("__bottom"))
     order = Window.orderBy("__b")

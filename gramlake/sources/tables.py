@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import sys
-from collections.abc import Callable
+from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +34,13 @@ def files_indir(spark: SparkSession, folder: str, extension: str = ".png") -> Da
     return reader.option("pathGlobFilter", f"*{extension}").load(folder).select("path", "length")
 
 
-def find(pathname: str, match: Callable[[str], bool] = os.path.isfile) -> str:
-    """First hit of a relative path over sys.path (driver side)."""
-    for d in sys.path:
-        if match(p := os.path.join(d, pathname)):
-            return p
-    raise FileNotFoundError(pathname)
-
-
-def find_file(pathname: str) -> str:
-    return find(pathname)
-
-
-def find_dir(pathname: str) -> str:
-    return find(pathname, os.path.isdir)
+def located(relative: str, kind: str = "file", roots: Iterable[str | Path] | None = None) -> str:
+    """Path of the first of the roots (the interpreter's search path, if none are given)
+    below which a file, or a folder, of this relative name stands. Driver side."""
+    if kind not in ("file", "folder"):
+        raise ValueError(f"{kind!r} is neither file nor folder")
+    for root in map(Path, sys.path if roots is None else roots):
+        entry = root.joinpath(relative)
+        if entry.is_dir() if kind == "folder" else entry.is_file():
+            return str(entry)
+    raise FileNotFoundError(f"no {kind} {relative} below any root")

@@ -315,7 +315,14 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "two")).collect()[0]["v"] == "a"
     assert tables.files_indir(spark, str(tmp_path), ".csv").count() >= 2
     with pytest.raises(FileNotFoundError):
-        tables.find_file("no such file")
+        tables.located("no such file")
+    folder = tmp_path / "below"
+    folder.mkdir()
+    (folder / "here.txt").write_text("x")
+    assert tables.located("below/here.txt", roots=["/nowhere", tmp_path]) == str(folder / "here.txt")
+    assert tables.located("below", "folder", [tmp_path]) == str(folder)
+    with pytest.raises(FileNotFoundError):
+        tables.located("below", "file", [tmp_path])
 
 
 def test_balanced_blocks_are_balanced_together(spark):
