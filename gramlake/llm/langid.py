@@ -156,10 +156,12 @@ def fit(train: DataFrame, id_column: str = "doc_id", text: str = "text", label:
         share = F.when(F.col(label) == lang, min(1.0, rows / n)).otherwise(share)
     drawn = train.where(F.pmod(F.xxhash64(F.lit(7), id_column), F.lit(1 << 20)) < share * (1 << 20))
     every = counts(drawn, text, label)
-    mass = every.groupBy("lang", "n").agg(F.sum("count").alias("mass"))
     found = every.toArrow()
-    cols = [found.column(k).to_pylist() for k in range(4)]
-    return Model(list(zip(*cols)), {(r["lang"], r["n"]): r["mass"] for r in mass.collect()})
+    rows = list(zip(*(found.column(k).to_pylist() for k in range(4))))
+    mass: Counter = Counter()
+    for lang, n, _, c in rows:
+        mass[lang, n] += c
+    return Model(rows, mass)
 
 
 #: Models that this worker process has prepared, by the name of their broadcast.
