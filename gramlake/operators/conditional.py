@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -250,7 +252,36 @@ class TransportConditional:
         return gram.by_block(z, block, f"id {kind}, draw int, y array<double>", len(self.x) * n)
 
 
-def quantile_regression(df: DataFrame, value: str, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
-    """(p, q): values at given probabilities of the empirical law."""
-    qs = F.percentile_approx(F.col(value).cast("double"), probabilities, accuracy)
-    return df.agg(qs.alias("q")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("p"), F.col("q").alias("q"))).alias("z")).select("z.p", "z.q")
+#: Ranges of about equal size in which an exact quantile is looked for.
+QUANTILE_RANGES = 256
+
+
+def quantile_regression(df: DataFrame, value: str, probabilities: list[float], ranges: int = QUANTILE_RANGES) -> DataFrame:
+    """(p, q): values at given probabilities of the empirical law, exact: the least value
+    that ceil(p n) of the n values do not exceed (null, if there is none).
+
+    A sketch only cuts the values into ranges; each is counted, and the distinct values of
+    those ranges that hold a wanted place are counted and ordered, each range by itself.
+    """
+    v = F.col("v")
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    cuts = sorted(set(rows.select(F.percentile_approx(v, [k / ranges for k in range(1, ranges)], 1000)).head()[0] or []))
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    placed = rows.withColumn("b", F.size(F.filter(bounds, lambda c: c < v)))
+    sizes = {r["b"]: r["n"] for r in placed.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    total, wanted = sum(sizes.values()), []
+    for p in probabilities:
+        place, before = max(1, math.ceil(Decimal(str(p)) * total)), 0
+        for b in sorted(sizes):
+            if before + sizes[b] >= place:
+                wanted.append((float(p), b, place - before))
+                break
+            before += sizes[b]
+    if not wanted:
+        return df.sparkSession.createDataFrame([(float(p), None) for p in probabilities], "p double, q double")
+    counted = placed.where(F.col("b").isin([b for _, b, _ in wanted])).groupBy("b", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
+    places = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(b).alias("b"), F.lit(k).alias("place")) for p, b, k in wanted))
+    ranked = counted.withColumn("upto", upto)  # before the places multiply the rows
+    found = ranked.select("b", "v", "upto", F.explode(places).alias("w")).where("w.b = b and upto >= w.place")
+    return found.groupBy("w.p").agg(F.min("v").alias("q"))

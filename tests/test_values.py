@@ -117,3 +117,24 @@ def test_weighted_resample_takes_positive_balances(spark):
     mean = np.mean([weights[r.id] for r in rows])
     w = np.array([v for v in weights.values() if v > 0])
     assert mean == pytest.approx((w * w).sum() / w.sum(), rel=0.1)
+
+
+def test_quantiles_of_many_values_are_exact(spark, tmp_path):
+    import os
+
+    rows = spark.range(60_000, numPartitions=7).selectExpr("id as s_suppkey", "round(pmod(xxhash64(id), 1000000) / 100 - 1000, 2) as s_acctbal")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    files = [f"{tmp_path}/supplier.parquet/{f}" for f in os.listdir(f"{tmp_path}/supplier.parquet") if f.endswith(".parquet")]
+    db = duckdb.connect()
+    db.execute(f"create view supplier as select * from read_parquet({files})")
+    got = {r.p: r.q for r in queries.QUERIES["quantile_values"](spark, str(tmp_path)).collect()}
+    assert got == dict(db.sql(queries.ORACLES["quantile_values"]).fetchall())
+
+
+def test_quantiles_of_ties_nulls_and_nothing(spark):
+    from gramlake.operators import conditional
+
+    of = lambda values, ps: {r.p: r.q for r in conditional.quantile_regression(spark.createDataFrame([(v,) for v in values], "v double"), "v", ps, 4).collect()}
+    assert of([5.0] * 9 + [7.0], [0.0, 0.1, 0.9, 0.91, 1.0]) == {0.0: 5.0, 0.1: 5.0, 0.9: 5.0, 0.91: 7.0, 1.0: 7.0}
+    assert of([None, 2.0, None, 1.0], [0.5, 0.51]) == {0.5: 1.0, 0.51: 2.0}
+    assert of([None], [0.5]) == of([], [0.5]) == {0.5: None}
