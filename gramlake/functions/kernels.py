@@ -81,8 +81,10 @@ def kernel_column(x: Column, y: Column, name: str, order: int = 1) -> Column:
 
 
 def sq_dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-    return np.maximum(d, 0.0)
+    d = (-2 * x) @ y.T
+    d += (x * x).sum(1)[:, None]
+    d += (y * y).sum(1)[None]
+    return np.maximum(d, 0.0, out=d)
 
 
 def _tensor(x: np.ndarray, y: np.ndarray, f, total) -> np.ndarray:
@@ -108,10 +110,11 @@ def block(spec: KernelSpec | str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if name == "linear_regressor":
         dot = x @ y.T
         return sum(dot**k for k in range(max(1, spec.order) + 1))
-    if name == "gaussian":
-        return np.exp(-sq_dist(x, y))
-    if name == "maternnorm":
-        return np.exp(-np.sqrt(sq_dist(x, y)))
+    if name in ("gaussian", "maternnorm"):
+        d = sq_dist(x, y)
+        if name == "maternnorm":
+            np.sqrt(d, out=d)
+        return np.exp(np.negative(d, out=d), out=d)
     if name == "multiquadricnorm":
         return 1 / np.sqrt(1 + sq_dist(x, y))
     if name == "absnorm":

@@ -55,7 +55,7 @@ class NadarayaWatson:
         of their squared length. Two rounds of sums over the training set."""
         r = Stage(self.residuals(size), "residuals").rows
         outer = lambda f: (f * f).sum(1, keepdims=True) if scalar else np.einsum("np,nq->npq", f, f).reshape(len(f), -1)
-        s = gram.sums(z, r, self.spec, [f"r{k}" for k in range(len(self.values))], size=size, of=outer)
+        s = gram.sums(r if z is self.train else z, r, self.spec, [f"r{k}" for k in range(len(self.values))], size=size, of=outer)
         return s.select("id", F.transform("s", lambda v: v / F.col("w")).alias("v"))
 
     def joint_density(self, z: DataFrame, y: np.ndarray, size: int = gram.CENTRES) -> DataFrame:

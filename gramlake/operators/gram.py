@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.maps import MapChain
 from ..plans.spec import KernelSpec
+from ..sources.stage import Stage
 
 #: Centres in one broadcast: at 64 dimensions 8 MB.
 CENTRES = 16_384
 #: Cells of one kernel block.
 CELLS = 4_000_000
+#: Rows and columns of a tile of kernel sums, which stays in a core's cache.
+TILE = 256, 1024
 
 
 @dataclass
@@ -40,24 +43,39 @@ class Centres:
 
 
 def centres(df: DataFrame, values: str | list[str] | None = None, limit: int = CENTRES, id_column: str = "id", x: str = "x") -> Centres:
-    """Collect a point set of checked size; a larger one raises."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{n} centres; at most {limit} are collected: choose representative points first")
+    """Collect a point set of checked size, in order of id; a larger one raises."""
     cols = [values] if isinstance(values, str) else list(values or [])
-    t = df.select(id_column, x, *cols).orderBy(id_column).toArrow()
+    t = df.select(id_column, x, *cols).limit(limit + 1).toArrow()
+    n = t.num_rows
+    if n > limit:
+        raise ValueError(f"{df.count()} centres; at most {limit} are collected: choose representative points first")
+    t = t.sort_by(id_column).combine_chunks()
     f = np.array([np.array(t.column(2 + k).to_pylist(), float) for k in range(len(cols))]).T if cols else None
-    return Centres(np.array(t.column(0).to_pylist()), np.array(t.column(1).to_pylist(), float).reshape(n, -1) if n else np.zeros((0, 0)), f)
+    at = t.column(1).combine_chunks()
+    return Centres(np.array(t.column(0).to_pylist()), rows_of(at) if n else np.zeros((0, 0)), f)
 
 
 def centre_groups(df: DataFrame, values: str | list[str] | None = None, id_column: str = "id", x: str = "x", size: int = CENTRES) -> Iterator[Centres]:
-    """A point set of any size in groups of about size, dealt by hash of the id; empty groups are left out."""
+    """A point set of any size in groups of about size, dealt by hash of the id; empty groups
+    are left out. The groups are written apart once, so that each is read alone."""
     n = df.count()
-    k = -(-n * 5 // (4 * size)) if n > size else 1
+    if n <= size:
+        yield centres(df, values, size * 2, id_column, x)
+        return
+    apart, k = _dealt(df, n, values, id_column, x, size)
     for g in range(k):
-        found = centres(df if k == 1 else df.where(F.pmod(F.xxhash64(id_column), F.lit(k)) == g), values, size * 2, id_column, x)
-        if k == 1 or len(found):
+        found = centres(apart.rows.where(F.col("g") == g), values, size * 2, id_column, x)
+        if len(found):
             yield found
+    apart.drop()
+
+
+def _dealt(df: DataFrame, n: int, values: str | list[str] | None, id_column: str, x: str, size: int) -> tuple[Stage, int]:
+    """(the n points with the number g of their group, in order of g; groups)."""
+    k = -(-n * 5 // (4 * size))
+    cols = [values] if isinstance(values, str) else list(values or [])
+    dealt = df.select(id_column, x, *cols).withColumn("g", F.pmod(F.xxhash64(id_column), F.lit(k)))
+    return Stage(dealt.repartition(k, "g").sortWithinPartitions("g"), "groups"), k
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -94,6 +112,33 @@ def kernel_fun(spec: KernelSpec, chain: MapChain | None = None, distance: str |
     return lambda a, b: kernels.distance_block(f(a), f(b), distance, spec)
 
 
+def tile_sums(fun: Callable[[np.ndarray, np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray, f: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None, back: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Row sums of K(a, b), followed by K(a, b) f, tile by tile; apart: places (of a, of b)
+    whose kernel counts as 0; back: (v, total), K(a, b)' v is added to total."""
+    ones = np.ones((len(b), 1))
+    g = ones if f is None else np.concatenate([ones, f], 1)
+    out, (rows, columns) = np.zeros((len(a), g.shape[1])), TILE
+    for r in range(0, len(a), rows):
+        for c in range(0, len(b), columns):
+            k = fun(a[r : r + rows], b[c : c + columns])
+            if apart is not None:
+                at = (apart[0] >= r) & (apart[0] < r + rows) & (apart[1] >= c) & (apart[1] < c + columns)
+                k[apart[0][at] - r, apart[1][at] - c] = 0.0
+            out[r : r + rows] += k @ g[c : c + columns]
+            if back is not None:
+                back[1][c : c + columns, : back[0].shape[1]] += k.T @ back[0][r : r + rows]
+    return out
+
+
+def same_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of a, of b) of equal ids."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    counts = high - low
+    first = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(a) else np.zeros(0, int)
+    return np.repeat(np.arange(len(a)), counts), order[first + np.arange(counts.sum())]
+
+
 def knm(x: DataFrame, y: Centres, spec: KernelSpec | str, theta: np.ndarray | None = None, chain: MapChain | None = None) -> DataFrame:
     """(id, k array): rows of K(x, y), or of K(x, y) theta, which is never formed apart."""
     spec = KernelSpec(spec) if isinstance(spec, str) else spec
@@ -142,51 +187,82 @@ def sums(x: DataFrame, y: DataFrame, spec: KernelSpec | str, values: list[str] |
 
     Both sides of any size. y in groups of about size centres, one pass over x each, partial
     sums added by id, so that the result has one row an id (ids of x are distinct); if y is
-    the larger side and x fits size, one pass over y with x in every task.
+    the larger side and x fits size, one pass over y with x in every task. Of one frame
+    with itself (x is y) every two groups meet once, as k(x, y) = k(y, x).
     """
     spec = KernelSpec(spec) if isinstance(spec, str) else spec
-    fun = kernel_fun(spec, chain)
+    fun, mapped = kernel_fun(spec), (chain.apply if chain else lambda m: m)
     kind = x.schema["id"].dataType.simpleString()
     target = of or (lambda f: f)
     n = target(np.zeros((1, len(values)))).shape[1] if values else 1
-    if y.count() > size >= x.count():
-        return _summed_by_id(_streamed(x, y, fun, values, leave_one_out, target, n), n)
+    if x is y and (rows := y.count()) > size:
+        return _summed_by_id(_mutual(y, rows, fun, mapped, values, leave_one_out, target, n, size), n)
+    if x is not y and y.count() > size >= x.count():
+        return _summed_by_id(_streamed(x, y, fun, mapped, values, leave_one_out, target, n), n)
     out, parts = None, 0
     for y_part in centre_groups(y, values, size=size):
 
         def block(ids, m, c=y_part, f=None if y_part.f is None else target(y_part.f)):
-            k = fun(m, c.x)
-            if leave_one_out:
-                k[np.array(ids[0].to_pylist())[:, None] == c.ids[None]] = 0.0
-            s = k @ f if f is not None else np.zeros((len(k), 1))
-            return {"id": ids[0], "w": pa.array(k.sum(1)), "s": _lists(s)}
+            apart = same_ids(np.array(ids[0].to_pylist()), c.ids) if leave_one_out else None
+            k = tile_sums(fun, mapped(m), mapped(c.x), f, apart)
+            return {"id": ids[0], "w": pa.array(k[:, 0]), "s": _lists(k[:, 1:] if f is not None else np.zeros((len(k), 1)))}
 
-        part = by_block(x, block, f"id {kind}, w double, s array<double>", len(y_part))
+        part = by_block(x, block, f"id {kind}, w double, s array<double>", 1024)
         out, parts = part if out is None else out.unionByName(part), parts + 1
     return out if parts < 2 else _summed_by_id(out, n)
 
 
+def _mutual(y: DataFrame, rows: int, fun, mapped, values: list[str] | None, leave_one_out: bool, target, n: int, size: int) -> DataFrame:
+    """Partial sums of a frame with itself: a group goes to the rows of its own and of earlier
+    groups, and each task adds to these rows and, from earlier groups, to the group as well."""
+    apart, groups = _dealt(y, rows, values, "id", "x", size)
+    cols, kind, out = values or [], y.schema["id"].dataType.simpleString(), None
+    for g in range(groups):
+        c = centres(apart.rows.where(F.col("g") == g), values, size * 2)
+        if not len(c):
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch], g=g, c=c) -> Iterator[pa.RecordBatch]:
+            at, f = mapped(c.x), None if c.f is None else target(c.f)
+            total = np.zeros((len(c), n + 1))
+
+            def record(ids, sums):
+                return pa.RecordBatch.from_arrays([ids, pa.array(sums[:, 0]), _lists(sums[:, 1:] if values else np.zeros((len(sums), 1)))], names=["id", "w", "s"])
+
+            for batch in batches:
+                own = batch.column(2).to_numpy() == g
+                for part, inside in ((batch.filter(pa.array(own)), True), (batch.filter(pa.array(~own)), False)):
+                    if not part.num_rows:
+                        continue
+                    fr = target(np.stack([part.column(3 + k).to_numpy(zero_copy_only=False) for k in range(len(cols))], 1).astype(float)) if values else None
+                    apart_ = same_ids(np.array(part.column(0).to_pylist()), c.ids) if leave_one_out and inside else None
+                    back = None if inside else (np.ones((part.num_rows, 1)) if fr is None else np.concatenate([np.ones((part.num_rows, 1)), fr], 1), total)
+                    yield record(part.column(0), tile_sums(fun, mapped(rows_of(part.column(1))), at, f, apart_, back))
+            if total.any():
+                yield record(pa.array(c.ids.tolist(), batch.schema.field(0).type), total)
+
+        part = apart.rows.where(F.col("g") <= g).select("id", "x", "g", *cols).mapInArrow(run, f"id {kind}, w double, s array<double>")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _summed_by_id(parts: DataFrame, n: int) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(n))).alias("s"))
 
 
-def _streamed(x: DataFrame, y: DataFrame, fun, values: list[str] | None, leave_one_out: bool, target, n: int) -> DataFrame:
+def _streamed(x: DataFrame, y: DataFrame, fun, mapped, values: list[str] | None, leave_one_out: bool, target, n: int) -> DataFrame:
     """Partial sums of each task of y, a row a point of x."""
     c, kind = centres(x), x.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, s = np.zeros(len(c)), np.zeros((len(c), n))
+        total, at = np.zeros((len(c), n + 1)), mapped(c.x)
         for batch in batches:
             points = rows_of(batch.column(1))
             f = target(np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(values))], 1).astype(float)) if values else None
-            step = max(1, CELLS // max(1, len(c)))
-            for at in range(0, len(points), step):
-                k = fun(c.x, points[at : at + step])
-                if leave_one_out:
-                    k[c.ids[:, None] == np.array(batch.column(0).slice(at, step).to_pylist())[None]] = 0.0
-                w += k.sum(1)
-                if f is not None:
-                    s += k @ f[at : at + step]
+            apart = same_ids(c.ids, np.array(batch.column(0).to_pylist())) if leave_one_out else None
+            found = tile_sums(fun, at, mapped(points), f, apart)
+            total[:, : found.shape[1]] += found
+        w, s = total[:, 0], total[:, 1:]
         yield pa.RecordBatch.from_arrays([pa.array(c.ids.tolist()), pa.array(w), _lists(s)], names=["id", "w", "s"])
 
     return y.select("id", "x", *(values or [])).mapInArrow(run, f"id {kind}, w double, s array<double>")

@@ -52,6 +52,24 @@ def test_sums_by_groups_and_by_stream(spark, points):
     assert np.allclose([r.w for r in same], k.sum(1))
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_sums_of_a_frame_with_itself_make_each_pair_of_groups_once(spark, monkeypatch, apart):
+    x, v = RNG.normal(size=(500, 3)), RNG.random(500)
+    k = kernels.block("gaussian", x, x) - (np.eye(500) if apart else 0)
+    cells, real = spark.sparkContext.accumulator(0), gram.tile_sums
+    monkeypatch.setattr(gram, "tile_sums", lambda fun, a, b, *more: (cells.add(len(a) * len(b)), real(fun, a, b, *more))[1])
+    df = frame(spark, x, v=v).repartition(3)
+    got = gram.sums(df, df, "gaussian", ["v"], leave_one_out=apart, size=100, of=lambda f: np.concatenate([f, f * f], 1)).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(500))
+    assert np.allclose([r.w for r in got], k.sum(1)) and np.allclose([r.s for r in got], np.stack([k @ v, k @ (v * v)], 1))
+    alone = gram.sums(df, df, "gaussian", leave_one_out=apart, size=100).orderBy("id").collect()
+    assert np.allclose([r.w for r in alone], k.sum(1))
+    assert 0 < cells.value < 2 * 0.75 * 500**2
+    var = conditional.NadarayaWatson(df, ("v",))
+    one, many = ([r.v[0] for r in var.var(df, size=s).orderBy("id").collect()] for s in (10**6, 100))
+    assert np.allclose(one, many)
+
+
 @pytest.mark.parametrize("queries", [20, 250])
 def test_conditional_laws_do_not_depend_on_groups(spark, queries):
     x = RNG.normal(size=(230, 2))
