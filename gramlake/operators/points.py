@@ -32,7 +32,7 @@ def first_points(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("id").limit(n)
 
 
-def greedy_select(df: DataFrame, n: int, spec: KernelSpec, block: int = selection.BLOCK) -> DataFrame:
+def greedy_select(df: DataFrame, n: int, spec: KernelSpec, block: int | None = None) -> DataFrame:
     """Rows of a greedy discrepancy selection, with their rank."""
     return df.join(selection.greedy_picks(df, n, spec, block).select("id", "rank"), "id")
 
@@ -68,7 +68,7 @@ def greedy_nystroem(df: DataFrame, values: list[str], n: int, spec: KernelSpec,
     return fitted
 
 
-def match(df: DataFrame, n: int, spec: KernelSpec, rounds: int = 10, block: int = selection.BLOCK) -> np.ndarray:
+def match(df: DataFrame, n: int, spec: KernelSpec, rounds: int = 10, block: int | None = None) -> np.ndarray:
     """n points whose distribution is near the frame's: greedy start, then descent of the
     discrepancy to all rows. All points, if there are no more than n."""
     start, rows = selection.picked(df, n, spec, block), df.count()

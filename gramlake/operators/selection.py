@@ -1,7 +1,10 @@
 """Greedy selection of representative points from a table of any size.
 
-Greedy discrepancy needs the mean kernel of each point to all points, N x N work. It is
-done in levels instead. Points are dealt by id hash into blocks of bounded size; in its
+Greedy discrepancy needs the mean kernel of each point to all points, N x N work. The exact
+choice sums it in bounded groups (gram.sums) and then makes a pass over all rows for each
+pick, of which one candidate a task comes back.
+
+Where a block size is asked for, the work is done in levels instead. Points are dealt by id hash into blocks of bounded size; in its
 own task each block is replaced by KEPT of its points, chosen greedily so that their
 equally weighted mean stands for the block's in the kernel's norm, each carrying an equal
 share of the block's weight. Levels repeat, each an eighth of the one before, until one
@@ -10,7 +13,7 @@ the discrepancies of the blocks (independent of each other, so they partly cance
 choice is then made in the core set. A table that fits one block is its own core set, and
 the choice is the exact greedy one.
 
-Work is N x BLOCK kernel values, no task holds more than two blocks, and nothing but the
+Work is then N x BLOCK kernel values, no task holds more than two blocks, and nothing but the
 picks reaches the driver.
 """
 
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from ..sources.stage import Stage
 from . import gram
 
 BLOCK, KEPT = 2048, 256
+#: Scores that agree to this many digits are ties, of which the least id is taken.
+DIGITS = 12
 #: More picks than this are shared out among the blocks instead of made in one core set.
 CORE_PICKS = 1024
 
@@ -136,14 +142,58 @@ def _in_one_task(core: CoreSet, fun, schema: str) -> DataFrame:
     return core.rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, schema)
 
 
-def greedy_picks(df: DataFrame, n: int, spec: KernelSpec, block: int = BLOCK, kept: int = KEPT) -> DataFrame:
-    """(id, x, rank): n points of df (id, x) chosen greedily, ranks from 0 in order of choice.
+def exact_picks(df: DataFrame, n: int, spec: KernelSpec) -> list[tuple]:
+    """(id, x, rank) of the n points that greedily minimise the discrepancy to all of df
+    (id, x): the mean kernel of each row is summed once, then each pick is a pass over the
+    rows that scores them against the picks so far."""
+    sums = gram.sums(points := df.select("id", "x"), points, spec).select("id", "w")
+    known = Stage(points.join(sums, "id"), "potential")
+    rows, kind = known.rows.count(), df.schema["id"].dataType.simpleString()
+    ids, at, inner, cross, picks = [], np.zeros((0, 0)), 0.0, 0.0, []
+
+    def best(ids, at, inner, cross):
+        m = len(ids) + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left = batch.filter(pc.invert(pc.is_in(batch.column(0), value_set=pa.array(ids, batch.schema.field(0).type))))
+                if not left.num_rows:
+                    continue
+                x, mean = gram.rows_of(left.column(1)), left.column(2).to_numpy() / rows
+                sums = gram.tile_sums(gram.kernel_fun(spec), x, at)[:, 0] if ids else np.zeros(len(x))
+                own = np.array([kernels.block(spec, r[None], r[None])[0, 0] for r in x])
+                score = np.round((inner + 2 * sums + own) / m**2 - 2 * (cross + mean) / m, DIGITS)
+                tied = np.flatnonzero(score == score.min())
+                k = int(tied[pc.sort_indices(left.column(0).take(pa.array(tied)))[0].as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in ([score[k]], [mean[k]], [sums[k]], [own[k]])] + [left.column(0).slice(k, 1), left.column(1).slice(k, 1)], names=["score", "mean", "sums", "own", "id", "x"])
+
+        found = known.rows.select("id", "x", "w").mapInArrow(run, f"score double, mean double, sums double, own double, id {kind}, x array<double>")
+        return found.orderBy("score", "id").limit(1).collect()
+
+    while len(ids) < min(n, rows):
+        if not (top := best(ids, at, inner, cross)):
+            break
+        r = top[0]
+        picks.append((r["id"], r["x"], len(ids)))
+        inner, cross = inner + 2 * r["sums"] + r["own"], cross + r["mean"]
+        ids, at = [*ids, r["id"]], np.array([v for _, v, _ in picks], float)
+    known.drop()
+    return picks
+
+
+def greedy_picks(df: DataFrame, n: int, spec: KernelSpec, block: int | None = None, kept: int = KEPT) -> DataFrame:
+    """(id, x, rank): n points of df (id, x) chosen greedily, ranks from 0 in order of choice;
+    the exact choice, or with a block size that of a core set.
 
     Beyond CORE_PICKS points every block brings its share of n, in its own order of choice;
     ranks then grow but are not dense, and a block with fewer rows than its share brings all.
     """
     kind = df.schema["id"].dataType.simpleString()
     schema = f"id {kind}, x array<double>, rank long"
+    if block is None and n <= CORE_PICKS:
+        if df.count() > BLOCK:
+            return df.sparkSession.createDataFrame(exact_picks(df, n, spec), df.select("id", "x", F.lit(0).cast("long").alias("rank")).schema)
+    block = block or BLOCK
     if n <= CORE_PICKS:
         core = CoreSet(df, spec, *sizes_for(n, block, kept))
 
@@ -215,7 +265,7 @@ def descend(df: DataFrame, rows: int, y: np.ndarray, spec: KernelSpec, rounds: i
     return y
 
 
-def picked(df: DataFrame, n: int, spec: KernelSpec, block: int = BLOCK) -> np.ndarray:
+def picked(df: DataFrame, n: int, spec: KernelSpec, block: int | None = None) -> np.ndarray:
     """The points of greedy_picks in order of choice; n of checked size."""
     if n > gram.CENTRES:
         raise ValueError(f"{n} points; at most {gram.CENTRES} are collected")

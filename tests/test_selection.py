@@ -70,3 +70,15 @@ def test_match_lowers_the_discrepancy_to_all_rows(spark):
     labels = {r.id: r.label for r in points.sharp_clusters(df, 4, SPEC, 2).labels(df).collect()}
     c = points.match(df, 4, SPEC, 2)
     assert [labels[k] for k in range(900)] == kernels.distance_block(x, c, None, SPEC).argmin(1).tolist()
+
+
+def test_tables_beyond_a_block_get_the_exact_choice(spark):
+    x = RNG.normal(size=(selection.BLOCK + 700, 3)) * 0.7
+    x[1500] = x[40]  # equal points: the least id first
+    df = frame(spark, x)
+    want = selection.greedy_discrepancy(x, 9, SPEC)
+    got = points.greedy_select(df, 9, SPEC).orderBy("rank").collect()
+    assert [r.id for r in got] == want.tolist() and [r.rank for r in got] == list(range(9))
+    assert np.array_equal(selection.picked(df, 9, SPEC), x[want])
+    labels = {r.id: r.label for r in points.greedy_clusters(df, 9, SPEC).labels(df).collect()}
+    assert [labels[k] for k in range(len(x))] == kernels.distance_block(x, x[want], None, SPEC).argmin(1).tolist()
