@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -94,13 +95,36 @@ def lstsq(a: np.ndarray, b: np.ndarray | None = None, eps: float = 1e-8) -> np.n
     return solve_spd(a.T @ a, a.T if b is None else a.T @ b, eps)
 
 
-def vandermonde(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights w with sum_j w_j x_j^k = y_k; one system per row of a matrix x."""
+def vandermonde(x: np.ndarray, y: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Weights w with sum_j w_j x_j^k = y_k; one system per row of a matrix x. With exact in
+    rational arithmetic (an array of fractions), for nodes so near each other that weights
+    rounded to doubles no longer meet y."""
     x = np.atleast_2d(np.asarray(x, float))
-    out = np.array([np.linalg.solve(np.vander(r, increasing=True).T, y) for r in x])
+    out = np.array([_rational_weights(r, y) if exact else np.linalg.solve(np.vander(r, increasing=True).T, y) for r in x])
     return out[0] if len(out) == 1 else out
 
 
+def _rational_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The method of Bjorck and Pereyra, over fractions."""
+    x, w, n = fractions(x), fractions(y), len(x)
+    if len(set(x)) < n:
+        raise np.linalg.LinAlgError("equal nodes")
+    for k in range(n - 1):
+        for i in range(n - 1, k, -1):
+            w[i] -= x[k] * w[i - 1]
+    for k in range(n - 2, -1, -1):
+        for i in range(k + 1, n):
+            w[i] /= x[i] - x[i - k - 1]
+        for i in range(k, n - 1):
+            w[i] -= w[i + 1]
+    return w
+
+
+def fractions(x: np.ndarray) -> np.ndarray:
+    """Doubles as the fractions that they are."""
+    return np.array([Fraction(float(v)) for v in x], dtype=object)
+
+
 def theta_scheme(a: np.ndarray, dt: float, u0: np.ndarray, theta: float = 0.5) -> np.ndarray:
     """One step of du/dt = A u: (I - theta dt A) u1 = (I + (1 - theta) dt A) u0."""
     i = np.eye(len(a))

@@ -762,7 +762,7 @@ def matrix_factors(spark, sf_dir):
         "nearest": (linalg.nearest_positive(a), a),
         "nearest_of_indefinite": (linalg.nearest_positive(low) + (a - kept), a),
         "lstsq": (a @ linalg.solve_spd(a, b), b),
-        "vandermonde": (np.vander(nodes, increasing=True).T @ linalg.vandermonde(nodes, u0[:4]), u0[:4]),
+        "vandermonde": ((np.vander(linalg.fractions(nodes), increasing=True).T @ linalg.vandermonde(nodes, u0[:4], exact=True)).astype(float), u0[:4]),
         "theta": (u1 - 0.05 * m @ u1 - 0.05 * m @ u0, u0),
     }
     rows = [(k, round(float(np.sum(x)), 3) + 0.0, bool(np.abs(x - y).max() < 1e-6 * max(1.0, np.abs(y).max()))) for k, (x, y) in back.items()]

@@ -138,3 +138,24 @@ def test_quantiles_of_ties_nulls_and_nothing(spark):
     assert of([5.0] * 9 + [7.0], [0.0, 0.1, 0.9, 0.91, 1.0]) == {0.0: 5.0, 0.1: 5.0, 0.9: 5.0, 0.91: 7.0, 1.0: 7.0}
     assert of([None, 2.0, None, 1.0], [0.5, 0.51]) == {0.5: 1.0, 0.51: 2.0}
     assert of([None], [0.5]) == of([], [0.5]) == {0.5: None}
+
+
+def test_weights_on_near_nodes_meet_their_moments():
+    from gramlake.operators import linalg
+
+    x, y = np.sqrt(np.array([780.1, 783.4, 785.2, 789.9])), np.array([60.5, -12.25, 3.0, 9.5])
+    near = np.vander(x, increasing=True).T @ linalg.vandermonde(x, y)
+    assert np.abs(near - y).max() > 1e-6  # in doubles the moments are missed
+    back = np.vander(linalg.fractions(x), increasing=True).T @ linalg.vandermonde(x, y, exact=True)
+    assert back.astype(float).tolist() == y.tolist()
+    assert np.allclose(linalg.vandermonde([[1, 2, 4], [0, 1, 3]], y[:3], exact=True).astype(float), linalg.vandermonde([[1, 2, 4], [0, 1, 3]], y[:3]))
+    with pytest.raises(np.linalg.LinAlgError):
+        linalg.vandermonde([1, 1], [1, 2], exact=True)
+
+
+def test_factors_of_a_larger_table_are_exact(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(50_000, 64)) / 8
+    spark.createDataFrame([(k, r.tolist(), 0) for k, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.factor: r for r in queries.QUERIES["matrix_factors"](spark, str(tmp_path)).collect()}
+    assert all(r.exact for r in got.values())
+    assert abs(got["vandermonde"].total - x.astype(np.float32).astype(float)[:, :4].sum()) < 1e-3
