@@ -89,6 +89,37 @@ def with_actions(states: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([np.repeat(states, n, 0), np.tile(np.eye(n), (len(states), 1))], 1)
 
 
+#: Rows whose kernels are held at once, so that a block stays near a core's cache.
+PIECE = 1024
+
+
+class Actions:
+    """K((s, a), y) of some states s and every action a. A gaussian is the product of its
+    values on states and on actions, so that one block of states serves all actions."""
+
+    def __init__(self, spec: KernelSpec, states: np.ndarray, y: np.ndarray, n: int):
+        d, self.k, self.n = states.shape[1], None, n
+        if spec.name == "gaussian" and not spec.factors:
+            self.of_states, self.of_actions = kernels.block(spec, states, y[:, :d]), kernels.block(spec, np.eye(n), y[:, d:])
+        else:
+            self.k = kernels.block(spec, with_actions(states, n), y).reshape(len(states), n, -1)
+
+    def values(self, theta: np.ndarray) -> np.ndarray:
+        """States x actions x columns of theta."""
+        if self.k is not None:
+            return self.k @ theta
+        scaled = self.of_actions.T[:, :, None] * theta[:, None]
+        return (self.of_states @ scaled.reshape(len(theta), -1)).reshape(-1, self.n, theta.shape[1])
+
+    def at(self, actions: np.ndarray) -> np.ndarray:
+        """Rows of one action each."""
+        return self.of_states * self.of_actions[actions] if self.k is None else self.k[np.arange(len(self.k)), actions]
+
+    def mean(self, weights: np.ndarray) -> np.ndarray:
+        """Rows weighted over the actions."""
+        return self.of_states * (weights @ self.of_actions) if self.k is None else np.einsum("na,nam->nm", weights, self.k)
+
+
 @dataclass(frozen=True)
 class Agent:
     """Kernel agent: a Q function theta on visited (state, action) pairs, and a policy
@@ -106,7 +137,7 @@ class Agent:
     def q_values(self, states: np.ndarray) -> np.ndarray:
         if self.y is None:
             return np.zeros((len(states), self.n_actions))
-        return (kernels.block(self.spec, with_actions(states, self.n_actions), self.y) @ self.theta).reshape(len(states), -1)
+        return Actions(self.spec, states, self.y, self.n_actions).values(self.theta)[..., 0]
 
     def policy(self, states: np.ndarray) -> np.ndarray:
         if self.log_policy is None:
@@ -126,14 +157,14 @@ class Agent:
             cols = dict(zip(fields, ids[1:]))
             return {**cols, "q": gram._lists(self.q_values(m[:, :d])), "next_q": gram._lists(self.q_values(m[:, d:]))}
 
-        return gram.by_block(rows, block, f"{kind}, q array<double>, next_q array<double>", 1 if self.y is None else len(self.y) * self.n_actions, more=tuple(fields))
+        return gram.by_block(rows, block, f"{kind}, q array<double>, next_q array<double>", gram.CELLS // PIECE, more=tuple(fields))
 
     def act(self, states: DataFrame, seed: int = 42, greedy: bool = False) -> DataFrame:
         """(id, action): argmax of Q, or with chance epsilon a seeded random action."""
         from .sampling import hash_uniform
 
         kind = states.schema["id"].dataType.simpleString()
-        q = gram.by_block(states, lambda ids, m: {"id": ids[0], "q": gram._lists(self.q_values(m))}, f"id {kind}, q array<double>", 1 if self.y is None else len(self.y))
+        q = gram.by_block(states, lambda ids, m: {"id": ids[0], "q": gram._lists(self.q_values(m))}, f"id {kind}, q array<double>", gram.CELLS // PIECE)
         best = arrays.argmax(F.col("q"))
         random = F.floor(hash_uniform(seed, "id") * self.n_actions).cast("int")
         return q.select("id", (best if greedy else F.when(hash_uniform(seed + 1, "id") < self.epsilon, random).otherwise(best)).alias("action"))
@@ -202,16 +233,15 @@ class Agent:
         """The agent with a policy on states: uniform, unless it has one already."""
         return self if self.log_policy is not None else replace(self, states=states, log_policy=np.zeros((len(states), self.n_actions)))
 
-    def rows(self, g: Games, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, g: Games, y: np.ndarray) -> tuple[np.ndarray, Actions]:
         """Rows K - gamma sum_a pi K' of Q's least squares, and K' at every next action."""
         k = kernels.block(self.spec, np.concatenate([g.state, _hot(g.action, self.n_actions)], 1), y)
-        nxt = kernels.block(self.spec, with_actions(g.next_state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
-        return k - self.gamma * np.einsum("na,nam->nm", self.policy(g.next_state), nxt) * ~g.done[:, None], nxt
+        nxt = Actions(self.spec, g.next_state, y, self.n_actions)
+        return k - self.gamma * nxt.mean(self.policy(g.next_state)) * ~g.done[:, None], nxt
 
     def value_rows(self, g: Games, y: np.ndarray) -> np.ndarray:
         """dV/dtheta at each visited state."""
-        here = kernels.block(self.spec, with_actions(g.state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
-        return np.einsum("na,nam->nm", self.policy(g.state), here)
+        return Actions(self.spec, g.state, y, self.n_actions).mean(self.policy(g.state))
 
     def slopes(self, g: Games, y: np.ndarray, theta: np.ndarray, adjoint: np.ndarray, total: int) -> np.ndarray:
         """Share of these rows in the derivative of the mean of V over total rows, in the
@@ -219,9 +249,9 @@ class Agent:
         adjoint is H^-1 of the mean of dV/dtheta, so no derivative of theta is formed."""
         through_softmax = lambda p, q: p * (q - (p * q).sum(1, keepdims=True))
         rows, nxt = self.rows(g, y)
-        here = kernels.block(self.spec, with_actions(g.state, self.n_actions), y).reshape(len(g), self.n_actions, -1)
-        direct = through_softmax(self.policy(g.state), (here @ theta)[..., 0]) / total
-        by_q = self.gamma * ((nxt @ adjoint)[..., 0] * (rows @ theta - g.reward[:, None]) + (nxt @ theta)[..., 0] * (rows @ adjoint))
+        here = Actions(self.spec, g.state, y, self.n_actions)
+        direct = through_softmax(self.policy(g.state), here.values(theta)[..., 0]) / total
+        by_q = self.gamma * (nxt.values(adjoint)[..., 0] * (rows @ theta - g.reward[:, None]) + nxt.values(theta)[..., 0] * (rows @ adjoint))
         indirect = through_softmax(self.policy(g.next_state), by_q) * ~g.done[:, None]
         return kernels.block(self.spec, g.state, self.states).T @ direct + kernels.block(self.spec, g.next_state, self.states).T @ indirect
 

@@ -136,15 +136,15 @@ def sqrt_spd(a: np.ndarray) -> np.ndarray:
     return vectors @ np.diag(np.sqrt(np.maximum(values, 0))) @ vectors.T
 
 
-def normal_equations(df: DataFrame, features, arrays: list[str], width: int, outputs: int, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def normal_equations(df: DataFrame, features, arrays: list[str], width: int, outputs: int, weight: str | None = None, piece: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums of A'A (width x width) and A'b over all rows: a partial sum per partition,
-    then one mergeable sum per cell. features: batch -> (A, b)."""
+    then one mergeable sum per cell. features: batch -> (A, b), of piece rows at most."""
     cells = width * width + width * outputs + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ata, atb, n = np.zeros((width, width)), np.zeros((width, outputs)), 0
         for batch in batches:
-            step = max(1, 2_000_000 // width)
+            step = piece or max(1, 2_000_000 // width)
             for s in range(0, batch.num_rows, step):
                 a, b, w = features(batch.slice(s, step))
                 left = a if w is None else a * w[:, None]

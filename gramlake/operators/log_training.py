@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, kernels
 from . import gram, linalg, model
-from .agents import Agent, Games, with_actions
+from .agents import PIECE, Actions, Agent, Games, with_actions
 
 #: Visited rows that become centres (a documented bound); the sums run over all rows.
 CENTRE_ROWS = 300
@@ -51,14 +51,14 @@ def _pairs(g: Games, n_actions: int) -> np.ndarray:
 def _solved(log: DataFrame, system: Callable[[Games], tuple[np.ndarray, np.ndarray]], width: int, outputs: int, reg: float, inner: np.ndarray | None = None) -> np.ndarray:
     """theta of the least squares of A theta - b over the log, with a ridge that grows with
     the rows, or with a penalty theta' inner theta."""
-    a, b, n = linalg.normal_equations(log, lambda t: (*system(games_of(t)), None), _COLUMNS, width, outputs)
+    a, b, n = linalg.normal_equations(log, lambda t: (*system(games_of(t)), None), _COLUMNS, width, outputs, piece=PIECE)
     scale = max(1.0, n / width)
     return linalg.solve_spd(a + reg * inner, b, 1e-9 * scale) if inner is not None else linalg.solve_spd(a, b, reg * scale)
 
 
 def _means(log: DataFrame, value: Callable[[Games], np.ndarray], outputs: int) -> np.ndarray:
     """Mean over the log of each column of value."""
-    _, total, n = linalg.normal_equations(log, lambda t: (lambda v: (np.ones((len(v), 1)), v, None))(value(games_of(t))), _COLUMNS, 1, outputs)
+    _, total, n = linalg.normal_equations(log, lambda t: (lambda v: (np.ones((len(v), 1)), v, None))(value(games_of(t))), _COLUMNS, 1, outputs, piece=PIECE)
     return total[0] / max(n, 1)
 
 
@@ -67,8 +67,8 @@ def _largest(log: DataFrame, value: Callable[[Games], np.ndarray]) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(value(games_of(batch))).max())])], names=["v"])
+            for s in range(0, batch.num_rows, PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(value(games_of(batch.slice(s, PIECE)))).max())])], names=["v"])
 
     return log.select(*_COLUMNS).mapInArrow(run, "v double").agg(F.max("v")).head()[0] or 0.0
 
@@ -88,26 +88,50 @@ def _same(g: Games) -> Games:
     return g
 
 
+def moved(log: DataFrame, move: Callable[[Games], Games]) -> DataFrame:
+    """The log with the next states of move, so that they are found once and not a pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, PIECE):
+                part = batch.slice(s, PIECE)
+                yield pa.RecordBatch.from_arrays([gram._lists(move(games_of(part)).next_state) if c == "next_state" else part.column(k) for k, c in enumerate(_COLUMNS)], names=_COLUMNS)
+
+    rows = log.select(*_COLUMNS)
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
 class Transition:
     """Stochastic law of the next state given (expected next state, action): weights on the
     centres' next states. Between rows and these states stands the kernel-smoothed joint
     law of the centres; its columns are scaled to equal sums over the whole log (one
     aggregation), then each row to one, so that no state attracts all rows."""
 
-    def __init__(self, log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Games]):
-        self.spec, self.n_actions, self.move, self.states = agent.spec, agent.n_actions, move, c.next_state
+    def __init__(self, log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Games], of_log: Callable[[Games], Games] | None = None):
+        """of_log: what is still to be done to the log's rows (move, if not given)."""
+        self.spec, self.n_actions, self.move, self.states = agent.spec, agent.n_actions, of_log or move, c.next_state
         self.x = _pairs(replace(c, state=move(c).next_state), agent.n_actions)
-        self.joint = kernels.block(self.spec, c.next_state, c.next_state)
-        self.columns = np.maximum(_means(log, self._raw, len(c)), 1e-300)
+        joint = kernels.block(self.spec, c.next_state, c.next_state)
+        near = _means(log, self._near, len(c))
+        self.joint = joint / np.maximum(near @ joint, 1e-300)
 
-    def _raw(self, g: Games) -> np.ndarray:
+    def _near(self, g: Games) -> np.ndarray:
         at = _pairs(replace(g, state=self.move(g).next_state), self.n_actions)
-        return kernels.block(self.spec, at, self.x) @ self.joint
+        return kernels.block(self.spec, at, self.x)
+
+    def mean(self, values: np.ndarray) -> Callable[[Games], np.ndarray]:
+        """Games -> mean under the law of values, a row for each of its states."""
+        both = self.joint @ np.concatenate([values, np.ones((len(values), 1))], 1)
+
+        def of(g: Games) -> np.ndarray:
+            k = self._near(g) @ both
+            return k[:, :-1] / np.maximum(k[:, -1:], 1e-300)
+
+        return of
 
     def __call__(self, g: Games) -> np.ndarray:
         """len(g) x M weights, each row summing to one."""
-        w = self._raw(g) / self.columns
-        return w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+        return self.mean(np.eye(len(self.states)))(g)
 
 
 def evaluated_hjb(log: DataFrame, c: Games, agent: Agent, law: Transition) -> Agent:
@@ -115,10 +139,10 @@ def evaluated_hjb(log: DataFrame, c: Games, agent: Agent, law: Transition) -> Ag
     (K - gamma P sum_a pi K') theta = r, K' at every action of the law's states."""
     y = _pairs(c, agent.n_actions)
     nxt = kernels.block(agent.spec, with_actions(law.states, agent.n_actions), y).reshape(len(law.states), agent.n_actions, -1)
-    future = np.einsum("na,nam->nm", agent.policy(law.states), nxt)
+    future = law.mean(np.einsum("na,nam->nm", agent.policy(law.states), nxt))
 
     def system(g):
-        return kernels.block(agent.spec, _pairs(g, agent.n_actions), y) - agent.gamma * (law(g) @ future) * ~g.done[:, None], g.reward[:, None]
+        return kernels.block(agent.spec, _pairs(g, agent.n_actions), y) - agent.gamma * future(g) * ~g.done[:, None], g.reward[:, None]
 
     return replace(agent, y=y, theta=_solved(log, system, len(y), 1, agent.spec.reg))
 
@@ -131,13 +155,13 @@ def optimal_hjb(log: DataFrame, c: Games, agent: Agent, law: Transition, rounds:
     nxt = kernels.block(agent.spec, with_actions(law.states, agent.n_actions), y).reshape(len(law.states), agent.n_actions, -1)
     theta = _solved(log, lambda g: (at(g), g.reward[:, None]), len(y), 1, agent.spec.reg)
     for _ in range(rounds):
-        best = nxt[np.arange(len(nxt)), (nxt @ theta)[..., 0].argmax(1)]
-        step = _solved(log, lambda g, best=best: (at(g) - agent.gamma * (law(g) @ best) * ~g.done[:, None], g.reward[:, None]), len(y), 1, agent.spec.reg) - theta
-        tops = ((nxt @ theta) + (nxt @ step) * STEPS).max(1)  # best value of each state at each step length
+        best = law.mean(nxt[np.arange(len(nxt)), (nxt @ theta)[..., 0].argmax(1)])
+        step = _solved(log, lambda g, best=best: (at(g) - agent.gamma * best(g) * ~g.done[:, None], g.reward[:, None]), len(y), 1, agent.spec.reg) - theta
+        tops = law.mean(((nxt @ theta) + (nxt @ step) * STEPS).max(1))  # best value of each state at each step length
 
         def errors(g, theta=theta, step=step, tops=tops):
             k = at(g)
-            return (k @ theta + (k @ step) * STEPS - g.reward[:, None] - agent.gamma * (law(g) @ tops) * ~g.done[:, None]) ** 2
+            return (k @ theta + (k @ step) * STEPS - g.reward[:, None] - agent.gamma * tops(g) * ~g.done[:, None]) ** 2
 
         found = _means(log, errors, len(STEPS))
         best_step = int(found.argmin())
@@ -153,19 +177,18 @@ def policy_derivative(log: DataFrame, c: Games, agent: Agent) -> np.ndarray:
     none yet). Three aggregations: Q's least squares, the mean of dV/dtheta, and, with the
     adjoint of the solve, the slopes (Agent.slopes)."""
     y, agent = _pairs(c, agent.n_actions), agent.with_logits(c.state)
-    a, b, n = linalg.normal_equations(log, lambda t: (lambda g: (agent.rows(g, y)[0], g.reward[:, None], None))(games_of(t)), _COLUMNS, len(y), 1)
+    a, b, n = linalg.normal_equations(log, lambda t: (lambda g: (agent.rows(g, y)[0], g.reward[:, None], None))(games_of(t)), _COLUMNS, len(y), 1, piece=PIECE)
     h = a + agent.spec.reg * max(1.0, n / len(y)) * np.eye(len(y))
     mean = _means(log, lambda g: agent.value_rows(g, y), len(y))
     theta, adjoint = np.linalg.solve(h, b), np.linalg.solve(h, mean[:, None])
     size = len(agent.states) * agent.n_actions
-    _, out, _ = linalg.normal_equations(log, lambda t: (np.ones((1, 1)), agent.slopes(games_of(t), y, theta, adjoint, n).reshape(1, -1), None), _COLUMNS, 1, size)
+    _, out, _ = linalg.normal_equations(log, lambda t: (np.ones((1, 1)), agent.slopes(games_of(t), y, theta, adjoint, n).reshape(1, -1), None), _COLUMNS, 1, size, piece=PIECE)
     return out.reshape(len(agent.states), agent.n_actions)
 
 
-def _blocks(agent: Agent, g: Games, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """K at the visited pairs, and at every action of the next states (N x A x M)."""
-    nxt = kernels.block(agent.spec, with_actions(g.next_state, agent.n_actions), y)
-    return kernels.block(agent.spec, _pairs(g, agent.n_actions), y), nxt.reshape(len(g), agent.n_actions, -1)
+def _blocks(agent: Agent, g: Games, y: np.ndarray) -> tuple[np.ndarray, Actions]:
+    """K at the visited pairs, and at every action of the next states."""
+    return kernels.block(agent.spec, _pairs(g, agent.n_actions), y), Actions(agent.spec, g.next_state, y, agent.n_actions)
 
 
 def evaluated(log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Games] = _same) -> Agent:
@@ -175,7 +198,7 @@ def evaluated(log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Ga
     def system(g):
         g = move(g)
         k, nxt = _blocks(agent, g, y)
-        mix = np.einsum("na,nam->nm", agent.policy(g.next_state), nxt) * ~g.done[:, None]
+        mix = nxt.mean(agent.policy(g.next_state)) * ~g.done[:, None]
         return k - agent.gamma * mix, g.reward[:, None]
 
     return replace(agent, y=y, theta=_solved(log, system, len(y), 1, agent.spec.reg))
@@ -191,7 +214,7 @@ def optimal(log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Game
         def system(g, theta=theta):
             g = move(g)
             k, nxt = _blocks(agent, g, y)
-            best = nxt[np.arange(len(g)), (nxt @ theta)[..., 0].argmax(1)]
+            best = nxt.at(nxt.values(theta)[..., 0].argmax(1))
             return k - agent.gamma * best * ~g.done[:, None], g.reward[:, None]
 
         step = _solved(log, system, len(y), 1, agent.spec.reg) - theta
@@ -200,7 +223,8 @@ def optimal(log: DataFrame, c: Games, agent: Agent, move: Callable[[Games], Game
             g = move(g)
             k, nxt = _blocks(agent, g, y)
             q = k @ theta + (k @ step) * STEPS
-            future = ((nxt @ theta) + (nxt @ step) * STEPS).max(1) * ~g.done[:, None]
+            now, more = np.moveaxis(nxt.values(np.concatenate([theta, step], 1)), 2, 0)
+            future = (now[..., None] + more[..., None] * STEPS).max(1) * ~g.done[:, None]
             return (q - g.reward[:, None] - agent.gamma * future) ** 2
 
         found = _means(log, errors, len(STEPS))
@@ -237,11 +261,18 @@ def fit_all(agent: Agent, log: DataFrame, how: str = "q", n: int = CENTRE_ROWS)
             return agent
         if how == "policy_gradient":
             return agent.with_logits(c.state).stepped(policy_derivative(log, c, agent))
-        move = _same if how in ("q", "actor_critic") else dynamics(log, c, agent)
-        law = Transition(log, c, agent, move) if how.endswith("hjb") else None
+        law = None
+        if how not in ("q", "actor_critic"):
+            move = dynamics(log, c, agent)
+            given, log = log, moved(log, move).persist()
+            if how.endswith("hjb"):
+                law = Transition(log, c, agent, move, _same)
+            else:
+                log.count()
+            given.unpersist()
         if how.startswith("q"):
-            return optimal_hjb(log, c, agent, law) if law else optimal(log, c, agent, move)
-        critic = evaluated_hjb(log, c, agent, law) if law else evaluated(log, c, agent, move)
+            return optimal_hjb(log, c, agent, law) if law else optimal(log, c, agent)
+        critic = evaluated_hjb(log, c, agent, law) if law else evaluated(log, c, agent)
         return improved(log, c, critic, lambda g: critic.q_values(g.state))
     finally:
         log.unpersist()
@@ -273,5 +304,5 @@ def policy_actions(agent: Agent, states: DataFrame) -> DataFrame:
     """(id, action) of states (id, x): the likeliest action, the first on ties."""
     kind = states.schema["id"].dataType.simpleString()
     width = agent.n_actions if agent.states is None else len(agent.states)
-    p = gram.by_block(states, lambda ids, m: {"id": ids[0], "p": gram._lists(agent.policy(m))}, f"id {kind}, p array<double>", width)
+    p = gram.by_block(states, lambda ids, m: {"id": ids[0], "p": gram._lists(agent.policy(m))}, f"id {kind}, p array<double>", max(width, gram.CELLS // PIECE))
     return p.select("id", arrays.argmax(F.col("p")).alias("action"))
